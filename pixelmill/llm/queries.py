@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact
+from . import bpe, decontaminate, exact, reshard, toxicity, urls
 
 QUERIES = {
     "op3_exact_dedup": exact.query,
+    "op4_url_filters": urls.query,
+    "op5_toxicity": toxicity.query,
+    "op6_bpe": bpe.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_resharding": reshard.query,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact.ORACLE,
+    "op4_url_filters": urls.ORACLE,
 }
