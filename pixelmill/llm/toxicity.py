@@ -1,11 +1,11 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of its words (hashed to 2^18
-weights); a document's is the noisy-or of its sentences: 1 - prod(1 - score). Only document labels are needed
+A document is a bag of sentences. A sentence's score is a logistic function of its words and of their first
+four and five bytes, which inflected forms share (hashed to 2^18 weights); a document's is the noisy-or of its sentences: 1 - prod(1 - score). Only document labels are needed
 to fit the weights, by gradient ascent on the likelihood of the noisy-or; afterwards the sentence scores tell
 which sentences offend (offending()).
 
-Fitting uses at most `most_rows` labelled rows of each class (parameter, default 4000), chosen by a hash of
+Fitting uses at most `most_rows` labelled rows of each class (parameter, default 3000), chosen by a hash of
 the id, of at most `most_bytes` bytes (default 1 MB) each; scoring covers every document and its whole text.
 Labels: null labels and ids are left out, of repeated ones the largest counts. Empty and null texts get the score of no evidence (0 sentences:
 0.0). Without labels of both classes every weight is 0 and every score 0. Repeated rows score alike.
@@ -19,24 +19,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ALNUM, chunks, mapped, read, word_hashes
+from .text import ALNUM, chunks, mapped, mix, prefix_hash, read, span_hash, words
 
 BITS = 18
+#: Bytes of a word that make a feature; None: all.
+HEADS = (None, 4, 5)
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all words, the first word of each sentence that has words, the first sentence of each row, and each sentence's first byte."""
-    start, _, first, h = word_hashes(data, at, ALNUM)
-    slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
+    """Slots of all words' features, the first of each sentence that has words, the first sentence of each row, and each sentence's first byte."""
+    start, stop, first = words(data, at, ALNUM)
+    sums = prefix_hash(data)
+    slot = np.empty((len(start), len(HEADS)), np.int64)
+    for k, size in enumerate(HEADS):
+        h = span_hash(sums, start, stop if size is None else np.minimum(stop, start + size))
+        slot[:, k] = mix(h + np.uint64(k)) >> np.uint64(64 - BITS)
     marks = np.cumsum(_ENDS[data]) if len(data) else np.zeros(0, np.int64)
     sentence = marks[start] if len(start) else np.zeros(0, np.int64)
     new = np.ones(len(start), bool)
     new[1:] = sentence[1:] != sentence[:-1]
     new[first[:-1][first[:-1] < len(start)]] = True
     begins = np.flatnonzero(new)
-    return slot, begins, np.searchsorted(begins, first), start[begins] if len(begins) else begins
+    return slot.ravel(), begins * len(HEADS), np.searchsorted(begins, first), start[begins] if len(begins) else begins
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -52,7 +58,7 @@ def noisy_or(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
     return 1 - np.exp(logs[first[1:]] - logs[first[:-1]])
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-4, least_bags: int = 5) -> tuple[np.ndarray, float]:
+def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.1, decay: float = 1e-4, least_bags: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias from (label, slots, first word of each sentence) by Adam on the noisy-or likelihood."""
     weights, bias = np.zeros(1 << BITS), -4.0
     bags = [b for b in bags if len(b[1])]
@@ -60,32 +66,32 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rate:
     if len(set(labels.tolist())) < 2:
         return weights, -30.0
     sizes = np.array([len(b[1]) for b in bags])
-    slots = np.concatenate([b[1] for b in bags])
-    used, slots = np.unique(slots, return_inverse=True)
-    seen = np.unique(slots * len(bags) + np.repeat(np.arange(len(bags)), sizes)) // len(bags)
-    common = np.bincount(seen, minlength=len(used)) >= least_bags  # words of fewer bags keep the weight 0
+    seen = np.zeros(1 << BITS, np.int64)
+    for _, slot, _ in bags:
+        seen[np.unique(slot)] += 1
+    common = seen >= least_bags  # words of fewer bags keep the weight 0
+    slots = np.concatenate([b[1] for b in bags]).astype(np.int32)
     begins = np.concatenate([b[2] + o for b, o in zip(bags, np.cumsum(sizes) - sizes, strict=True)])
     counts = np.array([len(b[2]) for b in bags])
     first = np.concatenate([[0], np.cumsum(counts)])
     bag = np.repeat(np.arange(len(bags)), counts)
     length = np.diff(np.append(begins, len(slots)))
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    w, m, v = (np.zeros(len(weights) + 1) for _ in range(3))
     w[-1] = bias
     for t in range(1, rounds + 1):
         s = _sigmoid(np.add.reduceat(w[slots], begins) + w[-1])
         p = np.clip(noisy_or(s, first), 1e-9, 1 - 1e-9)
         # d log L / d x_i of a sentence: s_i * (y / p - 1), as d p / d x_i = (1 - p) * s_i
         g = s * (labels / p - 1)[bag] * weight[bag]
-        grad = np.append(np.bincount(slots, np.repeat(g, length), len(used)), g.sum()) / len(bags) - decay * np.append(w[:-1], 0)
+        grad = np.append(np.bincount(slots, np.repeat(g, length), len(weights)), g.sum()) / len(bags) - decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         m[:-1] *= common
         w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    weights[used] = w[:-1]
-    return weights, float(w[-1])
+    return w[:-1], float(w[-1])
 
 
-def trained(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = 4000, most_bytes: int = 1 << 20) -> tuple[np.ndarray, float]:
+def trained(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = 3000, most_bytes: int = 1 << 20) -> tuple[np.ndarray, float]:
     """Fit on labelled documents for which usable (an expression over doc_id) holds."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     parts = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
