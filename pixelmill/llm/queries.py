@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, reshard, toxicity, urls
+from . import bpe, decontaminate, exact, jaccard, reshard, toxicity, urls
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.query,
     "op3_exact_dedup": exact.query,
     "op4_url_filters": urls.query,
     "op5_toxicity": toxicity.query,
