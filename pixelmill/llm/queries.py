@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, jaccard, reshard, toxicity, urls
+from . import bpe, decontaminate, exact, jaccard, reshard, substrings, toxicity, urls
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.query,
+    "op2_suffix_dedup": substrings.query,
     "op3_exact_dedup": exact.query,
     "op4_url_filters": urls.query,
     "op5_toxicity": toxicity.query,
