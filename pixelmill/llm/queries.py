@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, jaccard, reshard, substrings, toxicity, urls
+from . import backoff, bpe, decontaminate, exact, jaccard, lines, reshard, substrings, toxicity, urls
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.query,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_url_filters": urls.query,
     "op5_toxicity": toxicity.query,
     "op6_bpe": bpe.query,
+    "op7_lm_scoring": backoff.query,
     "op8_decontaminate": decontaminate.query,
     "op9_resharding": reshard.query,
+    "op10_line_dedup": lines.query,
 }
 
 ORACLES = {
