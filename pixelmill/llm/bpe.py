@@ -7,8 +7,8 @@ described by segments (token v, rank until): "the right operands that v was merg
 lost their arcs". An arc x still leaves a state unless, at the time an arc on x's left spine was used to build
 the next one, that arc was already lost. The automaton accepts exactly the token sequences that BPE makes.
 
-Encoding reads a pre-split word left to right: for each prefix there is exactly one token that can end an
-accepted path, found by transitions from the states already reached; the path is read off backwards.
+Encoding reads a pre-split word left to right along arcs that leave the state reached so far; exactly one path
+is accepted up to the word's end, and states from which the end can't be reached are marked and left.
 Transitions, once tested, are kept in a table, and so are the paths of frequent words (bounded, per worker).
 Decoding emits the labels (byte strings) of the arcs.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from itertools import chain
 
 import pyarrow as pa
@@ -32,10 +33,20 @@ from .text import mapped, read
 #: The pattern by which byte-level BPE splits text before merging (a fixed value of the tokenizer's format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Paths kept per Python worker.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 600_000
+#: The same pattern for texts below U+0250, with the letters and numbers there spelled out for the faster engine.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+SPLIT_LATIN = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
+_beyond_latin = re.compile("[^\x00-\x1b\x20-ɏ]").search  # \x1c to \x1f are white space for one engine only
+_split_latin = re.compile(SPLIT_LATIN).findall
+_split_any = regex.compile(SPLIT).findall
 _NEVER = 1 << 60
 
 
+def _split(text: str) -> list[str]:
+    return _split_any(text) if _beyond_latin(text) else _split_latin(text)
+
+
 def _alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in vocabulary files."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -58,7 +69,10 @@ class Automaton:
             self.ids[self.arcs[i]] = i
         for s, i in self.added.items():
             self.arcs[i] = s.encode()
-        self.longest = max(map(len, self.ids))
+        #: The longest label that begins with two given bytes.
+        self.reach: dict[bytes, int] = {}
+        for x in self.ids:
+            self.reach[x[:2]] = max(len(x), self.reach.get(x[:2], 1))
         self.lost: dict[int, dict[int, int]] = {}
         self.state: list[tuple[tuple[int, int], ...]] = [((i, _NEVER),) for i in range(size)]
         self.left: dict[int, tuple[int, int]] = {}
@@ -70,7 +84,6 @@ class Automaton:
         self.table.clear()
         self.spines.clear()
         self.paths = _Paths(self)
-        self.split = regex.compile(SPLIT).findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def _gadget(self, a: int, b: int, c: int, rank: int) -> None:
@@ -114,24 +127,29 @@ class Automaton:
         return got
 
     def path(self, word: bytes) -> tuple[int, ...]:
-        whole = self.ids.get(word)
-        if whole is not None and len(word) == 1:
-            return (whole,)
-        ids, longest, leads = self.ids, self.longest, self.leads
-        last: list[int] = [-1]
-        for i in range(1, len(word) + 1):
-            for j in range(max(0, i - longest), i):
-                x = ids.get(word[j:i])
-                if x is not None and (j == 0 or leads(last[j], x)) and (j or i == 1 or self._whole(x)):
-                    last.append(x)
+        """The one accepted path: long arcs are tried first, and a state from which the end can't be reached is left."""
+        ids, reach, leads, n = self.ids, self.reach, self.leads, len(word)
+        out: list[int] = []
+        dead: set[tuple[int, int]] = set()
+        at, last, size = 0, -1, min(n, reach.get(word[:2], 1))
+        while at < n:
+            while size:
+                x = ids.get(word[at : at + size])
+                if x is not None and (leads(last, x) if out else self._whole(x)) and (not dead or (at + size, x) not in dead):
                     break
+                size -= 1
+            if size:
+                out.append(x)
+                at += size
+                last, size = x, min(n - at, reach.get(word[at : at + 2], 1))
             else:
-                raise ValueError("no accepted path: the vocabulary lacks a byte")
-        out, i = [], len(word)
-        while i:
-            out.append(last[i])
-            i -= len(self.arcs[last[i]])
-        return tuple(out[::-1])
+                if not out:
+                    raise ValueError("no accepted path: the vocabulary lacks a byte")
+                x = out.pop()
+                dead.add((at, x))
+                at -= len(self.arcs[x])
+                last, size = out[-1] if out else -1, len(self.arcs[x]) - 1
+        return tuple(out)
 
     def _whole(self, x: int) -> bool:
         """Whether x was made by a merge (a token that no merge reaches has no arc)."""
@@ -139,13 +157,13 @@ class Automaton:
 
     def encode(self, text: str) -> list[int]:
         if self.parts is None:
-            return list(chain.from_iterable(map(self.paths.__getitem__, self.split(text))))
+            return list(chain.from_iterable(map(self.paths.__getitem__, _split(text))))
         out: list[int] = []
         for piece in self.parts(text):
             if piece in self.added:
                 out.append(self.added[piece])
             elif piece:
-                out += chain.from_iterable(map(self.paths.__getitem__, self.split(piece)))
+                out += chain.from_iterable(map(self.paths.__getitem__, _split(piece)))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -161,7 +179,7 @@ class _Paths(dict):
         if len(self) >= KEPT_WORDS:
             self.clear()
         got = self.automaton.path(word.encode())
-        if len(word) <= 64:
+        if len(word) <= 40:
             self[word] = got
         return got
 
