@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import scalars
+
+MODULES = (scalars,)
+QUERIES = {name: f for m in MODULES for name, f in m.R.queries.items()}
+ORACLES = {name: q for m in MODULES for name, q in m.R.oracles.items()}
