@@ -12,11 +12,14 @@ A set sends the first d + 1 + s of its blocks in one global order (by hash, empt
 the differing blocks and s is slack. Any two similar sets then have s + 1 such blocks in common. Blocks that
 more than HOT sets share are set aside; a set with more of them than the slack allows is `unsafe`. A pair
 with a set that isn't is found in a block that few share. Pairs of unsafe sets (large families of near
-copies, texts made of common lines) are found by their d + 1 rarest shingles among the unsafe.
+copies, texts made of common lines) are found by their rarest shingles among the unsafe (prefix filter, with
+the bound that the shingles' places give).
 
-Verification counts the true intersection. Documents with equal sets form one class first. Every class is
-checked against its smallest candidate; then only candidates that lie in different components are checked, so
-a family of m near copies takes about m checks and yet no link is lost.
+Candidates that the sizes rule out, or whole sketch vectors by their Hamming distance, go. Verification counts
+the true intersection of the others. Documents with equal sets form one class first. Every class is
+checked against one candidate first, the most common-place one (of a family, the text that the others vary);
+then only candidates that lie in different components are checked, so a family of m near copies takes about
+m checks and yet no link is lost.
 
 Empty and null texts have an empty set and no link. Rows with a null id link nothing. Repeated rows fall into
 one class. Only the id and the text are read.
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +40,8 @@ _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _EMPTY = np.uint64(0xE7037ED1A0B428DB)
 #: Sets in a block beyond which it is set aside.
 HOT = 8
+#: Rounds in which unsafe sets are compared with the most common-place set of their block alone.
+HUB_ROUNDS = 2
 #: The band of small sets ends here; each further band is four times as wide.
 SMALL = 64
 
@@ -119,18 +124,41 @@ class Sketch:
         return np.concatenate(out)
 
 
+    def vector(self, tokens: np.ndarray) -> bytes:
+        """The sketch as one vector of at least as many bits as tokens (a power of two), for a last look at a pair."""
+        bits = max(64, 1 << max(0, len(tokens) - 1).bit_length())
+        place = (mix(tokens ^ _K[4]) & np.uint64(bits - 1)).astype(np.int64)
+        return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+    def may_link(self, n: int, m: int, x: bytes, y: bytes) -> bool:
+        """False if sizes or sketches rule a link out. A longer vector folds to a shorter by xor of its halves."""
+        if self.num * max(n, m) > self.den * min(n, m):
+            return False
+        size = min(len(x), len(y))
+        a, b = (int.from_bytes(v, "little") for v in (x, y))
+        for v, other in ((len(x), "a"), (len(y), "b")):
+            while v > size:
+                v //= 2
+                low = (1 << (8 * v)) - 1
+                if other == "a":
+                    a = (a & low) ^ (a >> (8 * v))
+                else:
+                    b = (b & low) ^ (b >> (8 * v))
+        return (a ^ b).bit_count() * (self.den + self.num) <= (self.den - self.num) * (n + m)
+
+
 def _i64(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-def document_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, key) of docs (id, text)."""
+def document_sets(docs: DataFrame, size: int, sketch: Sketch) -> DataFrame:
+    """(id, n, key, vector) of docs (id, text)."""
 
     def step(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = [s for _, data, at in chunks(batch.column("text")) for s in shingle_sets(data, at, size)]
-        return [pa.array([len(s) for s in sets], pa.int64()), _i64([set_key(s) for s in sets])]
+        return [pa.array([len(s) for s in sets], pa.int64()), _i64([set_key(s) for s in sets]), pa.array([sketch.vector(s) for s in sets], pa.binary())]
 
-    return mapped(docs, step, [T.StructField("n", T.LongType()), T.StructField("key", T.LongType())]).select("id", "n", "key")
+    return mapped(docs, step, [T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("vector", T.BinaryType())]).select("id", "n", "key", "vector")
 
 
 def _signatures(docs: DataFrame, size: int, sketch: Sketch) -> DataFrame:
@@ -185,6 +213,23 @@ def _buckets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(big.sum(), bool)), pa.array(sig[big]), pa.array(key[big])], names=["hot", "x", "y"])
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't rule out."""
+    sides = [classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("vector").alias(f"v_{x}")) for x in "ab"]
+    fits = (F.col("n_a") * sketch.num <= F.col("n_b") * sketch.den) & (F.col("n_b") * sketch.num <= F.col("n_a") * sketch.den)
+    # sizes first: they are narrow
+    pairs = pairs.join(sides[0].drop("v_a"), "a").join(sides[1].drop("v_b"), "b").filter(fits)
+    both = pairs.join(sides[0].drop("n_a"), "a").join(sides[1].drop("n_b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            rows = [c.to_pylist() for c in batch.columns[2:]]
+            keep = pa.array([sketch.may_link(*x) for x in zip(*rows, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return both.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
@@ -215,8 +260,8 @@ def _one(value: pa.Scalar, size: int) -> np.ndarray:
 
 
 def _rarest(texts: DataFrame, size: int, sketch: Sketch) -> DataFrame:
-    """(sig, key): each set's differ + 1 rarest shingles among texts, those that no other has left out."""
-    from pyspark.sql import Window
+    """(sig, key, n, nth, score): each set's rarest shingles among texts, as many as it can lack of a similar set's and
+    one more, without those that no other has. nth: the place in the set by rarity; score: how common its shingles are."""
 
     def run(batches):
         for batch in batches:
@@ -224,29 +269,54 @@ def _rarest(texts: DataFrame, size: int, sketch: Sketch) -> DataFrame:
                 sets = shingle_sets(data, at, size)
                 n = np.array([len(s) for s in sets])
                 key = np.asarray(batch.column("key"))[row : row + len(sets)]
-                yield pa.RecordBatch.from_arrays([_i64(np.concatenate(sets)), pa.array(np.repeat(key, n)), pa.array(np.repeat([sketch.differ(x) + 1 for x in n.tolist()], n), pa.int64())], names=["sig", "key", "take"])
+                yield pa.RecordBatch.from_arrays([_i64(np.concatenate(sets)), pa.array(np.repeat(key, n)), pa.array(np.repeat(n, n), pa.int64())], names=["sig", "key", "n"])
 
-    tokens = written(texts.select("key", "text").mapInArrow(run, "sig long, key long, take long"), "tokens")
+    tokens = written(texts.select("key", "text").mapInArrow(run, "sig long, key long, n long"), "tokens")
     shared = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(shared, "sig").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("df", "sig")))
-    return ranked.filter("nth <= take and df > 1").select("sig", "key")
+    of_set = Window.partitionBy("key")
+    ranked = tokens.join(shared, "sig").withColumns({"nth": F.row_number().over(of_set.orderBy("df", "sig")), "score": F.avg(F.log("df")).over(of_set)})
+    take = F.col("n") - F.ceil(F.col("n") * sketch.num / sketch.den) + 1
+    return ranked.filter((F.col("nth") <= take) & (F.col("df") > 1)).select("sig", "key", "n", "nth", "score")
 
 
-def _across(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (sig, key) in one block but in different components."""
-    labelled = rows.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    left = labelled.join(mixed, "sig")
-    right = left.select("sig", F.col("key").alias("b"), F.col("root").alias("other"))
-    return left.join(right, "sig").filter("key < b and root <> other").select(F.col("key").alias("a"), "b").distinct()
+def _labelled(rare: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rare with root, without the blocks that lie in one component."""
+    if roots is None:
+        return rare.withColumn("root", F.col("key"))
+    out = rare.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = out.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
+    return out.join(mixed, "sig")
+
+
+def _enough(sketch: Sketch) -> Column:
+    """Whether sets that meet first at their nth shingles can still share enough: all later ones at most."""
+    return (F.least(F.col("n") - F.col("nth"), F.col("m") - F.col("mth")) + 1) * (sketch.num + sketch.den) >= sketch.num * (F.col("n") + F.col("m"))
+
+
+def _to_hubs(rare: DataFrame, roots: DataFrame | None, sketch: Sketch) -> DataFrame:
+    """(a, b, score): each set with the most common-place set of its block, if that is of another component."""
+    rows = _labelled(rare, roots)
+    hub = rows.groupBy("sig").agg(F.max(F.struct("score", "key", "root", F.col("n").alias("m"), F.col("nth").alias("mth"))).alias("hub"))
+    hub = hub.select("sig", F.col("hub.score").alias("s"), F.col("hub.key").alias("a"), F.col("hub.root").alias("other"), "hub.m", "hub.mth")
+    met = rows.join(hub, "sig").filter((F.col("root") != F.col("other")) & _enough(sketch))
+    return met.select("a", F.col("key").alias("b"), F.col("s").alias("score"))
+
+
+def _across(rare: DataFrame, roots: DataFrame, sketch: Sketch) -> DataFrame:
+    """Pairs (a, b) of rare in one block but in different components."""
+    left = _labelled(rare, roots).drop("score")
+    right = left.select("sig", F.col("key").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("nth").alias("mth"))
+    fits = (F.col("n") * sketch.num <= F.col("m") * sketch.den) & (F.col("m") * sketch.num <= F.col("n") * sketch.den)
+    met = left.join(right, "sig").filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & fits & _enough(sketch))
+    return met.select(F.col("key").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """key, n_shingles and component_id of every row: the smallest key reachable by links."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     sketch = Sketch(num, den)
-    sets = written(document_sets(docs, words), "sets")
-    classes = written(sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
+    sets = written(document_sets(docs, words, sketch), "sets")
+    classes = written(sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")), "classes")
     blocks = written(_signatures(docs.filter("id is not null"), words, sketch).repartition("sig").mapInArrow(_buckets, "hot boolean, x long, y long"), "blocks")
     found = blocks.filter("not hot").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     hot = blocks.filter("hot").groupBy(F.col("y").alias("key")).agg(F.count(F.lit(1)).alias("hot"))
@@ -254,19 +324,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     least = F.floor(F.floor(F.col("n") * num / den) / 10) + 2
     unsafe = hot.join(classes, "key").filter(F.col("hot") > least).select("key")
     unsafe = written(unsafe, "unsafe")
-    found = written(found, "found")
+    found = written(_plausible(found, classes, sketch), "found")
     needed = found.select(F.explode(F.array("a", "b")).alias("key")).unionAll(unsafe).distinct()
     ids = needed.join(classes, "key").select("key", F.col("rep").alias("id"))
     texts = written(docs.join(ids, "id").select("key", "text").dropDuplicates(["key"]), "texts")
     rare = written(_rarest(texts.join(unsafe, "key"), words, sketch), "rare")
-    hubs = rare.groupBy("sig").agg(F.min("key").alias("a"))
-    star = rare.join(hubs, "sig").filter("a < key").select("a", F.col("key").alias("b"))
-    first = written(found.unionAll(star).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = written(_linked(first, texts, words, num, den), "verified")
-    roots = written(components(links), "roots")
+    # one candidate for every set: the most common-place one, else the smallest
+    star = _to_hubs(rare, None, sketch).unionAll(found.withColumn("score", F.lit(-1.0)))
+    links, roots, tried = None, None, None
+    for _ in range(HUB_ROUNDS):
+        best = star.groupBy("b").agg(F.max(F.struct("score", "a")).alias("x")).select("x.a", "b")
+        best = written(best, "first")
+        tried = best if tried is None else tried.unionAll(best)
+        new = written(_linked(best, texts, words, num, den), "verified")
+        links = new if links is None else links.unionAll(new)
+        roots = written(components(links), "roots")
+        star = _to_hubs(rare, roots, sketch)
     label = lambda of, name: roots.select(F.col("v").alias(of), F.col("root").alias(name))
-    apart = found.unionAll(star).distinct().join(label("a", "ra"), "a", "left").join(label("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    rest = apart.unionAll(_across(rare, roots)).distinct().join(first, ["a", "b"], "left_anti")
+    apart = found.join(label("a", "ra"), "a", "left").join(label("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    rest = apart.unionAll(_plausible(_across(rare, roots, sketch), classes, sketch)).distinct()
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.join(tried, ["a", "b"], "left_anti")
     links = links.unionAll(written(_linked(rest, texts, words, num, den), "verified"))
     roots = written(components(links), "roots")
     named = classes.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
