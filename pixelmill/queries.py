@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import scalars
+from .plans import keys, lengths, scalars
 
-MODULES = (scalars,)
+MODULES = (scalars, keys, lengths)
 QUERIES = {name: f for m in MODULES for name, f in m.R.queries.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.R.oracles.items()}
