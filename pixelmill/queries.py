@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import keys, lengths, reports, scalars, search, spatial
+from .plans import keys, lengths, reports, scalars, search, spatial, stateful
 
-MODULES = (scalars, keys, lengths, search, spatial, reports)
+MODULES = (scalars, keys, lengths, search, spatial, reports, stateful)
 QUERIES = {name: f for m in MODULES for name, f in m.R.queries.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.R.oracles.items()}
