@@ -11,14 +11,13 @@ from . import base, sql
 
 R = base.Registry()
 E_TP = (sql.EMB, sql.ycocg(), sql.taps())
-A, B, C, D = (F.col(x) for x in "abcd")
 _E9 = "least((abs(a - c) + abs(b - c)) >> 4, 8)"
 _RES = f"rs AS (SELECT *, v - {sql.med()} AS r FROM b4)"
 
 
 @R.add(sql.q(*E_TP, _RES, f"SELECT img, ch, {_E9} AS e, count(*) AS n, CAST(sum(abs(r)) AS BIGINT) AS l1 FROM rs GROUP BY ALL"))
 def context_energy9(spark: SparkSession, d: str) -> DataFrame:
-    return base.med_residuals(spark, d).groupBy("img", "ch", contexts.energy9(A, B, C).alias("e")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("r")).alias("l1"))
+    return base.med_residuals(spark, d).groupBy("img", "ch", contexts.energy9(F.col("a"), F.col("b"), F.col("c")).alias("e")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("r")).alias("l1"))
 
 
 _GRIDS = ", ".join(f"({k}, [{', '.join(map(str, g))}])" for k, g in enumerate(contexts.ENERGY_GRIDS))
@@ -27,7 +26,7 @@ _GRIDS = ", ".join(f"({k}, [{', '.join(map(str, g))}])" for k, g in enumerate(co
 @R.add(sql.q(*E_TP, f"gr(grid, th) AS (VALUES {_GRIDS})", "SELECT img, ch, grid, len(list_filter(th, lambda x: x < abs(a - c) + abs(b - c))) AS grp, count(*) AS n FROM b4, gr GROUP BY ALL"))
 def context_energy_grids(spark: SparkSession, d: str) -> DataFrame:
     """Energy groups under each of the fixed grids; a histogram of the energy comes first, so grids cost nothing per sample."""
-    e = (F.abs(A - C) + F.abs(B - C)).alias("e")
+    e = (F.abs(F.col("a") - F.col("c")) + F.abs(F.col("b") - F.col("c"))).alias("e")
     hist = base.taps(spark, d).groupBy("img", "ch", e).agg(F.count(F.lit(1)).alias("n"))
     cells = [F.struct(F.lit(k).alias("grid"), contexts.level(F.col("e"), g).alias("grp")) for k, g in enumerate(contexts.ENERGY_GRIDS)]
     return hist.select("img", "ch", "n", F.inline(F.array(*cells))).groupBy("img", "ch", "grid", "grp").agg(F.sum("n").alias("n"))
@@ -40,12 +39,12 @@ def context_loco(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(sql.q(*E_TP, "q AS (SELECT " + sql.LEVEL.format(g="(b - c)") + " AS q FROM b4)", "SELECT q, count(*) AS n FROM q GROUP BY q"))
 def gradient_levels(spark: SparkSession, d: str) -> DataFrame:
-    return base.taps(spark, d).groupBy(contexts.gradient_level(B - C).alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    return base.taps(spark, d).groupBy(contexts.gradient_level(F.col("b") - F.col("c")).alias("q")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add(sql.q(*E_TP, sql.LOCO, f"SELECT img, ch, key, CAST(sum(sgn * (v - {sql.med()})) AS BIGINT) AS s, CAST(sum(abs(v - {sql.med()})) AS BIGINT) AS l1 FROM lk GROUP BY ALL"))
 def sign_flipped_residuals(spark: SparkSession, d: str) -> DataFrame:
-    r = F.col("sgn") * (F.col("v") - predictors.med(A, B, C))
+    r = F.col("sgn") * (F.col("v") - predictors.med(F.col("a"), F.col("b"), F.col("c")))
     return contexts.loco(base.taps(spark, d)).groupBy("img", "ch", "key").agg(F.sum(r).alias("s"), F.sum(F.abs(r)).alias("l1"))
 
 
@@ -74,7 +73,7 @@ _ERR = f"""er AS (SELECT lk.*, v - {sql.med()} AS r FROM lk), e1 AS (SELECT *, c
 @R.add(sql.q(*E_TP, sql.LOCO, _ERR, "SELECT img, ch, key * 4 + least(rl // 3, 3) AS err4, key * 4 + least(rt // 3, 3) AS err4t, count(*) AS n FROM e1 GROUP BY ALL"))
 def context_error_keys(spark: SparkSession, d: str) -> DataFrame:
     """Gradient keys refined by the size of the residual to the left, and above."""
-    df = contexts.loco(base.taps(spark, d)).withColumn("r", F.abs(F.col("v") - predictors.med(A, B, C)))
+    df = contexts.loco(base.taps(spark, d)).withColumn("r", F.abs(F.col("v") - predictors.med(F.col("a"), F.col("b"), F.col("c"))))
     rows = df.groupBy("img", "ch", "i").agg(F.array_sort(F.collect_list(F.struct("j", "r", "key"))).alias("p"))
     rows = rows.withColumn("up", F.lag("p.r").over(Window.partitionBy("img", "ch").orderBy("i")))
     third = lambda x: F.least(F.floor(F.coalesce(x, F.lit(0)) / 3), F.lit(3))
@@ -85,7 +84,7 @@ def context_error_keys(spark: SparkSession, d: str) -> DataFrame:
 @R.add(sql.q(*E_TP, sql.LOCO, f"lu AS (SELECT img, i, j, abs(v - {sql.med()}) AS ry FROM b4 WHERE ch = 0)", "SELECT img, ch, CASE WHEN ch = 0 THEN key ELSE key * 4 + least(ry // 4, 3) END AS ymag, count(*) AS n FROM lk JOIN lu USING (img, i, j) GROUP BY ALL"))
 def context_luma_magnitude(spark: SparkSession, d: str) -> DataFrame:
     """Chroma keys refined by the luma residual at the same place."""
-    df = contexts.loco(base.taps(spark, d)).withColumn("r", F.abs(F.col("v") - predictors.med(A, B, C)))
+    df = contexts.loco(base.taps(spark, d)).withColumn("r", F.abs(F.col("v") - predictors.med(F.col("a"), F.col("b"), F.col("c"))))
     px = df.groupBy("img", "i", "j").agg(F.max(F.when(F.col("ch") == 0, F.col("r"))).alias("ry"), F.collect_list(F.struct("ch", "key")).alias("k"))
     px = px.select("img", "ry", F.inline("k"))
     key = F.when(F.col("ch") == 0, F.col("key")).otherwise(F.col("key") * 4 + F.least(F.floor(F.col("ry") / 4), F.lit(3)))
@@ -146,13 +145,13 @@ def block_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(sql.q(sql.EVT, sql.ycocg("evt"), sql.taps(), "SELECT img, ch, CAST(sum((a = b AND b = c AND c = d AND NOT (i = 0 AND j = 0))::INT) AS BIGINT) AS flat, count(*) AS n FROM b4 GROUP BY ALL"))
 def flat_neighbourhoods(spark: SparkSession, d: str) -> DataFrame:
-    flat = contexts.flat(A, B, C, D) & ~((F.col("i") == 0) & (F.col("j") == 0))
+    flat = contexts.flat(F.col("a"), F.col("b"), F.col("c"), F.col("d")) & ~((F.col("i") == 0) & (F.col("j") == 0))
     return base.taps(spark, d, "evt").groupBy("img", "ch").agg(F.sum(flat.cast("int")).alias("flat"), F.count(F.lit(1)).alias("n"))
 
 
 @R.add(sql.q(*E_TP, f"SELECT img, ch, CAST(sum(abs(b - c)) AS BIGINT) AS f0, CAST(sum(abs(a - c)) AS BIGINT) AS f1, CAST(sum(abs(d - b)) AS BIGINT) AS f2, CAST(sum(abs(b - c) + abs(a - c)) AS BIGINT) AS f3, CAST(sum({_E9}) AS BIGINT) AS f4, CAST(sum(abs(a - b)) AS BIGINT) AS f5, CAST(sum(abs(a + b - 2 * c) >> 1) AS BIGINT) AS f6, CAST(sum((a + b) >> 1) AS BIGINT) AS f7, max(i) AS f8, max(j) AS f9 FROM b4 GROUP BY ALL"))
 def tree_features(spark: SparkSession, d: str) -> DataFrame:
-    feats = (F.abs(B - C), F.abs(A - C), F.abs(D - B), F.abs(B - C) + F.abs(A - C), contexts.energy9(A, B, C), F.abs(A - B), color.half(F.abs(A + B - 2 * C)), color.half(A + B))
+    feats = (F.abs(F.col("b") - F.col("c")), F.abs(F.col("a") - F.col("c")), F.abs(F.col("d") - F.col("b")), F.abs(F.col("b") - F.col("c")) + F.abs(F.col("a") - F.col("c")), contexts.energy9(F.col("a"), F.col("b"), F.col("c")), F.abs(F.col("a") - F.col("b")), color.half(F.abs(F.col("a") + F.col("b") - 2 * F.col("c"))), color.half(F.col("a") + F.col("b")))
     return base.taps(spark, d).groupBy("img", "ch").agg(*[F.sum(x).alias(f"f{k}") for k, x in enumerate(feats)], F.max("i").alias("f8"), F.max("j").alias("f9"))
 
 
@@ -164,7 +163,7 @@ def alphabet_guard(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(sql.q(*E_TP, _RES, "SELECT img, ch, least(3, abs(a - c) >> 4) * 4 + least(3, abs(b - c) >> 4) AS ctx, count(*) AS n, CAST(sum(r) AS BIGINT) AS s, CAST(round_even(sum(r) / CAST(count(*) AS DOUBLE), 0) AS INTEGER) AS bias FROM rs GROUP BY ALL"))
 def context_bias_table(spark: SparkSession, d: str) -> DataFrame:
-    ctx = F.least(F.lit(3), F.shiftright(F.abs(A - C), 4)) * 4 + F.least(F.lit(3), F.shiftright(F.abs(B - C), 4))
+    ctx = F.least(F.lit(3), F.shiftright(F.abs(F.col("a") - F.col("c")), 4)) * 4 + F.least(F.lit(3), F.shiftright(F.abs(F.col("b") - F.col("c")), 4))
     return base.med_residuals(spark, d).groupBy("img", "ch", ctx.alias("ctx")).agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), F.rint(F.sum("r") / F.count(F.lit(1))).cast("int").alias("bias"))
 
 

@@ -12,7 +12,6 @@ from . import base, sql
 
 R = base.Registry()
 E_TP = (sql.EMB, sql.ycocg(), sql.taps())
-A, B, C, D = (F.col(x) for x in "abcd")
 RES = f"rs AS (SELECT *, v - {sql.med()} AS r FROM b4)"
 HIST = "hist AS (SELECT img, ch, r AS sym, count(*) AS cnt FROM rs GROUP BY ALL)"
 E_H = (*E_TP, RES, HIST)
@@ -48,7 +47,7 @@ def huffman_documents(spark: SparkSession, d: str) -> DataFrame:
 @R.add(sql.q(*E_TP, RES, "hist AS (SELECT img, ch, least((abs(a - c) + abs(b - c)) >> 4, 8) AS e, r AS sym, count(*) AS cnt FROM rs GROUP BY ALL)", sql.huffman("img, ch, e"), "SELECT img, ch, CAST(sum(huff + 16 + 24 * alphabet) AS BIGINT) AS bits, count(*) AS tables FROM hf GROUP BY ALL"))
 def huffman_by_energy(spark: SparkSession, d: str) -> DataFrame:
     """Nine tables a channel, by energy class."""
-    df = base.med_residuals(spark, d).withColumn("e", contexts.energy9(A, B, C))
+    df = base.med_residuals(spark, d).withColumn("e", contexts.energy9(F.col("a"), F.col("b"), F.col("c")))
     return costs.huffman_bits(costs.histogram(df, ["img", "ch", "e"]), ["img", "ch", "e"]).groupBy("img", "ch").agg(F.sum("stream").alias("bits"), F.count(F.lit(1)).alias("tables"))
 
 
@@ -96,7 +95,7 @@ def rice_from_mean(spark: SparkSession, d: str) -> DataFrame:
 @R.add(sql.q(*E_TP, sql.LOCO, f"hist AS (SELECT img, ch, key, sgn * (v - {sql.med()}) AS sym, count(*) AS cnt FROM lk GROUP BY ALL)", sql.golomb("img, ch, key"), sql.first("gk", "img, ch, key", "bits, k", "gb"), "SELECT img, ch, CAST(sum(bits) AS BIGINT) AS bits, count(*) AS keys, CAST(sum(k) AS BIGINT) AS k_sum FROM gb GROUP BY ALL"))
 def golomb_by_key(spark: SparkSession, d: str) -> DataFrame:
     """A parameter of its own for each gradient key."""
-    df = contexts.loco(base.taps(spark, d)).withColumn("r", F.col("sgn") * (F.col("v") - predictors.med(A, B, C)))
+    df = contexts.loco(base.taps(spark, d)).withColumn("r", F.col("sgn") * (F.col("v") - predictors.med(F.col("a"), F.col("b"), F.col("c"))))
     best = costs.golomb_best(costs.histogram(df, ["img", "ch", "key"]), ["img", "ch", "key"])
     return best.groupBy("img", "ch").agg(F.sum("bits").alias("bits"), F.count(F.lit(1)).alias("keys"), F.sum("k").alias("k_sum"))
 

@@ -12,13 +12,12 @@ from . import base, sql
 
 R = base.Registry()
 E_TP = (sql.EMB, sql.ycocg(), sql.taps())
-A, B, C, D = (F.col(x) for x in "abcd")
 BY = ["img", "ch"]
 
 
 def key_cube(spark: SparkSession, d: str) -> DataFrame:
     """img, ch, key, sym, cnt: counts of sign-flipped residuals by gradient key. Any grouping of keys is a sum over it."""
-    df = contexts.loco(base.taps(spark, d)).withColumn("r", F.col("sgn") * (F.col("v") - predictors.med(A, B, C)))
+    df = contexts.loco(base.taps(spark, d)).withColumn("r", F.col("sgn") * (F.col("v") - predictors.med(F.col("a"), F.col("b"), F.col("c"))))
     return costs.histogram(df, [*BY, "key"])
 
 
@@ -60,7 +59,7 @@ _FOUR = ("MED", "TOP", "LEFT", "GRAD")
 
 def expert_cube(spark: SparkSession, d: str, names=_FOUR) -> DataFrame:
     bank = predictors.bank()
-    df = base.taps(spark, d).withColumn("e", contexts.energy9(A, B, C))
+    df = base.taps(spark, d).withColumn("e", contexts.energy9(F.col("a"), F.col("b"), F.col("c")))
     ex = predictors.unpivoted(df, {n: bank[n] for n in names}, ["img", "ch", "e", "v"]).withColumn("r", F.col("v") - F.col("p"))
     return costs.histogram(ex, [*BY, "e", "ord", "expert"])
 
@@ -86,7 +85,7 @@ _GRIDS = ", ".join(f"({k}, [{', '.join(map(str, g))}])" for k, g in enumerate(co
 
 @R.add(sql.q(*E_TP, f"gr(grid, th) AS (VALUES {_GRIDS}), rs AS (SELECT img, ch, abs(a - c) + abs(b - c) AS x, v - {sql.med()} AS r FROM b4), hist AS (SELECT img, ch, grid, len(list_filter(th, lambda t: t < x)) AS grp, r AS sym, count(*) AS cnt FROM rs, gr GROUP BY ALL)", sql.huffman("img, ch, grid, grp"), sql.first("(SELECT img, ch, grid, CAST(sum(huff + 16 + 24 * alphabet) AS BIGINT) AS bits FROM hf GROUP BY ALL)", "img, ch", "bits, grid", "best"), "SELECT img, ch, grid, bits FROM best"))
 def best_energy_grid(spark: SparkSession, d: str) -> DataFrame:
-    df = base.med_residuals(spark, d).withColumn("x", F.abs(A - C) + F.abs(B - C))
+    df = base.med_residuals(spark, d).withColumn("x", F.abs(F.col("a") - F.col("c")) + F.abs(F.col("b") - F.col("c")))
     pairs = df.groupBy(*BY, "x", F.col("r").alias("sym")).agg(F.count(F.lit(1)).alias("cnt"))
     cells = [F.struct(F.lit(k).alias("grid"), contexts.level(F.col("x"), g).alias("grp")) for k, g in enumerate(contexts.ENERGY_GRIDS)]
     hist = pairs.select(*BY, "sym", "cnt", F.inline(F.array(*cells))).groupBy(*BY, "grid", "grp", "sym").agg(F.sum("cnt").alias("cnt"))
@@ -161,7 +160,7 @@ _EH = f"eh AS (SELECT img, ch, {_E9} AS e, v - {sql.med()} AS sym, count(*) AS c
 @R.add(sql.q(*E_TP, _EH, "es AS (SELECT DISTINCT img, ch, e FROM eh), pr AS (SELECT x.img, x.ch, x.e AS e1, y.e AS e2 FROM es x JOIN es y ON x.img = y.img AND x.ch = y.ch AND x.e < y.e), hist AS (SELECT img, ch, e AS e1, e AS e2, sym, cnt FROM eh UNION ALL SELECT pr.img, pr.ch, e1, e2, sym, sum(cnt) FROM pr JOIN eh ON eh.img = pr.img AND eh.ch = pr.ch AND (eh.e = e1 OR eh.e = e2) GROUP BY ALL)", sql.huffman("img, ch, e1, e2"), "one AS (SELECT img, ch, e1 AS e, huff + 16 + 24 * alphabet AS bits FROM hf WHERE e1 = e2)", sql.first("(SELECT h.img, h.ch, h.e1, h.e2, x.bits + y.bits - (h.huff + 16 + 24 * h.alphabet) AS gain FROM hf h JOIN one x ON x.img = h.img AND x.ch = h.ch AND x.e = h.e1 JOIN one y ON y.img = h.img AND y.ch = h.ch AND y.e = h.e2 WHERE h.e1 < h.e2)", "img, ch", "gain DESC, e1, e2", "best"), "SELECT img, ch, e1, e2, gain FROM best"))
 def best_merge(spark: SparkSession, d: str) -> DataFrame:
     """The pair of energy classes whose union under one table saves most (one round of agglomeration)."""
-    df = base.med_residuals(spark, d).filter("ch = 0").withColumn("e", contexts.energy9(A, B, C))
+    df = base.med_residuals(spark, d).filter("ch = 0").withColumn("e", contexts.energy9(F.col("a"), F.col("b"), F.col("c")))
     hist = costs.histogram(df, [*BY, "e"])
     # every class goes to the pairs it is in: nine classes, so at most 45 copies of a few rows
     pairs = hist.select(*BY, "e", "sym", "cnt", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("o")).select(*BY, F.least("e", "o").alias("e1"), F.greatest("e", "o").alias("e2"), "sym", "cnt")
@@ -178,7 +177,7 @@ def histogram_divergence(spark: SparkSession, d: str) -> DataFrame:
     """Jensen-Shannon divergence of every two energy classes of a luma plane."""
     from pyspark.sql import Window
 
-    df = base.med_residuals(spark, d).filter("ch = 0").withColumn("e", contexts.energy9(A, B, C))
+    df = base.med_residuals(spark, d).filter("ch = 0").withColumn("e", contexts.energy9(F.col("a"), F.col("b"), F.col("c")))
     hist = costs.histogram(df, ["img", "e"]).withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("img", "e")))
     there = hist.groupBy("img").agg(F.collect_set("e").alias("es"))
     pairs = hist.join(there, "img").select("img", "e", "sym", "p", F.explode("es").alias("o")).filter("e <> o")
@@ -195,7 +194,7 @@ _FEATS = ("abs(b - c)", "abs(a - c)", "abs(d - b)", "abs(a - b)")
 def best_tree_split(spark: SparkSession, d: str) -> DataFrame:
     """The feature and threshold that split a luma plane into two tables of least cost (27 bits for the split)."""
     df = base.med_residuals(spark, d).filter("ch = 0")
-    feats = (F.abs(B - C), F.abs(A - C), F.abs(D - B), F.abs(A - B))
+    feats = (F.abs(F.col("b") - F.col("c")), F.abs(F.col("a") - F.col("c")), F.abs(F.col("d") - F.col("b")), F.abs(F.col("a") - F.col("b")))
     cells = [F.struct(F.lit(k).alias("f"), x.alias("x")) for k, x in enumerate(feats)]
     hist = df.select(*BY, "r", F.inline(F.array(*cells))).groupBy(*BY, "f", "x", F.col("r").alias("sym")).agg(F.count(F.lit(1)).alias("cnt"))
     sides = hist.select(*BY, "f", "x", "sym", "cnt", F.explode(F.array(*[F.lit(t) for t in _CUTS])).alias("cut")).groupBy(*BY, "f", "cut", (F.col("x") > F.col("cut")).cast("int").alias("side"), "sym").agg(F.sum("cnt").alias("cnt"))
