@@ -60,8 +60,8 @@ def byte_table(*, drop: list[tuple[int, int]]) -> np.ndarray:
 
 #: Words are runs of anything but ASCII white space.
 NON_SPACE = byte_table(drop=[(0x20, 0x20), (0x09, 0x0D)])
-#: Words are runs of ASCII letters and digits and of non-ASCII bytes.
-ALNUM = byte_table(drop=[(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
+#: Words are runs of ASCII letters and digits and of non-ASCII bytes. A-Z count as letters: they are read as a-z.
+ALNUM = byte_table(drop=[(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
