@@ -5,10 +5,11 @@ four and five bytes, which inflected forms share (hashed to 2^18 weights); a doc
 to fit the weights, by gradient ascent on the likelihood of the noisy-or; afterwards the sentence scores tell
 which sentences offend (offending()).
 
-Fitting uses at most `most_rows` labelled rows of each class (parameter, default 3000), chosen by a hash of
+Fitting uses at most `most_rows` labelled rows of each class (parameter, default 2000), chosen by a hash of
 the id, of at most `most_bytes` bytes (default 1 MB) each; scoring covers every document and its whole text.
 Labels: null labels and ids are left out, of repeated ones the largest counts. Empty and null texts get the score of no evidence (0 sentences:
-0.0). Without labels of both classes every weight is 0 and every score 0. Repeated rows score alike.
+0.0). Without labels of both classes every weight is 0 and every
+score next to 0 (below 1e-9 for a text of ordinary length). Repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300, rate:
     """Weights and bias from (label, slots, first word of each sentence) by Adam on the noisy-or likelihood."""
     weights, bias = np.zeros(1 << BITS), -4.0
     bags = [b for b in bags if len(b[1])]
+    number = len(bags)
     labels = np.array([b[0] for b in bags], float)
     if len(set(labels.tolist())) < 2:
         return weights, -30.0
@@ -78,20 +80,21 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300, rate:
     length = np.diff(np.append(begins, len(slots)))
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     w, m, v = (np.zeros(len(weights) + 1) for _ in range(3))
+    del bags[:]  # their slots are in one array now
     w[-1] = bias
     for t in range(1, rounds + 1):
-        s = _sigmoid(np.add.reduceat(w[slots], begins) + w[-1])
+        s = _sigmoid(np.add.reduceat(w.astype(np.float32)[slots], begins) + w[-1])
         p = np.clip(noisy_or(s, first), 1e-9, 1 - 1e-9)
         # d log L / d x_i of a sentence: s_i * (y / p - 1), as d p / d x_i = (1 - p) * s_i
         g = s * (labels / p - 1)[bag] * weight[bag]
-        grad = np.append(np.bincount(slots, np.repeat(g, length), len(weights)), g.sum()) / len(bags) - decay * np.append(w[:-1], 0)
+        grad = np.append(np.bincount(slots, np.repeat(g.astype(np.float32), length), len(weights)), g.sum()) / number - decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         m[:-1] *= common
         w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def trained(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = 3000, most_bytes: int = 1 << 20) -> tuple[np.ndarray, float]:
+def trained(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = 2000, most_bytes: int = 1 << 20) -> tuple[np.ndarray, float]:
     """Fit on labelled documents for which usable (an expression over doc_id) holds."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     parts = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
@@ -107,8 +110,7 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int =
         return [pa.array(slots, pa.binary()), pa.array(begins, pa.binary())]
 
     made = mapped(texts, step, [T.StructField("slots", T.BinaryType()), T.StructField("begins", T.BinaryType())]).select("doc_id", "toxic", "slots", "begins")
-    rows = sorted(made.collect())
-    return fit([(r.toxic, np.frombuffer(r.slots, np.int32), np.frombuffer(r.begins, np.int32).astype(np.int64)) for r in rows])
+    return fit([(r.toxic, np.frombuffer(r.slots, np.int32), np.frombuffer(r.begins, np.int32).astype(np.int64)) for r in sorted(made.collect())])
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
