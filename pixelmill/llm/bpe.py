@@ -21,8 +21,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,9 @@ from .text import mapped, read
 #: The pattern by which byte-level BPE splits text before merging (a fixed value of the tokenizer's format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Paths kept per Python worker.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 180_000
+#: Transitions kept per Python worker.
+KEPT_ARCS = 150_000
 #: The same pattern for texts below U+0250, with the letters and numbers there spelled out for the faster engine.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 SPLIT_LATIN = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
@@ -81,13 +85,13 @@ class Automaton:
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self._gadget(self.ids[label(a)], self.ids[label(b)], self.ids[label(a + b)], rank)
-        self.table.clear()
         self.spines.clear()
+        self.ids = {label: i for label, i in self.ids.items() if self._whole(i)}  # the others have no arc
         self.paths = _Paths(self)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def _gadget(self, a: int, b: int, c: int, rank: int) -> None:
-        if self._leads(a, b):
+        if self._whole(a) and self._whole(b) and self._leads(a, b):
             target = tuple((v, min(until, rank)) for v, until in self.state[b])
             self.state[c] = ((c, _NEVER), *target)
             self.left[c] = (a, rank)
@@ -121,7 +125,7 @@ class Automaton:
         key = last << 24 | x
         got = self.table.get(key)
         if got is None:
-            if len(self.table) >= 2_000_000:
+            if len(self.table) >= KEPT_ARCS:
                 self.table.clear()
             got = self.table[key] = self._leads(last, x)
         return got
@@ -135,7 +139,7 @@ class Automaton:
         while at < n:
             while size:
                 x = ids.get(word[at : at + size])
-                if x is not None and (leads(last, x) if out else self._whole(x)) and (not dead or (at + size, x) not in dead):
+                if x is not None and (not out or leads(last, x)) and (not dead or (at + size, x) not in dead):
                     break
                 size -= 1
             if size:
@@ -152,7 +156,7 @@ class Automaton:
         return tuple(out)
 
     def _whole(self, x: int) -> bool:
-        """Whether x was made by a merge (a token that no merge reaches has no arc)."""
+        """Whether x is a byte or was made by a merge that can happen."""
         return x in self.left or len(self.arcs[x]) == 1
 
     def encode(self, text: str) -> list[int]:
@@ -213,7 +217,11 @@ def encoded(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
     """df with token_ids."""
 
     def make(a: Automaton, column: pa.Array) -> list[pa.Array]:
-        return [pa.array([a.encode(x.as_py() or "") for x in column], pa.list_(pa.int32()))]
+        ids, ends = array("i"), [0]
+        for x in column:
+            ids.extend(a.encode(x.as_py() or ""))
+            ends.append(len(ids))
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))]
 
     return _with(df, text, path, make, [T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
@@ -227,20 +235,24 @@ def decoded(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> D
     return _with(df, ids, path, make, [T.StructField("decoded_text", T.StringType())])
 
 
-def digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256 of encoding each text and decoding the ids again."""
+def tokenized(df: DataFrame, text: str = "text", path: str | None = None, ids: bool = True) -> DataFrame:
+    """df with n_tokens, ids_sha256 and decoded_sha256 of encoding each text and decoding the ids again; with token_ids if asked."""
 
     def make(a: Automaton, column: pa.Array) -> list[pa.Array]:
         names = _names(a)
-        n, ids_sha, text_sha = [], [], []
+        held, ends, ids_sha, text_sha = array("i"), [0], [], []
         for x in column:
-            ids = a.encode(x.as_py() or "")
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-            text_sha.append(hashlib.sha256(a.decode(ids).encode()).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+            own = a.encode(x.as_py() or "")
+            ends.append(ends[-1] + len(own))
+            if ids:
+                held.extend(own)
+            ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, own)).encode()).hexdigest())
+            text_sha.append(hashlib.sha256(a.decode(own).encode()).hexdigest())
+        out = [pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(held, np.int32))), *out] if ids else out
 
-    return _with(df, text, path, make, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return _with(df, text, path, make, [T.StructField("token_ids", T.ArrayType(T.IntegerType())), *fields] if ids else fields)
 
 
 def _names(a: Automaton) -> list[str]:
@@ -251,4 +263,4 @@ def _names(a: Automaton) -> list[str]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: see the contract; one row per document."""
-    return digests(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return tokenized(read(spark, sf_dir, "documents").select("doc_id", "text"), ids=False).drop("text")

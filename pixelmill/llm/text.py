@@ -129,10 +129,22 @@ def word_hashes(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np
     return start, stop, first, span_hash(prefix_hash(data), start, stop)
 
 
+#: Bytes of a batch of rows on their way to Python and back, several copies of which are held at a time.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that memory doesn't follow the length of texts. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("b")) > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """df with the columns that step makes from each Arrow batch; columns of these names in df are replaced."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     df = df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in new])
     schema = T.StructType([*df.schema.fields, *fields])
@@ -169,4 +181,5 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
