@@ -47,10 +47,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digests of ids and of the decoded text."""
-    out = bpe.decoded(bpe.encoded(docs))
-    sha = lambda c: F.sha2(c.cast("binary"), 256)
     names = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    return out.select(*names, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("token_ids").cast("array<string>"), ",")).alias("ids_sha256"), sha(F.col("decoded_text")).alias("decoded_sha256"))
+    return bpe.tokenized(docs).select(*names, "token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
