@@ -12,7 +12,8 @@ eight-byte symbols to a shallow depth, then a blind trie for every group that st
 lengths of the two orders then tell which strings around the anchor recur, and where.
 
 A text that occurs twice or more (128-bit digest) is repeated from end to end if it has `length` bytes; a task
-deals out its suffixes once. Null and empty texts, and those under `length` bytes, keep everything. Ids name
+deals out its suffixes once. Anchors whose surroundings recur within a batch are settled before the shuffle, so a
+very common passage sends few rows. Null and empty texts, and those under `length` bytes, keep everything. Ids name
 texts and must be unique (an exact repetition of a row is a copy of its text); rows with a null id are
 ignored as sources and keep everything but copies. Only the id and the text are read.
 """
@@ -72,11 +73,20 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return row, place - at[row], gram[place], mix(around + (right - place).astype(np.uint64))
 
 
+#: Kinds of dealt-out anchors: one whose surroundings the task saw once, one that stands for several, and those
+#: several, which need no partner any more.
+LONE, SEVERAL, SETTLED = 0, 1, 2
+
+
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+    """(gram, around, id, pos, kind) of all anchors. Surroundings that recur within a batch are settled there: one of
+    them is dealt out by gram to meet those of other batches, and all go on under a scattered gram."""
+
     def run(batches):
         done: set[int] = set()
         for batch in batches:
             ids = np.asarray(batch.column("id"))
+            parts = []
             for first, data, at in chunks(batch.column("text")):
                 keep = []
                 for i in range(len(at) - 1):
@@ -85,10 +95,21 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     done.add(h)
                 row, pos, gram, around = anchors(data, at, length)
                 use = np.array(keep)[row] if len(row) else np.zeros(0, bool)
-                if use.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[use].view(np.int64)), pa.array(around[use].view(np.int64)), pa.array(ids[first + row[use]], pa.int64()), pa.array(pos[use], pa.int64())], names=["gram", "around", "id", "pos"])
-
-    return docs.mapInArrow(run, "gram long, around long, id long, pos long")
+                parts.append((gram[use], around[use], ids[first + row[use]], pos[use]))
+            gram, around, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if not len(gram):
+                continue
+            order = np.lexsort((around, gram))
+            gram, around, doc, pos = gram[order], around[order], doc[order], pos[order]
+            new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])])
+            size = np.diff(np.append(np.flatnonzero(new), len(gram)))
+            many = np.repeat(size > 1, size)
+            scattered = mix(doc[many].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos[many].astype(np.uint64))
+            kinds = np.concatenate([np.where(size > 1, SEVERAL, LONE), np.full(many.sum(), SETTLED)])
+            both = [np.concatenate([x[new], y]) for x, y in ((gram, scattered), (around, around[many]), (doc, doc[many]), (pos, pos[many]))]
+            yield pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), pa.array(both[2], pa.int64()), pa.array(both[3], pa.int64()), pa.array(kinds, pa.int8())], names=["gram", "around", "id", "pos", "kind"])
+
+    return docs.mapInArrow(run, "gram long, around long, id long, pos long, kind byte")
 
 
 def _groups(batches):
@@ -96,18 +117,25 @@ def _groups(batches):
     held = [tuple(np.asarray(c) for c in b.columns) for b in batches if b.num_rows]
     if not held:
         return
-    gram, around, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((around, gram))
-    gram, around, doc, pos = gram[order], around[order], doc[order], pos[order]
-    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-    new = new_gram | np.concatenate([[True], around[1:] != around[:-1]])
-    at = np.flatnonzero(new)
-    alike = np.repeat(np.diff(np.append(at, len(gram))), np.diff(np.append(at, len(gram))))
-    kinds_at = np.flatnonzero(new_gram)
-    kinds = np.repeat(np.add.reduceat(new.astype(np.int64), kinds_at), np.diff(np.append(kinds_at, len(gram))))
-    for sort, mask in ((False, alike > 1), (True, (kinds > 1) & new)):
-        if mask.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(mask.sum(), sort)), pa.array(gram[mask]), pa.array(doc[mask]), pa.array(pos[mask])], names=["sort", "gram", "id", "pos"])
+    gram, around, doc, pos, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+    settled = kind == SETTLED
+    out = [(False, gram[settled], doc[settled], pos[settled])]
+    gram, around, doc, pos, kind = (x[~settled] for x in (gram, around, doc, pos, kind))
+    if len(gram):
+        order = np.lexsort((around, gram))
+        gram, around, doc, pos, kind = (x[order] for x in (gram, around, doc, pos, kind))
+        new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+        new = new_gram | np.concatenate([[True], around[1:] != around[:-1]])
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(gram)))
+        kinds_at = np.flatnonzero(new_gram)
+        kinds = np.repeat(np.add.reduceat(new.astype(np.int64), kinds_at), np.diff(np.append(kinds_at, len(gram))))
+        # those that stand for several are settled already, but settle the lone ones that they meet
+        alike = np.repeat(size, size) > 1
+        out += [(False, *(x[alike & (kind == LONE)] for x in (gram, doc, pos))), (True, *(x[(kinds > 1) & new] for x in (gram, doc, pos)))]
+    for sort, g, i, p in out:
+        if len(g):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), sort)), pa.array(g), pa.array(i), pa.array(p)], names=["sort", "gram", "id", "pos"])
 
 
 def common(a: bytes, b: bytes) -> int:
