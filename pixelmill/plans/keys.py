@@ -23,7 +23,7 @@ def context_energy9(spark: SparkSession, d: str) -> DataFrame:
 _GRIDS = ", ".join(f"({k}, [{', '.join(map(str, g))}])" for k, g in enumerate(contexts.ENERGY_GRIDS))
 
 
-@R.add(sql.q(*E_TP, f"gr(grid, th) AS (VALUES {_GRIDS})", "SELECT img, ch, grid, len(list_filter(th, lambda x: x < abs(a - c) + abs(b - c))) AS grp, count(*) AS n FROM b4, gr GROUP BY ALL"))
+@R.add(sql.q(*E_TP, f"gr(grid, th) AS (VALUES {_GRIDS})", "SELECT img, ch, grid, CAST(len(list_filter(th, lambda x: x < abs(a - c) + abs(b - c))) AS INTEGER) AS grp, count(*) AS n FROM b4, gr GROUP BY ALL"))
 def context_energy_grids(spark: SparkSession, d: str) -> DataFrame:
     """Energy groups under each of the fixed grids; a histogram of the energy comes first, so grids cost nothing per sample."""
     e = (F.abs(F.col("a") - F.col("c")) + F.abs(F.col("b") - F.col("c"))).alias("e")
@@ -57,7 +57,7 @@ def context_activity(spark: SparkSession, d: str) -> DataFrame:
 _ZE = "(abs(coalesce(l, 0) - coalesce(t, 0)) + abs(coalesce(l, 0) - coalesce(tl, 0)) + abs(coalesce(t, 0) - coalesce(tl, 0)))"
 
 
-@R.add(sql.q(*E_TP, f"z AS (SELECT img, ch, {_ZE} AS e FROM tp), th AS (SELECT img, ch, quantile_cont(CAST(e AS DOUBLE), [{', '.join(f'{k}/9.0' for k in range(1, 9))}]) AS t FROM z GROUP BY ALL)", "SELECT z.img, z.ch, len(list_filter(t, lambda x: x < e)) AS ctx, count(*) AS n, CAST(sum(e) AS BIGINT) AS energy FROM z JOIN th USING (img, ch) GROUP BY ALL"))
+@R.add(sql.q(*E_TP, f"z AS (SELECT img, ch, {_ZE} AS e FROM tp), th AS (SELECT img, ch, quantile_cont(CAST(e AS DOUBLE), [{', '.join(f'{k}/9.0' for k in range(1, 9))}]) AS t FROM z GROUP BY ALL)", "SELECT z.img, z.ch, CAST(len(list_filter(t, lambda x: x < e)) AS INTEGER) AS ctx, count(*) AS n, CAST(sum(e) AS BIGINT) AS energy FROM z JOIN th USING (img, ch) GROUP BY ALL"))
 def context_quantile_energy(spark: SparkSession, d: str) -> DataFrame:
     """Nine bins of an energy by its own quantiles (linear interpolation) in each image and channel."""
     df = neighbors.all_zero(neighbors.raw_taps(base.planes(spark, d), ("l", "t", "tl")))
@@ -70,7 +70,7 @@ def context_quantile_energy(spark: SparkSession, d: str) -> DataFrame:
 _ERR = f"""er AS (SELECT lk.*, v - {sql.med()} AS r FROM lk), e1 AS (SELECT *, coalesce(lag(abs(r)) OVER (PARTITION BY img, ch, i ORDER BY j), 0) AS rl, coalesce(lag(abs(r)) OVER (PARTITION BY img, ch, j ORDER BY i), 0) AS rt FROM er)"""
 
 
-@R.add(sql.q(*E_TP, sql.LOCO, _ERR, "SELECT img, ch, key * 4 + least(rl // 3, 3) AS err4, key * 4 + least(rt // 3, 3) AS err4t, count(*) AS n FROM e1 GROUP BY ALL"))
+@R.add(sql.q(*E_TP, sql.LOCO, _ERR, "SELECT img, ch, CAST(key * 4 + least(rl // 3, 3) AS BIGINT) AS err4, CAST(key * 4 + least(rt // 3, 3) AS BIGINT) AS err4t, count(*) AS n FROM e1 GROUP BY ALL"))
 def context_error_keys(spark: SparkSession, d: str) -> DataFrame:
     """Gradient keys refined by the size of the residual to the left, and above."""
     df = contexts.loco(base.taps(spark, d)).withColumn("r", F.abs(F.col("v") - predictors.med(F.col("a"), F.col("b"), F.col("c"))))
@@ -81,7 +81,7 @@ def context_error_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("img", "ch", F.inline(F.transform("p", cell))).groupBy("img", "ch", "err4", "err4t").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(sql.q(*E_TP, sql.LOCO, f"lu AS (SELECT img, i, j, abs(v - {sql.med()}) AS ry FROM b4 WHERE ch = 0)", "SELECT img, ch, CASE WHEN ch = 0 THEN key ELSE key * 4 + least(ry // 4, 3) END AS ymag, count(*) AS n FROM lk JOIN lu USING (img, i, j) GROUP BY ALL"))
+@R.add(sql.q(*E_TP, sql.LOCO, f"lu AS (SELECT img, i, j, abs(v - {sql.med()}) AS ry FROM b4 WHERE ch = 0)", "SELECT img, ch, CAST(CASE WHEN ch = 0 THEN key ELSE key * 4 + least(ry // 4, 3) END AS BIGINT) AS ymag, count(*) AS n FROM lk JOIN lu USING (img, i, j) GROUP BY ALL"))
 def context_luma_magnitude(spark: SparkSession, d: str) -> DataFrame:
     """Chroma keys refined by the luma residual at the same place."""
     df = contexts.loco(base.taps(spark, d)).withColumn("r", F.abs(F.col("v") - predictors.med(F.col("a"), F.col("b"), F.col("c"))))
@@ -115,7 +115,7 @@ def context_luma_bins(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("k", "img", "ch", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("r")).alias("l1"))
 
 
-@R.add(sql.q(*E_TP, _LUMA, "th AS (SELECT img, ch, quantile_cont(CAST(ry AS DOUBLE), [0.25, 0.5, 0.75]) AS t FROM cr GROUP BY ALL)", "SELECT cr.img, cr.ch, len(list_filter(t, lambda x: x < ry)) AS bin, count(*) AS n, CAST(sum(abs(r)) AS BIGINT) AS l1 FROM cr JOIN th USING (img, ch) GROUP BY ALL"))
+@R.add(sql.q(*E_TP, _LUMA, "th AS (SELECT img, ch, quantile_cont(CAST(ry AS DOUBLE), [0.25, 0.5, 0.75]) AS t FROM cr GROUP BY ALL)", "SELECT cr.img, cr.ch, CAST(len(list_filter(t, lambda x: x < ry)) AS INTEGER) AS bin, count(*) AS n, CAST(sum(abs(r)) AS BIGINT) AS l1 FROM cr JOIN th USING (img, ch) GROUP BY ALL"))
 def context_luma_quantile_bins(spark: SparkSession, d: str) -> DataFrame:
     hist = _with_luma(spark, d).groupBy("img", "ch", "ry").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("r")).alias("l1"))
     cuts = hist.groupBy("img", "ch").agg(F.percentile("ry", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("t"))
@@ -129,7 +129,7 @@ def spatial_cells(spark: SparkSession, d: str) -> DataFrame:
     return df.select("img", "ch", "v", F.inline(F.array(*cells))).groupBy("parts", "img", "ch", "cell").agg(F.count(F.lit(1)).alias("cnt"), F.sum("v").alias("total"))
 
 
-@R.add(sql.q(*E_TP, _RES, "SELECT n AS bands, img, ch, (i * n) // 64 AS band, count(*) AS cnt, CAST(sum(abs(r)) AS BIGINT) AS l1 FROM rs, (VALUES (2), (4)) x(n) GROUP BY ALL"))
+@R.add(sql.q(*E_TP, _RES, "SELECT n AS bands, img, ch, CAST((i * n) // 64 AS BIGINT) AS band, count(*) AS cnt, CAST(sum(abs(r)) AS BIGINT) AS l1 FROM rs, (VALUES (2), (4)) x(n) GROUP BY ALL"))
 def horizontal_bands(spark: SparkSession, d: str) -> DataFrame:
     df = base.med_residuals(spark, d).groupBy("img", "ch", "i").agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.abs("r")).alias("l1"))
     cells = [F.struct(F.lit(n).alias("bands"), F.floor(F.col("i") * n / 64).alias("band")) for n in (2, 4)]

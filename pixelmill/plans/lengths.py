@@ -171,7 +171,7 @@ def residual_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select("img", "ch", "symbols", "n", F.round(F.col("s") / F.col("n"), 6).alias("mean_abs"), (-F.col("x.m")).alias("mode"))
 
 
-@R.add(sql.q(*E_H, "t AS (SELECT *, row_number() OVER (PARTITION BY img, ch ORDER BY cnt DESC, sym) AS nth FROM hist)", "SELECT img, ch, nth, sym, cnt FROM t WHERE nth <= 5"))
+@R.add(sql.q(*E_H, "t AS (SELECT *, row_number() OVER (PARTITION BY img, ch ORDER BY cnt DESC, sym) AS nth FROM hist)", "SELECT img, ch, CAST(nth AS INTEGER) AS nth, sym, cnt FROM t WHERE nth <= 5"))
 def top_symbols(spark: SparkSession, d: str) -> DataFrame:
     """A report of the five commonest residuals."""
     w = Window.partitionBy("img", "ch").orderBy(F.desc("cnt"), "sym")

@@ -30,12 +30,12 @@ def src_doc_raster(spark: SparkSession, d: str) -> DataFrame:
     return rasters.document_plane(spark, d).select("img", "i", F.posexplode("row").alias("j", "v"))
 
 
-@R.add("SELECT 0 AS img, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(j AS INTEGER) AS r, CAST(i AS INTEGER) AS g, 128 AS b FROM range(64) a(i), range(64) c(j)")
+@R.add("SELECT CAST(0 AS BIGINT) AS img, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(j AS INTEGER) AS r, CAST(i AS INTEGER) AS g, 128 AS b FROM range(64) a(i), range(64) c(j)")
 def gen_gradient(spark: SparkSession, d: str) -> DataFrame:
     return rasters.pixels(rasters.gradient_raster(spark))
 
 
-@R.add("SELECT 0 AS img, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN (j // 8) % 2 = 0 THEN 0 ELSE 255 END AS r, CASE WHEN (j // 8) % 2 = 0 THEN 255 ELSE 0 END AS g, CASE WHEN (i // 8) % 2 = 0 THEN 0 ELSE 255 END AS b FROM range(64) a(i), range(64) c(j)")
+@R.add("SELECT CAST(0 AS BIGINT) AS img, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN (j // 8) % 2 = 0 THEN 0 ELSE 255 END AS r, CASE WHEN (j // 8) % 2 = 0 THEN 255 ELSE 0 END AS g, CASE WHEN (i // 8) % 2 = 0 THEN 0 ELSE 255 END AS b FROM range(64) a(i), range(64) c(j)")
 def gen_bars(spark: SparkSession, d: str) -> DataFrame:
     return rasters.pixels(rasters.bars_raster(spark))
 

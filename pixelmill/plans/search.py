@@ -215,7 +215,7 @@ def pareto_front(spark: SparkSession, d: str) -> DataFrame:
 _BLOCKS = "bk AS (SELECT img, ch, i, j, v FROM pl WHERE ch = 0)"
 
 
-@R.add(sql.q(sql.EVT, sql.ycocg("evt"), _BLOCKS, "t AS (SELECT img, i // 8 * 8 AS y0, j // 8 * 8 AS x0, i % 8 AS di, j % 8 AS dj, v FROM bk), o AS (SELECT DISTINCT img, y0, x0 FROM t), c AS (SELECT o.img, o.y0, o.x0, cy, cx FROM o, range(0, 57, 8) a(cy), range(0, 57, 8) b(cx) WHERE cy + 8 <= y0 OR (cy >= y0 - 7 AND cx + 8 <= x0)), s AS (SELECT c.img, c.y0, c.x0, cy, cx, CAST(sum(abs(t.v - bk.v)) AS BIGINT) AS sad, count(*) AS n FROM c JOIN t ON t.img = c.img AND t.y0 = c.y0 AND t.x0 = c.x0 JOIN bk ON bk.img = c.img AND bk.i = cy + di AND bk.j = cx + dj GROUP BY ALL)", sql.first("(SELECT * FROM s WHERE n = 64)", "img, y0, x0", "sad, cy, cx", "best"), "SELECT img, y0 AS block_i, x0 AS block_j, cy AS from_i, cx AS from_j, sad FROM best"))
+@R.add(sql.q(sql.EVT, sql.ycocg("evt"), _BLOCKS, "t AS (SELECT img, i // 8 * 8 AS y0, j // 8 * 8 AS x0, i % 8 AS di, j % 8 AS dj, v FROM bk), o AS (SELECT DISTINCT img, y0, x0 FROM t), c AS (SELECT o.img, o.y0, o.x0, cy, cx FROM o, range(0, 57, 8) a(cy), range(0, 57, 8) b(cx) WHERE cy + 8 <= y0 OR (cy >= y0 - 7 AND cx + 8 <= x0)), s AS (SELECT c.img, c.y0, c.x0, cy, cx, CAST(sum(abs(t.v - bk.v)) AS BIGINT) AS sad, count(*) AS n FROM c JOIN t ON t.img = c.img AND t.y0 = c.y0 AND t.x0 = c.x0 JOIN bk ON bk.img = c.img AND bk.i = cy + di AND bk.j = cx + dj GROUP BY ALL)", sql.first("(SELECT * FROM s WHERE n = 64)", "img, y0, x0", "sad, cy, cx", "best"), "SELECT img, CAST(y0 AS BIGINT) AS block_i, CAST(x0 AS BIGINT) AS block_j, cy AS from_i, cx AS from_j, sad FROM best"))
 def patch_search(spark: SparkSession, d: str) -> DataFrame:
     """The causal 8 x 8 patch (on an 8-grid) nearest to each luma block, by the sum of absolute differences.
 

@@ -181,7 +181,7 @@ def canonical_code_tables(spark: SparkSession, d: str) -> DataFrame:
     return costs.canonical_codes(hist.mapInArrow(run, "img long, ch int, sym int, len int"), ["img", "ch"])
 
 
-@R.add(sql.q(*PLANES, "SELECT DISTINCT img, ch, 1.0 AS kraft FROM pl"))
+@R.add(sql.q(*PLANES, "SELECT DISTINCT img, ch, CAST(1.0 AS DOUBLE) AS kraft FROM pl"))
 def kraft_sums(spark: SparkSession, d: str) -> DataFrame:
     """A complete prefix code's shares sum to one."""
     return canonical_code_tables(spark, d).groupBy("img", "ch").agg(F.round(F.sum(F.pow(F.lit(2.0), -F.col("len"))) * F.when(F.count(F.lit(1)) == 1, 2.0).otherwise(1.0), 9).alias("kraft"))
