@@ -173,8 +173,11 @@ def judged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return judged(docs, benchmark, **options).filter(~F.col("contaminated")).select([f"`{c}`" for c in docs.columns])
+    """The documents that are not contaminated, with their own columns (also those that judged() would replace)."""
+    added = {"n_words", "hit_spans", "hit_items", "n_hit", "contaminated"}
+    apart = docs.select([F.col(f"`{c}`").alias(f"__own_{c}" if c.lower() in added else c) for c in docs.columns])
+    out = judged(apart, benchmark, **options).filter(~F.col("contaminated"))
+    return out.select([F.col(f"`{a}`").alias(c) for a, c in zip(apart.columns, docs.columns, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,5 +222,10 @@ def test_pipeline(spark, tmp_path):
     ids = {r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
     assert not ids & {i for i, t in toxic if "vileness" in t} and {5001} <= ids and 5000 not in ids
     assert len(ids & {i for i, t in toxic if "vileness" not in t}) > 0
+    clash = base.selectExpr("*", "doc_id as n_words", "'t' as kept_text", "-1 as score", "0 as key", "'q' as contaminated", "doc_id as kept_id2", "doc_id as rep")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, base, f"file://{tmp_path}").columns == base.columns
+        out = stage(spark, clash, f"file://{tmp_path}")
+        assert out.columns == clash.columns
+        for r in out.collect():
+            assert (r.n_words, r.kept_text, r.score, r.key, r.contaminated, r.rep) == (r.doc_id, "t", -1, 0, "q", r.doc_id)
+        assert stage(spark, clash.limit(0), f"file://{tmp_path}").count() == 0
