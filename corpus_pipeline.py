@@ -13,18 +13,26 @@ from pixelmill.llm import bpe, decontaminate, jaccard, lines, toxicity
 from pixelmill.llm.text import read, shared_dir
 
 
+def _apart(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with its columns of these names (an operator's own) under others, until _own() brings them back."""
+    return docs.select([F.col(f"`{c}`").alias(f"__own_{c}" if c.lower() in names else c) for c in docs.columns])
+
+
 def _own(out: DataFrame, docs: DataFrame) -> DataFrame:
-    return out.select([out[f"`{c}`"] for c in docs.columns])
+    """The columns of docs, from out."""
+    there = set(out.columns)
+    return out.select([F.col(f"`__own_{c}`").alias(c) if f"__own_{c}" in there else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
-    return _own(toxicity.predicted(docs, read(spark, sf_dir, "labels")).filter("predicted = 0"), docs)
+    out = toxicity.predicted(_apart(docs, "score", "predicted"), read(spark, sf_dir, "labels"))
+    return _own(out.filter("predicted = 0"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later copies of repeated runs of lines; n_chars follows the text."""
-    out = lines.deduplicated(docs)
+    out = lines.deduplicated(_apart(docs, "kept_text", "n_lines", "removed_runs"))
     cut = F.size("removed_runs") > 0
     made = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
@@ -36,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document with the smallest id; of repeated rows one."""
     kept = jaccard.near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     # rows are together by id after the join, so repeated ones meet without another shuffle
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop("kept_id").dropDuplicates()
-    return _own(named, docs).unionByName(docs.filter("doc_id is null"))
+    named = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop(kept["kept_id"]).dropDuplicates()
+    return named.unionByName(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
