@@ -9,7 +9,8 @@ equal anchors. So only suffixes at anchors (about one byte in 77) are dealt out,
 surroundings of an anchor recur (compared as one hash), all around it is repeated. Else the suffixes at equal
 anchors are sorted, forwards and backwards from the anchor, by deep-shallow sorting: multikey quicksort on
 eight-byte symbols to a shallow depth, then a blind trie for every group that still ties. Common prefix
-lengths of the two orders then tell which strings around the anchor recur, and where.
+lengths of the two orders then tell which strings around the anchor recur, and where. A gram with more different
+surroundings than a task should hold (HOT_GROUP) has its windows dealt out by digest instead.
 
 A text that occurs twice or more (128-bit digest) is repeated from end to end if it has `length` bytes; a task
 deals out its suffixes once. Anchors whose surroundings recur within a batch are settled before the shuffle, so a
@@ -34,6 +35,8 @@ from .text import chunks, mapped, mix, prefix_hash, read, span_hash, written
 GRAM = 48
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 24
+#: Different surroundings of one gram that one task sorts; beyond, windows are dealt out by their digests.
+HOT_GROUP = 20_000
 #: Up to so many suffixes at one anchor are compared in pairs of their sorted orders.
 PAIRS = 32
 _RAW = np.arange(1, 257, dtype=np.uint64)
@@ -112,14 +115,18 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "gram long, around long, id long, pos long, kind byte")
 
 
-def _groups(batches):
-    """(sort, gram, id, pos): anchors whose surroundings recur (sort false), and those whose suffixes must be sorted."""
+#: What is left to do with anchors: nothing (their surroundings recur), sort their suffixes, or compare windows one by one.
+ALIKE, SORT, CROWDED = 0, 1, 2
+
+
+def _groups(batches, crowd: int):
+    """(todo, gram, id, pos) of the anchors whose gram recurs."""
     held = [tuple(np.asarray(c) for c in b.columns) for b in batches if b.num_rows]
     if not held:
         return
     gram, around, doc, pos, kind = (np.concatenate(x) for x in zip(*held, strict=True))
     settled = kind == SETTLED
-    out = [(False, gram[settled], doc[settled], pos[settled])]
+    out = [(ALIKE, gram[settled], doc[settled], pos[settled])]
     gram, around, doc, pos, kind = (x[~settled] for x in (gram, around, doc, pos, kind))
     if len(gram):
         order = np.lexsort((around, gram))
@@ -132,10 +139,11 @@ def _groups(batches):
         kinds = np.repeat(np.add.reduceat(new.astype(np.int64), kinds_at), np.diff(np.append(kinds_at, len(gram))))
         # those that stand for several are settled already, but settle the lone ones that they meet
         alike = np.repeat(size, size) > 1
-        out += [(False, *(x[alike & (kind == LONE)] for x in (gram, doc, pos))), (True, *(x[(kinds > 1) & new] for x in (gram, doc, pos)))]
-    for sort, g, i, p in out:
+        for todo, mask in ((ALIKE, alike & (kind == LONE)), (SORT, (kinds > 1) & (kinds <= crowd) & new), (CROWDED, (kinds > crowd) & new)):
+            out.append((todo, gram[mask], doc[mask], pos[mask]))
+    for todo, g, i, p in out:
         if len(g):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), sort)), pa.array(g), pa.array(i), pa.array(p)], names=["sort", "gram", "id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), todo), pa.int8()), pa.array(g), pa.array(i), pa.array(p)], names=["todo", "gram", "id", "pos"])
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -293,16 +301,35 @@ def _contexts(batches, length: int):
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["gram", "id", "pos", "before", "after"])
 
 
+def _windows(batches, length: int):
+    """(digest, id, lo) of every window around the places of batches (id, text, places)."""
+    for batch in batches:
+        digests, ids, los = [], [], []
+        for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "places")), strict=True):
+            data = (text or "").encode()
+            starts = {x for p in places for x in range(max(0, p["pos"] - (length - GRAM)), min(p["pos"], len(data) - length) + 1)}
+            for x in sorted(starts):
+                digests.append(xxhash.xxh3_128_digest(data[x : x + length]))
+                ids.append(doc)
+                los.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(los, pa.int64())], names=["digest", "id", "lo"])
+
+
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """(id, spans: [(lo, hi)]) of docs (id, text): stretches of bytes that recur; they may overlap."""
     size = F.octet_length(F.coalesce("text", F.lit("")))
     known = docs.filter(F.col("id").isNotNull() & (size >= length))
-    found = written(_anchor_rows(known, length).repartition("gram").mapInArrow(_groups, "sort boolean, gram long, id long, pos long"), "anchors")
-    alike = found.filter("not sort").select("id", F.greatest(F.lit(0), F.col("pos") - (length - GRAM)).alias("lo"), (F.col("pos") + length).alias("hi"))
-    places = found.filter("sort").groupBy("id").agg(F.collect_list(F.struct("gram", "pos")).alias("places"))
-    around = known.join(places, "id").select("id", "text", "places").mapInArrow(lambda b: _contexts(b, length), "gram long, id long, pos long, before binary, after binary")
+    found = written(_anchor_rows(known, length).repartition("gram").mapInArrow(lambda b, crowd=HOT_GROUP: _groups(b, crowd), "todo byte, gram long, id long, pos long"), "anchors")
+    alike = found.filter(F.col("todo") == ALIKE).select("id", F.greatest(F.lit(0), F.col("pos") - (length - GRAM)).alias("lo"), (F.col("pos") + length).alias("hi"))
+    places = lambda todo: found.filter(F.col("todo") == todo).groupBy("id").agg(F.collect_list(F.struct("gram", "pos")).alias("places"))
+    around = known.join(places(SORT), "id").select("id", "text", "places").mapInArrow(lambda b: _contexts(b, length), "gram long, id long, pos long, before binary, after binary")
     edges = around.repartition("gram").mapInArrow(lambda b: _sorted(b, length), "id long, lo long, hi long")
-    return alike.unionAll(edges).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = alike.unionAll(edges)
+    if not found.filter(F.col("todo") == CROWDED).isEmpty():
+        windows = written(known.join(places(CROWDED), "id").select("id", "text", "places").mapInArrow(lambda b: _windows(b, length), "digest binary, id long, lo long").distinct(), "windows")
+        many = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+        spans = spans.unionAll(windows.join(many, "digest").select("id", "lo", (F.col("lo") + length).alias("hi")))
+    return spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def copies(docs: DataFrame, length: int) -> DataFrame:

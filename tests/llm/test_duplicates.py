@@ -85,9 +85,10 @@ def covered(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("seed", "pairs"), [(1, 32), (6, 2)])
-def test_repeated_substrings(spark, monkeypatch, seed, pairs):
+@pytest.mark.parametrize(("seed", "pairs", "crowd"), [(1, 32, 20_000), (6, 2, 20_000), (1, 32, 2)])
+def test_repeated_substrings(spark, monkeypatch, seed, pairs, crowd):
     monkeypatch.setattr(substrings, "PAIRS", pairs)
+    monkeypatch.setattr(substrings, "HOT_GROUP", crowd)
     rows = corpus(seed, 5, 4)
     out = substrings.without_repeats(frame(spark, rows)).collect()
     got = {r.doc_id: (r.n_bytes, sum(x.hi - x.lo for x in r.removed), len(r.removed), bytes(r.kept)) for r in out}
