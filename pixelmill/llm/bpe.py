@@ -34,10 +34,9 @@ from .text import mapped, read
 
 #: The pattern by which byte-level BPE splits text before merging (a fixed value of the tokenizer's format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Paths kept per Python worker.
-KEPT_WORDS = 180_000
-#: Transitions kept per Python worker.
-KEPT_ARCS = 150_000
+#: Paths and transitions kept per Python worker, in each of two generations.
+KEPT_WORDS = 220_000
+KEPT_ARCS = 220_000
 #: The same pattern for texts below U+0250, with the letters and numbers there spelled out for the faster engine.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 SPLIT_LATIN = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
@@ -82,6 +81,7 @@ class Automaton:
         self.left: dict[int, tuple[int, int]] = {}
         self.spines: dict[int, tuple[tuple[int, int], ...]] = {}
         self.table: dict[int, bool] = {}
+        self.old_table: dict[int, bool] = {}
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self._gadget(self.ids[label(a)], self.ids[label(b)], self.ids[label(a + b)], rank)
@@ -125,9 +125,12 @@ class Automaton:
         key = last << 24 | x
         got = self.table.get(key)
         if got is None:
+            got = self.old_table.get(key)
+            if got is None:
+                got = self._leads(last, x)
             if len(self.table) >= KEPT_ARCS:
-                self.table.clear()
-            got = self.table[key] = self._leads(last, x)
+                self.old_table, self.table = self.table, {}
+            self.table[key] = got
         return got
 
     def path(self, word: bytes) -> tuple[int, ...]:
@@ -175,15 +178,21 @@ class Automaton:
 
 
 class _Paths(dict):
+    """Words' paths. When a generation is full the one before it goes, but for words met again meanwhile."""
+
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton = automaton
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        got = self.automaton.path(word.encode())
+        got = self.old.get(word)
+        if got is None:
+            got = self.automaton.path(word.encode())
         if len(word) <= 40:
+            if len(self) >= KEPT_WORDS:
+                self.old = dict(self)
+                self.clear()
             self[word] = got
         return got
 
