@@ -78,6 +78,16 @@ def golomb_biased(hist: DataFrame, by: Sequence[str], biases: Sequence[int] = (-
     return best.select(*by, "x.d", "x.k", "x.bits")
 
 
+def three_costs(hist: DataFrame, by: Sequence[str], most: int = 12) -> DataFrame:
+    """by, n, alphabet, huff, stream, k, golomb and entropy from one aggregation of the counts."""
+    m = zigzag(F.col("sym")).cast("long")
+    sums = [F.sum(F.col("cnt") * (F.shiftright("m", k) + 1 + k)).alias(f"k{k}") for k in range(most + 1)]
+    df = hist.withColumn("m", m).groupBy(*by).agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("alphabet"), F.collect_list("cnt").alias("counts"), F.sum(F.col("cnt") * F.log2("cnt")).alias("x"), *sums)
+    best = F.array_min(F.array(*[F.struct(F.col(f"k{k}").alias("bits"), F.lit(k).alias("k")) for k in range(most + 1)]))
+    df = df.select(*by, "n", "alphabet", huffman_fold(F.col("counts")).alias("huff"), best.alias("g"), F.round(F.col("n") * F.log2("n") - F.col("x"), 4).alias("entropy"))
+    return df.select(*by, "n", "alphabet", "huff", (F.col("huff") + 16 + 24 * F.col("alphabet")).alias("stream"), "g.k", F.col("g.bits").alias("golomb"), "entropy")
+
+
 def rice_by_mean(hist: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, k and bits: k is the floor of log2 of the mean magnitude of nonzero symbols, within 0..8."""
     df = hist.withColumn("m", zigzag(F.col("sym")).cast("long")).groupBy(*by).agg(F.sum(F.when(F.col("sym") != 0, F.abs("sym") * F.col("cnt")).otherwise(0)).alias("s"), F.sum(F.when(F.col("sym") != 0, F.col("cnt")).otherwise(0)).alias("nz"), *[F.sum(F.col("cnt") * (F.shiftright("m", k) + 1 + k)).alias(f"k{k}") for k in range(9)])

@@ -27,10 +27,8 @@ _BEST_K = sql.first("gk", "img, ch", "bits, k", "gb")
 @R.add(sql.q(*E_H, sql.huffman("img, ch"), sql.golomb("img, ch"), _BEST_K, "en AS (SELECT img, ch, round(sum(cnt) * log2(sum(cnt)) - sum(cnt * log2(cnt)), 4) AS entropy FROM hist GROUP BY ALL)", "SELECT img, ch, hf.n, hf.alphabet, hf.huff, hf.huff + 16 + 24 * hf.alphabet AS stream, gb.k, gb.bits AS golomb, entropy, round((hf.huff + 16 + 24 * hf.alphabet) / CAST(hf.n AS DOUBLE), 6) AS bpp FROM hf JOIN gb USING (img, ch) JOIN en USING (img, ch)"))
 def bpp_med_order0(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: bits per sub-pixel of median-edge residuals under three coders, by image and channel."""
-    hist = med_histogram(spark, d)
-    by = ["img", "ch"]
-    df = costs.huffman_bits(hist, by).join(costs.golomb_best(hist, by).withColumnRenamed("bits", "golomb"), by).join(costs.entropy_bits(hist, by).select(*by, "entropy"), by)
-    return df.select(*by, "n", "alphabet", "huff", "stream", "k", "golomb", "entropy", F.round(F.col("stream") / F.col("n"), 6).alias("bpp"))
+    df = costs.three_costs(med_histogram(spark, d), ["img", "ch"])
+    return df.withColumn("bpp", F.round(F.col("stream") / F.col("n"), 6))
 
 
 @R.add(sql.q(sql.EVT, sql.ycocg("evt"), sql.taps(), RES, HIST, sql.huffman("img, ch"), "SELECT img, ch, n, alphabet, huff, huff + 16 + 24 * alphabet AS stream FROM hf"))
@@ -135,10 +133,9 @@ def rice_with_zero_runs(spark: SparkSession, d: str) -> DataFrame:
 @R.add(sql.q(*E_H, sql.huffman("img, ch"), sql.golomb("img, ch"), _BEST_K, sql.first("(SELECT img, ch, huff + 16 + 24 * alphabet AS bits, 0 AS o, 'huffman' AS coder FROM hf UNION ALL SELECT img, ch, bits + 4, 1, 'golomb' FROM gb UNION ALL SELECT img, ch, n * 9, 2, 'raw' FROM hf)", "img, ch", "bits, o", "b"), "SELECT img, ch, coder, bits FROM b"))
 def channel_coder_choice(spark: SparkSession, d: str) -> DataFrame:
     """The cheapest of Huffman, Golomb and raw nine-bit coding."""
-    hist = med_histogram(spark, d)
     by = ["img", "ch"]
-    df = costs.huffman_bits(hist, by).join(costs.golomb_best(hist, by), by)
-    cells = F.array(F.struct(F.col("stream").alias("bits"), F.lit(0).alias("o"), F.lit("huffman").alias("coder")), F.struct((F.col("bits") + 4).alias("bits"), F.lit(1).alias("o"), F.lit("golomb").alias("coder")), F.struct((F.col("n") * 9).alias("bits"), F.lit(2).alias("o"), F.lit("raw").alias("coder")))
+    df = costs.three_costs(med_histogram(spark, d), by)
+    cells = F.array(F.struct(F.col("stream").alias("bits"), F.lit(0).alias("o"), F.lit("huffman").alias("coder")), F.struct((F.col("golomb") + 4).alias("bits"), F.lit(1).alias("o"), F.lit("golomb").alias("coder")), F.struct((F.col("n") * 9).alias("bits"), F.lit(2).alias("o"), F.lit("raw").alias("coder")))
     return df.select(*by, F.array_min(cells).alias("x")).select(*by, "x.coder", "x.bits")
 
 

@@ -74,9 +74,9 @@ def best_expert_by_group(spark: SparkSession, d: str) -> DataFrame:
 def best_expert_and_coder(spark: SparkSession, d: str) -> DataFrame:
     cube = expert_cube(spark, d)
     by = [*BY, "e", "ord", "expert"]
-    h = costs.huffman_bits(cube, by).select(*by, F.lit(0).alias("b"), F.col("stream").alias("bits"))
-    g = costs.golomb_best(cube, by).select(*by, F.lit(1).alias("b"), (F.col("bits") + 4).alias("bits"))
-    best = grouping.cheapest(h.unionByName(g), [*BY, "e"], ("bits", "ord", "b", "expert"))
+    both = F.array(F.struct(F.col("stream").alias("bits"), F.col("ord"), F.lit(0).alias("b"), F.col("expert")), F.struct((F.col("golomb") + 4).alias("bits"), F.col("ord"), F.lit(1).alias("b"), F.col("expert")))
+    each = costs.three_costs(cube, by).select(*BY, "e", F.array_min(both).alias("x")).select(*BY, "e", "x.*")
+    best = grouping.cheapest(each, [*BY, "e"], ("bits", "ord", "b", "expert"))
     return best.select(*BY, "e", "expert", F.when(F.col("b") == 0, "H").otherwise("G").alias("coder"), "bits")
 
 
