@@ -166,3 +166,41 @@ def normal_equations(spark: SparkSession, d: str) -> DataFrame:
     s = s.select("*", det)
     weight = lambda x: F.when(F.col("det") != 0, F.round(x / F.col("det"), 6))
     return s.select(*BY, weight(F.col("sav") * F.col("sbb") - F.col("sbv") * F.col("sab")).alias("wa"), weight(F.col("sbv") * F.col("saa") - F.col("sav") * F.col("sab")).alias("wb"))
+
+
+@R.add(f"SELECT q.img, q.ch, CASE WHEN q.bits <= g.bits + 3 THEN 'keys' ELSE 'grid' END AS family, least(q.bits, g.bits + 3) AS bits FROM ({search.R.oracles['auto_group_count']}) q JOIN ({search.R.oracles['best_energy_grid']}) g ON q.img = g.img AND q.ch = g.ch")
+def family_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of gradient keys or an energy grid (with three bits for its number), whichever costs less."""
+    q = search.auto_group_count(spark, d).select(*BY, F.col("bits").alias("q"))
+    g = search.best_energy_grid(spark, d).select(*BY, (F.col("bits") + 3).alias("g"))
+    return q.join(g, BY).select(*BY, F.when(F.col("q") <= F.col("g"), "keys").otherwise("grid").alias("family"), F.least("q", "g").alias("bits"))
+
+
+def _bank_sql() -> str:
+    parts = []
+    for o, (p, t) in enumerate(color.BANK.values()):
+        a, m, c = ("rgb"[k] for k in color.PERMUTATIONS[p])
+        half = f"({c} + (({a} - {c}) >> 1))"
+        x, y, z = (f"({half} + (({m} - {half}) >> 1))", f"({a} - {c})", f"({m} - {half})") if t == 6 else (a, f"({m} - (({a} + {c}) >> 1))", f"({c} - {a})")
+        parts += [f"SELECT img * 100 + {o} AS img, {k} AS ch, i, j, {v} AS v FROM emb" for k, v in enumerate((x, y, z))]
+    return "pl AS (" + " UNION ALL ".join(parts) + ")"
+
+
+_NAMES = ", ".join(f"({o}, '{n}')" for o, n in enumerate(color.BANK))
+
+
+@R.add(sql.q(sql.EMB, _bank_sql(), sql.taps(), RES, "hist AS (SELECT img, ch, r AS sym, count(*) AS cnt FROM rs GROUP BY ALL)", sql.huffman("img, ch"), f"nm(o, rct) AS (VALUES {_NAMES}), t AS (SELECT img // 100 AS img, CAST(img % 100 AS INTEGER) AS o, CAST(sum(huff + 16 + 24 * alphabet) AS BIGINT) AS bits FROM hf GROUP BY ALL)", sql.first("t", "img", "bits, o", "best"), "SELECT img, rct, bits FROM best JOIN nm USING (o)"))
+def transform_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The colour transform of the short bank under which an image's three planes cost least."""
+    from ..operators import neighbors
+    from ..sources import rasters
+
+    rgb = rasters.embedding_raster(spark, d)
+    zipped = F.arrays_zip("r", "g", "b")
+    cells = [search._plane(zipped, color.rct(p, t), o, k) for o, (p, t) in enumerate(color.BANK.values()) for k in range(3)]
+    planes = rgb.select("i", F.explode(F.array(*cells)).alias("x")).select("x.img", "x.ch", "i", "x.row")
+    df = neighbors.edge_copied(neighbors.raw_taps(planes))
+    hist = costs.histogram(df.withColumn("r", F.col("v") - predictors.med(*map(F.col, "abc"))), BY)
+    total = costs.huffman_bits(hist, BY).groupBy(F.expr("img div 100").alias("img"), F.expr("cast(img % 100 as int)").alias("o")).agg(F.sum("stream").alias("bits"))
+    names = F.array(*map(F.lit, color.BANK))
+    return grouping.cheapest(total, ["img"], ("bits", "o")).select("img", F.get(names, F.col("o")).alias("rct"), "bits")
