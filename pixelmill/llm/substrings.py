@@ -36,7 +36,7 @@ GRAM = 48
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 24
 #: Different surroundings of one gram that one task sorts; beyond, windows are dealt out by their digests.
-HOT_GROUP = 20_000
+HOT_GROUP = 100_000
 #: Up to so many suffixes at one anchor are compared in pairs of their sorted orders.
 PAIRS = 32
 _RAW = np.arange(1, 257, dtype=np.uint64)
@@ -292,8 +292,7 @@ def _contexts(batches, length: int):
         rows = ([], [], [], [], [])
         for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "places")), strict=True):
             data = (text or "").encode()
-            for p in places:
-                i = p["pos"]
+            for i, p in ((p["pos"], p) for p in places if p["todo"] == SORT):
                 before = data[max(0, i - (length - GRAM)) : i][::-1]
                 for column, x in zip(rows, (p["gram"], doc, i, before, data[i : i + length]), strict=True):
                     column.append(x)
@@ -307,7 +306,7 @@ def _windows(batches, length: int):
         digests, ids, los = [], [], []
         for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "places")), strict=True):
             data = (text or "").encode()
-            starts = {x for p in places for x in range(max(0, p["pos"] - (length - GRAM)), min(p["pos"], len(data) - length) + 1)}
+            starts = {x for p in places if p["todo"] == CROWDED for x in range(max(0, p["pos"] - (length - GRAM)), min(p["pos"], len(data) - length) + 1)}
             for x in sorted(starts):
                 digests.append(xxhash.xxh3_128_digest(data[x : x + length]))
                 ids.append(doc)
@@ -321,12 +320,13 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     known = docs.filter(F.col("id").isNotNull() & (size >= length))
     found = written(_anchor_rows(known, length).repartition("gram").mapInArrow(lambda b, crowd=HOT_GROUP: _groups(b, crowd), "todo byte, gram long, id long, pos long"), "anchors")
     alike = found.filter(F.col("todo") == ALIKE).select("id", F.greatest(F.lit(0), F.col("pos") - (length - GRAM)).alias("lo"), (F.col("pos") + length).alias("hi"))
-    places = lambda todo: found.filter(F.col("todo") == todo).groupBy("id").agg(F.collect_list(F.struct("gram", "pos")).alias("places"))
-    around = known.join(places(SORT), "id").select("id", "text", "places").mapInArrow(lambda b: _contexts(b, length), "gram long, id long, pos long, before binary, after binary")
-    edges = around.repartition("gram").mapInArrow(lambda b: _sorted(b, length), "id long, lo long, hi long")
-    spans = alike.unionAll(edges)
+    # both uses of this join stand in one plan and share its shuffles
+    places = found.filter(F.col("todo") != ALIKE).groupBy("id").agg(F.collect_list(F.struct("todo", "gram", "pos")).alias("places"))
+    met = known.join(places, "id").select("id", "text", "places")
+    around = met.mapInArrow(lambda b: _contexts(b, length), "gram long, id long, pos long, before binary, after binary")
+    spans = alike.unionAll(around.repartition("gram").mapInArrow(lambda b: _sorted(b, length), "id long, lo long, hi long"))
     if not found.filter(F.col("todo") == CROWDED).isEmpty():
-        windows = written(known.join(places(CROWDED), "id").select("id", "text", "places").mapInArrow(lambda b: _windows(b, length), "digest binary, id long, lo long").distinct(), "windows")
+        windows = met.mapInArrow(lambda b: _windows(b, length), "digest binary, id long, lo long").distinct()
         many = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
         spans = spans.unionAll(windows.join(many, "digest").select("id", "lo", (F.col("lo") + length).alias("hi")))
     return spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
