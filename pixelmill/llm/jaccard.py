@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .text import NON_SPACE, chunks, mapped, mix, read, word_hashes, written
+from .text import NON_SPACE, chunks, hand_back, mapped, mix, read, word_hashes, written
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _EMPTY = np.uint64(0xE7037ED1A0B428DB)
@@ -177,6 +177,7 @@ def _signatures(docs: DataFrame, size: int, sketch: Sketch) -> DataFrame:
                         keys.append(np.full(len(sigs[-1]), key, np.uint64))
                 if sigs:
                     yield pa.RecordBatch.from_arrays([_i64(np.concatenate(sigs)), _i64(np.concatenate(keys))], names=["sig", "key"])
+        hand_back()
 
     return docs.select("text").mapInArrow(run, "sig long, key long")
 
@@ -211,6 +212,8 @@ def _buckets(batches):
     big = np.repeat(count > HOT, count)
     if big.any():
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(big.sum(), bool)), pa.array(sig[big]), pa.array(key[big])], names=["hot", "x", "y"])
+    del held, sig, key, order, new, xs, ys, x, y
+    hand_back()
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:

@@ -7,6 +7,7 @@ Nulls read as empty texts. Words never cross a row.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -140,6 +141,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
+def hand_back() -> None:
+    """Give memory that this worker no longer uses back to the system: workers outlive their tasks, side by side with the JVM."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """df with the columns that step makes from each Arrow batch; columns of these names in df are replaced."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -155,6 +165,8 @@ def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], list[pa.Array]], fiel
             if batch.num_rows:
                 made = [a if a.type == f.type else a.cast(f.type) for a, f in zip(step(batch), added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in added)])
+                del made
+        hand_back()
 
     return df.mapInArrow(run, schema)
 
