@@ -1,26 +1,28 @@
 """Language-model scores by a weighted backoff automaton.
 
 Tokens are words with A-Z lower-cased, and one end per text. The automaton's states are the empty history
-and the histories u of one frequent word (at least `frequent` of all training tokens; so there are at most
-1 / frequent of them). From u an arc leads on each frequent word v that followed u in training, weighted
-log10((c(u, v) - D) / c(u)); a failure arc, weighted log10 of u's backoff, leads to the empty history, whose
-arcs carry log10((c(v) - d) / N), and log10(d * V / N) for an unknown word. D and d are absolute discounts
-n1 / (n1 + 2 * n2) of the counts; backoffs make each state's probabilities add up to one over the V known
-words and `unknown`. A text is read left to right: the state is carried along and weights are added up.
+and the histories u of one word of the training texts: all of them, whatever the corpus' size (`frequent` can
+ask for words with at least that share of the training tokens instead). From u an arc leads on each such word
+v that followed u in training, weighted log10((c(u, v) - D) / c(u)); a failure arc, weighted log10 of u's
+backoff, leads to the empty history, whose arcs carry log10((c(v) - d) / N), and log10(d * V / N) for an
+unknown word. D and d are absolute discounts n1 / (n1 + 2 * n2) of the counts; backoffs make each state's
+probabilities add up to one over the V known words and `unknown`. A text is read left to right: the state is
+carried along and weights are added up.
 
 All counts cover all training texts. Neither the counts nor the automaton fit in one place at scale, so the
 corpus is read in blocks of `block_bytes` of text (named by the file and offset they stand at, the same in
 every pass). A block asks for the counts of the words and pairs in it, each summed once for all blocks, and
-gets back those that differ from its own: the part of the automaton that its texts can visit. One task then
-scores a block. Only the frequent words, their backoffs and totals reach the driver.
+gets them back in the order of its own: the part of the automaton that its texts can visit. One task then
+scores a block; what is left open are failure arcs from histories that other blocks have too. Each pair's
+share of its history's backoff is counted by one block; the shares are added up by history, and the backoffs
+joined to the texts that need them. Counts travel as arrays. Only a few totals reach the driver.
 
-Null and empty texts are one end token. Repeated rows count as often as they stand. Rows with a null id train.
+Words and pairs are named by 64-bit hashes. Null and empty texts are one end token. Repeated rows count as
+often as they stand. Rows with a null id train.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,11 @@ from pyspark.sql import functions as F
 from .text import NON_SPACE, chunks, mix, read, word_hashes, written
 
 END = np.uint64(0x1B873593CC9E2D51)
+#: Counts of words and of pairs are dealt out by this many leading bits of their hashes.
+_WORD_BITS, _PAIR_BITS = 10, 12
+#: Histories with this share of training tokens go to the failure arcs by broadcast (so at most 10,000 do).
+_HOT = 1e-4
+_LARGE = (1 << 14) - 1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,18 +95,42 @@ def _summed(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(place, weight, len(found)).astype(np.int64)
 
 
-def _pairs(h: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index among the frequent words of each token (or -1), of the token before it in its text, and the pair's number (or -1)."""
-    at = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
-    own = np.where(frequent[at] == h, at, -1) if len(frequent) else np.full(len(h), -1)
-    before = np.full(len(h), -1)
-    before[1:] = own[:-1]
-    before[first[:-1]] = -1
-    return own, before, np.where((own >= 0) & (before >= 0), before * len(frequent) + own, -1)
+def _inner(first: np.ndarray) -> np.ndarray:
+    """Places of tokens that have one before them in their text."""
+    inner = np.ones(first[-1], bool)
+    inner[first[:-1]] = False
+    return np.flatnonzero(inner)
+
+
+def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix(u * np.uint64(0x9E3779B97F4A7C15) + mix(v))
+
+
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of values, cut."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _cuts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys starts, and the end."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], 0)
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int32)
+
 
+def _counts(docs: DataFrame, size: int, pairs: bool = False, frequent=None) -> DataFrame:
+    """(block, bucket, h, n): training counts of the words (or pairs, or pairs of frequent words) of each block; 0 for those only asked for.
 
-def _counts(docs: DataFrame, size: int, frequent=None) -> DataFrame:
-    """(h, block, n): training counts of each word (or pair of frequent words) of each block; 0 for those only asked for."""
+    Of h the lower seven bytes are kept; bucket has the other."""
+    bits = _PAIR_BITS if pairs else _WORD_BITS
 
     def run(batches):
         blocks = _Blocks(size)
@@ -110,7 +141,10 @@ def _counts(docs: DataFrame, size: int, frequent=None) -> DataFrame:
             if held:
                 h, n = _summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
                 held.clear()
-                return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), now)), pa.array(n)], names=["h", "block", "n"])
+                bucket = _bucket(h, bits)
+                cuts = _cuts(bucket)
+                low = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7]).ravel()
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts) - 1, now, np.int64)), pa.array(bucket[cuts[:-1]]), _packed(low, cuts * 7), _packed(n.astype(np.int32), cuts)], names=["block", "bucket", "h", "n"])
 
         for b in batches:
             if not b.num_rows:
@@ -126,101 +160,160 @@ def _counts(docs: DataFrame, size: int, frequent=None) -> DataFrame:
                     now = int(names[lo])
                 h, first = _tokens(b.column("text").slice(lo, hi - lo))
                 weight = np.repeat(train[lo:hi], np.diff(first)).astype(np.int64)
-                if frequent is not None:
-                    pair = _pairs(h, first, frequent.value)[2]
-                    h, weight = pair[pair >= 0].astype(np.uint64), weight[pair >= 0]
+                if pairs:
+                    on = _inner(first)
+                    if frequent is not None:
+                        known = np.isin(h, frequent.value)
+                        on = on[known[on] & known[on - 1]]
+                    h, weight = _pair(h[on - 1], h[on]), weight[on]
                 held.append(_summed(h, weight))
         if (out := flush()) is not None:
             yield out
 
-    return docs.mapInArrow(run, "h long, block long, n long")
+    return docs.mapInArrow(run, "block long, bucket int, h binary, n binary").repartition("bucket")
 
 
-def _totals(batches):
-    """(h, block, total, first, shared): h's sum over all blocks, for each block that has h."""
-    held = [tuple(np.asarray(c) for c in b.columns) for b in batches if b.num_rows]
-    if not held:
-        return
-    h, block, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((block, h))
-    h, block, n = h[order], block[order], n[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]])
-    at = np.flatnonzero(first)
-    size = np.diff(np.append(at, len(h)))
-    once = first | np.concatenate([[True], block[1:] != block[:-1]])
-    total = np.repeat(np.add.reduceat(n, at), size)
-    yield pa.RecordBatch.from_arrays([pa.array(h[once]), pa.array(block[once]), pa.array(total[once]), pa.array(first[once]), pa.array(np.repeat(size > 1, size)[once])], names=["h", "block", "total", "first", "shared"])
+def _totals(counts: DataFrame, bits: int, named: bool) -> DataFrame:
+    """(block, bucket, check, code, large, h): to each block the sums over all blocks of what it has, in the order of h.
+
+    A code is 4 * sum, + 2 where other blocks may have it too, + 1 in one block of each h; sums from _LARGE on stand in large.
+    check is a digest of the hashes, which are given only if named. Rows without a block hold the sum and number of all
+    that were counted in training, and the numbers of ones and twos."""
+
+    def run(batches):
+        held = []
+        for b in batches:
+            if b.num_rows:
+                lengths = np.asarray(pa.compute.binary_length(b.column("n"))) // 4
+                h = np.zeros((int(lengths.sum()), 8), np.uint8)
+                h[:, :7] = _unpacked(b.column("h"), np.uint8).reshape(-1, 7)
+                h[:, 7] = np.repeat(np.asarray(b.column("bucket")) >> (bits - 8), lengths)
+                held.append((h.view(np.uint64).ravel(), np.repeat(np.asarray(b.column("block")), lengths), _unpacked(b.column("n"), np.int32)))
+        if not held:
+            return
+        h, block, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((block, h))
+        h, block, n = h[order], block[order], n[order].astype(np.int64)
+        cuts = _cuts(h)
+        size, total = np.diff(cuts), np.add.reduceat(n, cuts[:-1]) if len(h) else n
+        counted = total[total > 0]
+        stats = [int(counted.sum()), len(counted), int((counted == 1).sum()), int((counted == 2).sum())]
+        code = np.minimum(total, _LARGE) * 4 + (size > 1) * 2
+        code, total = np.repeat(code, size), np.repeat(total, size)
+        code[cuts[:-1]] += 1
+        once = np.flatnonzero((code & 1 > 0) | np.concatenate([np.ones(min(1, len(h)), bool), block[1:] != block[:-1]]))
+        once = once[np.argsort(block[once], kind="stable")]
+        h, block, code, total = h[once], block[once], code[once].astype(np.uint16), total[once]
+        bucket = _bucket(h, bits)
+        cuts = _cuts(block, bucket)
+        at = cuts[:-1]
+        large = total >= _LARGE
+        told = {"block": block[at], "bucket": bucket[at], "check": np.bitwise_xor.reduceat(h, at).view(np.int64) if len(h) else h.view(np.int64), "code": _packed(code, cuts), "large": _packed(total[large], np.concatenate([[0], np.cumsum(large)])[cuts])}
+        if named:
+            told["h"] = _packed(h, cuts)
+        yield from pa.concat_tables([schema.empty_table(), pa.table(told), pa.table({k: pa.array([x], pa.int64()) for k, x in zip(("size", "known", "ones", "twos"), stats, strict=True)})], promote_options="default").to_batches()
+
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("check", pa.int64()), ("code", pa.binary()), ("large", pa.binary()), ("h", pa.binary()), *((k, pa.int64()) for k in ("size", "known", "ones", "twos"))])
+    return counts.mapInArrow(run, "block long, bucket int, check long, code binary, large binary, h binary, size long, known long, ones long, twos long")
+
+
+def _sums(code: np.ndarray, large: np.ndarray) -> np.ndarray:
+    total = (code >> 2).astype(np.int64)
+    total[total == _LARGE] = large
+    return total
+
+
+def _frequent(words: DataFrame, least: float) -> np.ndarray:
+    """The words with that many tokens."""
+
+    def run(batches):
+        for b in batches:
+            h, code = _unpacked(b.column("h"), np.int64), _unpacked(b.column("code"), np.uint16)
+            total = _sums(code, _unpacked(b.column("large"), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h[(code & 1 > 0) & (total >= least)])], names=["h"])
+
+    return np.array([r.h for r in words.filter("block is not null").mapInArrow(run, "h long").collect()], np.int64).view(np.uint64)
 
 
 def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", test: Column | None = None, frequent: float = 1e-4, block_bytes: int = 16 << 20) -> DataFrame:
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", test: Column | None = None, frequent: float = 0, block_bytes: int = 16 << 20) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     sc = docs.sparkSession.sparkContext
     rows = _placed(docs, key, text, held_out(F.col(key)) if test is None else test)
-    kind = "h long, block long, total long, first boolean, shared boolean"
-    words = written(_counts(rows, block_bytes).repartition("h").mapInArrow(_totals, kind), "words")
-    lone = words.filter("first and total > 0")
-    size, known, ones, twos = lone.agg(F.sum("total"), F.count(F.lit(1)), F.count_if(F.col("total") == 1), F.count_if(F.col("total") == 2)).first()
-    size = size or 0
-    d = _discount(ones, twos)
-    common = sorted((r.h % (1 << 64), r.total) for r in lone.filter(F.col("total") >= max(1, frequent * size)).select("h", "total").collect())
-    names = np.array([h for h, _ in common], np.uint64)
-    p1 = np.array([(c - d) / size for _, c in common]) if common else np.zeros(0)
-    shared = sc.broadcast(names)
-    pairs = written(_counts(rows, block_bytes, shared).repartition("h").mapInArrow(_totals, kind), "pairs")
-    seen = pairs.filter("first and total > 0")
-    ones, twos = seen.agg(F.count_if(F.col("total") == 1), F.count_if(F.col("total") == 2)).first()
+    stats = lambda df: (x or 0 for x in df.agg(*map(F.sum, ("size", "known", "ones", "twos"))).first())
+    words = written(_totals(_counts(rows, block_bytes), _WORD_BITS, frequent > 0), "words")
+    size, known, ones, twos = stats(words)
+    d, least = _discount(ones, twos), max(1, frequent * size)
+    names = sc.broadcast(_frequent(words, least)) if frequent > 0 else None  # at most 1 / frequent
+    pairs = written(_totals(_counts(rows, block_bytes, True, names), _PAIR_BITS, False), "pairs")
+    _, _, ones, twos = stats(pairs)
     big = _discount(ones, twos)
-    back = np.zeros(len(common))
-    if common:
-        unigram = docs.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(p1)], "v long, p double")  # at most 1 / frequent rows
-        mass = seen.select(F.expr(f"h div {len(common)}").alias("u"), (F.col("h") % len(common)).alias("v"), "total").join(F.broadcast(unigram), "v").groupBy("u").agg(F.sum("total").alias("c"), F.count(F.lit(1)).alias("types"), F.sum("p").alias("p"))
-        for u, c, types, p in mass.collect():
-            back[u] = math.log10(max(1e-12, 1 - (c - big * types) / common[u][1]) / max(1e-12, 1 - p))
-    model = sc.broadcast((names, np.array([c for _, c in common], float), back, size, known, d, big))
-    asked = words.filter("shared").select("block", "h", "total", F.lit(False).alias("pair")).unionAll(pairs.filter("shared").select("block", "h", "total", F.lit(True).alias("pair")))
+    told = lambda df, pair: df.filter("block is not null").select("block", "bucket", "check", "code", "large", F.lit(pair).alias("pair"))
+    asked = told(words, False).unionAll(told(pairs, True))
+    out_schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("block", pa.int64()), ("row", pa.int64()), ("u", pa.int64()), ("times", pa.int64()), ("count", pa.int64()), ("mass", pa.float64()), ("p", pa.float64())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, count, back, size, known, d, big = model.value
-        left, right = left.combine_chunks(), right.combine_chunks()
+        left = left.combine_chunks()
         if not left.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in out_types.items()})
+            return out_schema.empty_table()
         test = left["test"].to_numpy()
         h, first = _tokens(left["text"])
-        train = np.repeat(~test, np.diff(first)).astype(np.int64)
-        pair_row = right["pair"].to_numpy() if right.num_rows else np.zeros(0, bool)
-        keys, totals = (right[c].to_numpy() if right.num_rows else np.zeros(0, np.int64) for c in ("h", "total"))
-
-        def looked_up(values: np.ndarray, weight: np.ndarray, which: np.ndarray) -> np.ndarray:
-            found, place = np.unique(values, return_inverse=True)
-            n = np.bincount(place, weight, len(found))
-            told = keys[which].view(np.uint64)
-            at = np.minimum(np.searchsorted(found, told), len(found) - 1)
-            if (found[at] != told).any():
-                raise ValueError("the blocks of this pass aren't those that asked for counts")
-            n[at] = totals[which]
-            return n[place]
 
-        c = looked_up(h, train, ~pair_row)
+        def counted(found: np.ndarray, asked: np.ndarray, pair: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Training counts in all blocks, whether other blocks may have it, and whether this block counts it for all."""
+            mine = right.filter(pa.compute.equal(right["pair"], pair)).sort_by("bucket")
+            own, bits = found[asked], _PAIR_BITS if pair else _WORD_BITS
+            bucket = _bucket(own, bits)
+            at = _cuts(bucket)[:-1]
+            if mine.num_rows != len(at) or len(at) and ((mine["bucket"].to_numpy() != bucket[at]) | (mine["check"].to_numpy().view(np.uint64) != np.bitwise_xor.reduceat(own, at))).any():
+                raise ValueError("the blocks of this pass aren't those that asked for counts")
+            code = _unpacked(mine["code"], np.uint16)
+            n, far, leads = np.zeros(len(found), np.int64), np.zeros(len(found), bool), np.zeros(len(found), bool)
+            n[asked], far[asked], leads[asked] = _sums(code, _unpacked(mine["large"], np.int64)), code & 2 > 0, code & 1 > 0
+            return n, far, leads
+
+        word, at = np.unique(h, return_inverse=True)
+        count, far, _ = counted(word, np.ones(len(word), bool), False)
+        p = np.where(count > 0, count - d, d * known) / size if size else (count + 1) / (size + known + 1)
+        on = _inner(first)
+        pair, one, which = np.unique(_pair(h[on - 1], h[on]), return_index=True, return_inverse=True)
+        u, v = at[on[one] - 1], at[on[one]]
+        n, _, leads = counted(pair, (count[u] >= least) & (count[v] >= least) if frequent > 0 else np.ones(len(pair), bool), True)
+        arc = n > 0
+        mine = arc & leads
+        mass, left_p = (np.bincount(u[mine], x, len(word)).astype(float) for x in (n[mine] - big, p[v[mine]]))
+        back = np.where(far, 0, np.log10(np.maximum(1e-12, 1 - mass / np.maximum(1, count)) / np.maximum(1e-12, 1 - left_p)))
+        weight = np.log10(p)[at]
+        weight[on] += back[at[on - 1]]  # through the failure arc
+        taken = arc[which]
+        weight[on[taken]] = np.log10((n[which[taken]] - big) / count[at[on[taken] - 1]])
+        row = np.repeat(np.arange(len(test)), np.diff(first))
+        failed = on[~taken & far[at[on - 1]] & (count[at[on - 1]] >= least)]
+        open_, times = np.unique(row[failed] * len(word) + at[failed - 1], return_counts=True)
+        shared = np.flatnonzero(far & (mass > 0))
+        c, ends = count[at], first[:-1]
         base = np.log10((c + 1) / (size + known + 1))
-        own = np.log10(np.where(c > 0, c - d, d * known) / size) if size else base
-        index, before, pair = _pairs(h, first, names)
-        weight = own + np.where(before >= 0, back[before] if len(back) else 0.0, 0.0)  # through the failure arc
-        on = np.flatnonzero(pair >= 0)
-        if len(on):
-            n = looked_up(pair[on].astype(np.uint64), train[on], pair_row)
-            arc = n > 0
-            weight[on[arc]] = np.log10((n[arc] - big) / count[before[on[arc]]])
-        ends = first[:-1]
-        return pa.table({"id": left["id"], "held_out": pa.array(test), "n_tokens": np.diff(first), "n_known": np.add.reduceat((c > 0).astype(np.int64), ends), "train_tokens": np.full(len(test), size), "base_score": np.add.reduceat(base, ends), "score": np.add.reduceat(weight, ends)})
-
-    out_types = {"id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+        block = left["block"][0].as_py()
+        scores = {"id": left["id"], "held_out": pa.array(test), "n_tokens": np.diff(first), "n_known": np.add.reduceat((c > 0).astype(np.int64), ends), "train_tokens": np.full(len(test), size), "base_score": np.add.reduceat(base, ends), "score": np.add.reduceat(weight, ends), "block": np.full(len(test), block), "row": np.arange(len(test))}
+        failures = {"block": np.full(len(open_), block), "row": open_ // len(word), "u": word[open_ % len(word)].view(np.int64), "times": times}
+        shares = {"u": word[shared].view(np.int64), "count": count[shared].astype(np.int64), "mass": mass[shared], "p": left_p[shared]}
+        return pa.concat_tables([out_schema.empty_table(), *map(pa.table, (scores, failures, shares))], promote_options="default")
+
     texts = _named(rows, block_bytes)
-    out = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("id", key)
+    sql_type = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
+    done = written(texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, ", ".join(f"{x.name} {sql_type[x.type]}" for x in out_schema)), "scores")
+    left = F.log10(F.greatest(F.lit(1e-12), 1 - F.sum("mass") / F.max("count")) / F.greatest(F.lit(1e-12), 1 - F.sum("p")))
+    backs = done.filter("mass is not null").groupBy("u").agg(left.alias("back"), (F.max("count") >= _HOT * size).alias("hot"))
+    failures = done.filter("times is not null").select("block", "row", "u", "times")
+    hot = F.broadcast(backs.filter("hot").drop("hot"))
+    met = failures.join(hot, "u").unionByName(failures.join(hot.select("u"), "u", "left_anti").join(backs.filter("not hot").drop("hot"), "u"))
+    gaps = met.groupBy("block", "row").agg(F.sum(F.col("times") * F.col("back")).alias("gap"))
+    out = done.filter("n_tokens is not null").join(gaps, ["block", "row"], "left")
+    return out.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (F.col("score") + F.coalesce("gap", F.lit(0.0))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,33 @@ def test_language_model(spark):
     assert backoff.scored(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 30_000])
+def test_language_model_keeps_rare_pairs(spark, block_bytes):
+    """Words far below 1/10,000 of more than 30,000 training tokens are histories and ends of arcs too."""
+    train = [(k, " ".join(["the of"] * 220 + [f"rare{k} next{k}", f"rare{k} next{k}", f"seldom{k % 7} once{k}"])) for k in range(80)]
+    rows = train + [(1000 + k, f"of rare{k} next{k} seldom{k % 7} once{k} rare{k} unheard rare{k + 1}") for k in range(60)]
+    tokens = {i: [*spaced(t), None] for i, t in rows}
+    count = Counter(w for i, _ in train for w in tokens[i])
+    pairs = Counter(p for i, _ in train for p in zip(tokens[i], tokens[i][1:]))
+    size, known = sum(count.values()), len(count)
+    assert max(count[f"rare{k}"] for k in range(80)) < 1e-4 * size
+    discount = lambda c: (lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5)(*(sum(x == k for x in c.values()) for k in (1, 2)))
+    d, big = discount(count), discount(pairs)
+    unigram = lambda w: (count[w] - d) / size if count[w] else d * known / size
+    seen = {}
+    for (u, v), c in pairs.items():
+        seen.setdefault(u, []).append((v, c))
+    back = {u: (1 - sum(c - big for _, c in vs) / count[u]) / (1 - sum(unigram(v) for v, _ in vs)) for u, vs in seen.items()}
+    got = backoff.scored(frame(spark, rows), test=F.col("doc_id") >= 1000, block_bytes=block_bytes).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = tokens[r.doc_id]
+        total = math.log10(unigram(t[0]))
+        for u, w in zip(t, t[1:]):
+            total += math.log10((pairs[u, w] - big) / count[u] if (u, w) in pairs else unigram(w) * back.get(u, 1))
+        assert r.train_tokens == size and r.score == pytest.approx(total)
+
+
 def test_resharding(spark):
     rows = corpus(3, 30) + [(5, "again"), (None, "no id")]
     out = reshard.resharded(frame(spark, rows), 4, 6).collect()
