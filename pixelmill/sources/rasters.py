@@ -31,11 +31,9 @@ def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("img", "i", "p.r", "p.g", "p.b")
 
 
-def document_plane(spark: SparkSession, sf_dir: str, most_id: int = 200) -> DataFrame:
-    """(img, ch, i, row): code points modulo 256 of documents in rows of 64; only whole rows are kept.
-
-    The images are the documents with ids below most_id: the raster's definition, whatever the table's size."""
-    df = table(spark, sf_dir, "documents").filter(F.col("doc_id") < most_id).select(F.col("doc_id").alias("img"), "text", F.expr("length(text) div 64").alias("rows"))
+def document_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img, ch, i, row): code points modulo 256 of all documents in rows of 64; only whole rows are kept."""
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("img"), "text", F.expr("length(text) div 64").alias("rows"))
     df = df.filter("rows > 0").select("img", "text", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
     chars = F.split(F.substr("text", F.col("i") * 64 + 1, F.lit(64)), "")
     return df.select("img", F.lit(0).alias("ch"), F.col("i").cast("int").alias("i"), F.transform(F.slice(chars, 1, 64), lambda c: F.ascii(c) % 256).alias("row"))
