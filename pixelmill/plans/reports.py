@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,28 +47,37 @@ _TWO = f"l1 AS (SELECT img % 8 AS img, CAST(sum(abs(v - {sql.med()})) AS BIGINT)
 
 
 def _two_scores(spark: SparkSession, d: str) -> DataFrame:
-    """img, x, y: total errors of two predictors on the first eight images (an image has one row)."""
+    """img, x, y: total errors of two predictors on every image (an image has one row)."""
     a, b, c = map(F.col, "abc")
-    df = base.taps(spark, d).filter("img < 8")
+    df = base.taps(spark, d)
     return df.groupBy("img").agg(F.sum(F.abs(F.col("v") - predictors.med(a, b, c))).alias("x"), F.sum(F.abs(F.col("v") - color.half(a + b))).alias("y"))
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """n, w and p of the exact two-sided signed-rank test of pairs (x, y): zeros go, ties share ranks, and all 2^n
-    sign patterns are enumerated. pairs has a few rows (at most 20 that differ): the test's own domain."""
-    diff = (F.col("x") - F.col("y")).alias("d")
-    packed = pairs.select(diff).filter("d <> 0").agg(F.collect_list("d").alias("ds"))
-    n = F.size("ds")
-    below = lambda v: F.size(F.filter("ds", lambda o: F.abs(o) < F.abs(v)))
-    alike = lambda v: F.size(F.filter("ds", lambda o: F.abs(o) == F.abs(v)))
-    # twice the average rank, so that all stays integer
-    ranked = packed.select("ds", n.alias("n"), F.transform("ds", lambda v: 2 * below(v) + alike(v) + 1).alias("r2"))
-    plus = F.aggregate(F.zip_with("ds", "r2", lambda v, r: F.when(v > 0, r).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    whole = F.aggregate("r2", F.lit(0), lambda s, x: s + x)
-    base_ = ranked.filter("n > 0").select("n", "r2", plus.alias("w2"), whole.alias("t2")).withColumn("pattern", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, n) - 1"))))
-    drawn = F.aggregate(F.transform("r2", lambda r, k: F.when(F.call_function("getbit", F.col("pattern").cast("long"), k) == 1, r).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    extreme = F.least(drawn, F.col("t2") - drawn) <= F.least(F.col("w2"), F.col("t2") - F.col("w2"))
-    return base_.groupBy("n", "w2", "t2").agg(F.sum(extreme.cast("int")).alias("e")).select("n", (F.least("w2", F.col("t2") - F.col("w2")) / 2).alias("w"), F.least(F.lit(1.0), F.col("e") / F.expr("cast(shiftleft(1, n) as double)")).alias("p"))
+    """n, w and p of the exact two-sided signed-rank test of pairs (x, y): zeros go, ties share ranks, and the shares of
+    the 2^n sign patterns with each rank sum are built up rank by rank (in double precision).
+
+    One task has all differences, and one cell for each rank sum up to the smaller one: time grows with the cube of n."""
+    packed = pairs.select((F.col("x") - F.col("y")).alias("d")).filter("d <> 0").agg(F.collect_list(F.col("d").cast("double")).alias("ds"))
+
+    def run(batches):
+        for b in batches:
+            for ds in map(np.array, b.column("ds").to_pylist()):
+                if len(ds):
+                    size, order = np.abs(ds), np.sort(np.abs(ds))
+                    # twice the average rank, so that all stays integer
+                    r2 = np.searchsorted(order, size) + np.searchsorted(order, size, "right") + 1
+                    plus = int(r2[ds > 0].sum())
+                    least = min(plus, int(r2.sum()) - plus)
+                    share = np.zeros(least + 1)
+                    share[0] = 1
+                    for r in r2.tolist():
+                        drawn = share / 2
+                        drawn[r:] += share[: max(0, len(share) - r)] / 2
+                        share = drawn
+                    yield pa.RecordBatch.from_pydict({"n": pa.array([len(ds)], pa.int32()), "w": [least / 2], "p": [min(1.0, 2 * float(share.sum()))]})
+
+    return packed.mapInArrow(run, "n int, w double, p double")
 
 
 @R.add(sql.q(*E_TP, _TWO, "ri AS (SELECT d, r, row_number() OVER (ORDER BY abs(d), d) - 1 AS k FROM rk), tt AS (SELECT count(*) AS n, sum(r) AS t, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM ri), pt AS (SELECT m, sum(CASE WHEN (m >> CAST(k AS INTEGER)) & 1 = 1 THEN r ELSE 0 END) AS s FROM range(256) x(m), ri, tt WHERE m < (1 << CAST(n AS INTEGER)) GROUP BY m)", "SELECT CAST(n AS INTEGER) AS n, least(w, t - w) AS w, least(1.0, sum((least(s, t - s) <= least(w, t - w))::INT) / CAST(1 << CAST(n AS INTEGER) AS DOUBLE)) AS p FROM pt, tt GROUP BY n, w, t"))

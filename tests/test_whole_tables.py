@@ -1,11 +1,14 @@
 """Queries that read every row of their table, whatever its id."""
 
 import heapq
+import itertools
 import random
 from collections import Counter
 
 import pytest
 
+from pixelmill.plans import base
+from pixelmill.plans.reports import wilcoxon
 from pixelmill.queries import QUERIES
 
 
@@ -45,3 +48,39 @@ def test_document_matches(spark, texts):
     d, rows = texts
     assert {(r.doc_id, r.n_bytes, r.equal) for r in QUERIES["lz_round_trip"](spark, d).collect()} == {(k, len(t.encode()), True) for k, t in rows.items()}
     assert {r.doc_id for r in QUERIES["lz_tokens"](spark, d).collect()} == set(rows)
+
+
+def signed_ranks(pairs):
+    """n, w and p by listing all sign patterns."""
+    ds = [x - y for x, y in pairs if x != y]
+    ranks = [sum(abs(o) < abs(v) for o in ds) + (sum(abs(o) == abs(v) for o in ds) + 1) / 2 for v in ds]
+    plus = sum(r for r, v in zip(ranks, ds) if v > 0)
+    w = min(plus, sum(ranks) - plus)
+    sums = [sum(r for r, s in zip(ranks, p) if s) for p in itertools.product((0, 1), repeat=len(ds))]
+    return len(ds), w, sum(min(s, sum(ranks) - s) <= w for s in sums) / len(sums)
+
+
+def test_signed_ranks(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 5, 9, 12):
+        pairs = [(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(n)] + [(3, 1)]
+        assert tuple(wilcoxon(spark.createDataFrame(pairs, "x long, y long")).first()) == pytest.approx(signed_ranks(pairs))
+    assert tuple(wilcoxon(spark.createDataFrame([(1, 0), (0, 1)], "x long, y long")).first()) == (2, 1.5, 1.0)
+    assert wilcoxon(spark.createDataFrame([(4, 4)], "x long, y long")).count() == 0
+    many = wilcoxon(spark.createDataFrame([(k, 0) for k in range(1, 41)], "x long, y long")).first()
+    assert (many.n, many.w, many.p) == (40, 0, 2 / 2**40)
+
+
+def test_scores_of_all_images(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(k, [rng.uniform(-0.5, 0.5) for _ in range(64)]) for k in range(64 * 11)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    score = {}
+    for r in base.taps(spark, str(tmp_path)).collect():
+        med = sorted((r.a, r.b, r.a + r.b - r.c))[1]
+        x, y = score.get(r.img, (0, 0))
+        score[r.img] = x + abs(r.v - med), y + abs(r.v - ((r.a + r.b) >> 1))
+    assert len(score) == 11
+    got = QUERIES["wins_and_losses"](spark, str(tmp_path)).first()
+    assert (got.wins, got.losses, got.ties) == tuple(sum(f(x, y) for x, y in score.values()) for f in (int.__lt__, int.__gt__, int.__eq__))
+    assert tuple(QUERIES["wilcoxon_signed_rank"](spark, str(tmp_path)).first()) == pytest.approx(signed_ranks(score.values()))
