@@ -171,6 +171,26 @@ def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], list[pa.Array]], fiel
     return df.mapInArrow(run, schema)
 
 
+#: Keys with this share of all rows are hot: at most 1 / HOT_SHARE of them can be.
+HOT_SHARE = 1e-4
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row per key and in n the number of left's rows with it.
+
+    The hot keys' rows of right (1 / HOT_SHARE at most) go to left's rows by broadcast; the others meet by shuffle, where
+    a key has few rows. how: inner or left."""
+    from pyspark.sql import functions as F
+
+    least = max(2, HOT_SHARE * rows)
+    extra = [c for c in right.columns if c not in on]
+    hot = F.broadcast(right.filter(F.col(n) >= least).withColumnsRenamed({c: f"__hot_{c}" for c in extra}))
+    marked = left.join(hot, on, "left")
+    met = marked.filter(F.col(f"__hot_{n}").isNotNull()).withColumnsRenamed({f"__hot_{c}": c for c in extra})
+    rest = marked.filter(F.col(f"__hot_{n}").isNull()).drop(*[f"__hot_{c}" for c in extra])
+    return met.unionByName(rest.join(right.filter(F.col(n) < least), on, how))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the one the cluster shares; a default is set only where none is named (tests)."""
     import tempfile

@@ -65,12 +65,45 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 20: 20, 21: 20}
 
 
-@pytest.mark.parametrize("bits", [64, 3])
-def test_exact_duplicates(spark, bits):
+@pytest.mark.parametrize("bits", [8, 20, 33, 56, 63])
+def test_counting_quotient_filter(bits):
+    import numpy as np
+
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 5, 100, 3000):
+        base = rng.integers(0, 1 << min(bits, 62), n).astype(np.uint64)
+        seen = np.concatenate([base, base[: n // 3], np.repeat(base[:3], 700)])
+        want, number = np.unique(seen, return_counts=True)
+        whole = exact.counted(seen, bits)
+        for f in (whole, exact.Filter.unpacked(whole.packed()), exact.merged(exact.counted(seen[k::5], bits) for k in range(5))):
+            got, times = f.entries()
+            assert got.tolist() == want.tolist() and times.tolist() == number.tolist()
+        others = rng.integers(0, 1 << min(bits, 62), 500).astype(np.uint64)
+        assert whole.holds(want).all() and (whole.holds(others) == np.isin(others, want)).all()
+        # each quotient has one run, its remainders rise, and no run begins before its slot
+        quotient, first, last = whole._runs()
+        assert quotient.tolist() == sorted({int(x) >> whole.r for x in want.tolist()})
+        assert (first >= quotient).all() and (first[1:] > last[:-1]).all()
+        for a, b in zip(first, last):
+            run = whole.slots[a : b + 1][~whole.counts[a : b + 1]].tolist()
+            assert run == sorted(set(run))
+    assert bits < 20 or len(whole.packed()) <= 24 + len(want) * 2.3 * (whole.r + 3) / 8 + 64
+
+
+def test_exact_duplicates_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "A"), (None, "b"), (3, "a"), (3, "a"), (3, "B"), (None, None), (None, ""), (9, "q")]
+    for sent in (10, 0):
+        out = exact.deduplicated(frame(spark, rows, extra=False), most_sent=sent).collect()
+        got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in out)
+        assert got == sorted([("None", "3", 4, False), ("None", "3", 4, False), ("3", "3", 4, True), ("3", "3", 4, True), ("None", "3", 2, False), ("3", "3", 2, True), ("None", "None", 2, True), ("None", "None", 2, True), ("9", "9", 1, True)])
+
+
+@pytest.mark.parametrize(("bits", "sent"), [(None, 1000), (None, 0), (3, 1000), (3, 0)])
+def test_exact_duplicates(spark, bits, sent):
     rows = corpus(4)
     low = {i: (t or "").translate(LOWER) for i, t in rows}
     want = {i: (max(j for j in low if low[j] == t), sum(x == t for x in low.values()), hashlib.sha256(t.encode()).hexdigest()) for i, t in low.items()}
-    got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256, r.kept) for r in exact.deduplicated(frame(spark, rows), fp_bits=bits).collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256, r.kept) for r in exact.deduplicated(frame(spark, rows), fp_bits=bits, most_sent=sent).collect()}
     assert got == {i: (*w, w[0] == i) for i, w in want.items()}
     assert exact.deduplicated(frame(spark, rows).limit(0)).count() == 0
 
