@@ -7,13 +7,19 @@ described by segments (token v, rank until): "the right operands that v was merg
 lost their arcs". An arc x still leaves a state unless, at the time an arc on x's left spine was used to build
 the next one, that arc was already lost. The automaton accepts exactly the token sequences that BPE makes.
 
-Encoding reads a pre-split word left to right along arcs that leave the state reached so far; exactly one path
-is accepted up to the word's end, and states from which the end can't be reached are marked and left.
-Transitions, once tested, are kept in a table, and so are the paths of frequent words (bounded, per worker).
+For encoding the automaton is made deterministic over bytes. BPE gives every prefix of a word one path, and the path
+without its last arc is the path of a shorter prefix. So after each byte exactly one arc is the last, and a state
+needs to know the longest end of what was read that begins some label, and the last arc at each place within it: no
+other place can matter to a label that is yet to end. A state and a byte determine the next state: of the labels
+that end there, the one whose arc leaves the state known for the place where it begins. States are named when first
+reached and their transitions kept in a table (bounded, per worker); a word is read by one look-up a byte, and its
+arcs are read off backwards from the end. Nothing is tried twice. Paths of frequent words are remembered (bounded).
 Decoding emits the labels (byte strings) of the arcs.
 
-Nulls and empty texts have no tokens. Strings of added tokens inside a text become their ids, as the
-tokenizers library does. Repeated rows, clashing columns: rows are independent, added columns replace others.
+Nulls and empty texts have no tokens. Strings of added tokens inside a text become their ids, as the tokenizers
+library does. A text is read whole, whatever its length. Rows are independent: repeated rows and null ids are encoded
+like others; other columns pass through, but those with the names added here are replaced. An empty table gives an
+empty table with the same columns.
 """
 
 from __future__ import annotations
@@ -34,9 +40,9 @@ from .text import mapped, read
 
 #: The pattern by which byte-level BPE splits text before merging (a fixed value of the tokenizer's format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Paths and transitions kept per Python worker, in each of two generations.
+#: Words' paths kept per Python worker, in each of two generations, and states with their transitions.
 KEPT_WORDS = 220_000
-KEPT_ARCS = 220_000
+KEPT_STATES = 120_000
 #: The same pattern for texts below U+0250, with the letters and numbers there spelled out for the faster engine.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 SPLIT_LATIN = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
@@ -72,21 +78,17 @@ class Automaton:
             self.ids[self.arcs[i]] = i
         for s, i in self.added.items():
             self.arcs[i] = s.encode()
-        #: The longest label that begins with two given bytes.
-        self.reach: dict[bytes, int] = {}
-        for x in self.ids:
-            self.reach[x[:2]] = max(len(x), self.reach.get(x[:2], 1))
         self.lost: dict[int, dict[int, int]] = {}
         self.state: list[tuple[tuple[int, int], ...]] = [((i, _NEVER),) for i in range(size)]
         self.left: dict[int, tuple[int, int]] = {}
         self.spines: dict[int, tuple[tuple[int, int], ...]] = {}
-        self.table: dict[int, bool] = {}
-        self.old_table: dict[int, bool] = {}
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self._gadget(self.ids[label(a)], self.ids[label(b)], self.ids[label(a + b)], rank)
         self.spines.clear()
         self.ids = {label: i for label, i in self.ids.items() if self._whole(i)}  # the others have no arc
+        self.heads = {x[:k] for x in self.ids for k in range(1, len(x) + 1)}
+        self._restart()
         self.paths = _Paths(self)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
@@ -120,43 +122,62 @@ class Automaton:
                         return False
         return True
 
-    def leads(self, last: int, x: int) -> bool:
-        """Whether arc x leaves the state that arc `last` leads to."""
-        key = last << 24 | x
-        got = self.table.get(key)
-        if got is None:
-            got = self.old_table.get(key)
-            if got is None:
-                got = self._leads(last, x)
-            if len(self.table) >= KEPT_ARCS:
-                self.old_table, self.table = self.table, {}
-            self.table[key] = got
+    def _restart(self) -> None:
+        """Only the state at a word's beginning, where any arc may leave."""
+        self.tails: list[bytes] = [b""]
+        self.lasts: list[tuple[int, ...]] = [(-1,)]
+        self.named: dict[tuple[bytes, tuple[int, ...]], int] = {(b"", (-1,)): 0}
+        self.table: dict[int, int] = {}
+        self.last: list[int] = [-1]
+
+    def _step(self, state: int, byte: int) -> int:
+        """The state that byte leads to; it and the transition are kept."""
+        tail, lasts, ids = self.tails[state] + bytes((byte,)), self.lasts[state], self.ids
+        for k in range(len(tail), 0, -1):
+            x = ids.get(tail[-k:])
+            if x is not None and (lasts[-k] < 0 or self._leads(lasts[-k], x)):
+                break
+        else:
+            raise ValueError("no accepted path: the vocabulary lacks a byte")
+        while tail not in self.heads:
+            tail = tail[1:]
+        key = (tail, (*lasts, x)[-len(tail) - 1 :])
+        got = self.named.setdefault(key, len(self.tails))
+        if got == len(self.tails):
+            self.tails.append(tail)
+            self.lasts.append(key[1])
+            self.last.append(x)
+        self.table[state << 8 | byte] = got
         return got
 
+    def _room(self, state: int) -> int:
+        """The state's name once there is room for more: a full table is emptied but for this state."""
+        if len(self.tails) < KEPT_STATES and len(self.table) < 2 * KEPT_STATES:
+            return state
+        key = (self.tails[state], self.lasts[state])
+        self._restart()
+        if self.named.setdefault(key, 1):
+            self.tails.append(key[0])
+            self.lasts.append(key[1])
+            self.last.append(key[1][-1])
+        return self.named[key]
+
     def path(self, word: bytes) -> tuple[int, ...]:
-        """The one accepted path: long arcs are tried first, and a state from which the end can't be reached is left."""
-        ids, reach, leads, n = self.ids, self.reach, self.leads, len(word)
-        out: list[int] = []
-        dead: set[tuple[int, int]] = set()
-        at, last, size = 0, -1, min(n, reach.get(word[:2], 1))
-        while at < n:
-            while size:
-                x = ids.get(word[at : at + size])
-                if x is not None and (not out or leads(last, x)) and (not dead or (at + size, x) not in dead):
-                    break
-                size -= 1
-            if size:
-                out.append(x)
-                at += size
-                last, size = x, min(n - at, reach.get(word[at : at + 2], 1))
-            else:
-                if not out:
-                    raise ValueError("no accepted path: the vocabulary lacks a byte")
-                x = out.pop()
-                dead.add((at, x))
-                at -= len(self.arcs[x])
-                last, size = out[-1] if out else -1, len(self.arcs[x]) - 1
-        return tuple(out)
+        """The one accepted path."""
+        state, last = 0, array("i")
+        for byte in word:
+            there = self.table.get(state << 8 | byte)
+            if there is None:
+                state = self._room(state)
+                there = self._step(state, byte)
+            state = there
+            last.append(self.last[state])
+        out, at = [], len(word)
+        while at:
+            x = last[at - 1]
+            out.append(x)
+            at -= len(self.arcs[x])
+        return tuple(out[::-1])
 
     def _whole(self, x: int) -> bool:
         """Whether x is a byte or was made by a merge that can happen."""
