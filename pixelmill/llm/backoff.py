@@ -4,10 +4,11 @@ Tokens are words with A-Z lower-cased, and one end per text. The automaton's sta
 and the histories u of one word of the training texts: all of them, whatever the corpus' size (`frequent` can
 ask for words with at least that share of the training tokens instead). From u an arc leads on each such word
 v that followed u in training, weighted log10((c(u, v) - D) / c(u)); a failure arc, weighted log10 of u's
-backoff, leads to the empty history, whose arcs carry log10((c(v) - d) / N), and log10(d * V / N) for an
-unknown word. D and d are absolute discounts n1 / (n1 + 2 * n2) of the counts; backoffs make each state's
-probabilities add up to one over the V known words and `unknown`. A text is read left to right: the state is
-carried along and weights are added up.
+backoff, leads to the empty history, whose arcs carry log10((c(v) - d) / N). D and d are absolute discounts
+n1 / (n1 + 2 * n2) of the counts. The mass d * V / N that the V known words leave is shared among the U words never
+met: U is the estimate n1^2 / (2 * n2) of their number, or d * V / (1 - d) if that is more, so that no unknown
+word is likelier than one met once. Backoffs make each state's probabilities add up to one over known and unknown
+words. A text is read left to right: the state is carried along and weights are added up.
 
 All counts cover all training texts. Neither the counts nor the automaton fit in one place at scale, so the
 corpus is read in blocks of `block_bytes` of text (named by the file and offset they stand at, the same in
@@ -18,7 +19,9 @@ share of its history's backoff is counted by one block; the shares are added up
 joined to the texts that need them. Counts travel as arrays. Only a few totals reach the driver.
 
 Words and pairs are named by 64-bit hashes. Null and empty texts are one end token. Repeated rows count as
-often as they stand. Rows with a null id train.
+often as they stand. Rows with a null id train. A text is scored whole, in one block, whatever its length. Ids may be
+of any type and other columns are not read. Rows that come from no file are written to one first. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .text import NON_SPACE, chunks, mix, read, word_hashes, written
 
@@ -43,9 +47,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _placed(docs: DataFrame, key: str, text: str, test: Column) -> DataFrame:
-    """(id, text, test, place): place names the input block, or a share of the ids where rows come from no file."""
-    place = F.when(F.input_file_name() != "", F.xxhash64(F.input_file_name(), F.input_file_block_start())).otherwise(F.pmod(F.xxhash64(F.col(key)), F.lit(64)))
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), test.alias("test"), place.alias("place"))
+    """(id, text, test, place): place names the input block."""
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), test.alias("test"))
+    if not rows.filter(F.input_file_name() == "").isEmpty():
+        rows = written(rows, "texts")
+    return rows.withColumn("place", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
 
 
 class _Blocks:
@@ -74,7 +80,7 @@ def _named(df: DataFrame, size: int) -> DataFrame:
                 sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column("text")), 0)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), b.column("test"), pa.array(blocks.names(np.asarray(b.column("place")), sizes))], names=["id", "text", "test", "block"])
 
-    return df.mapInArrow(run, "id long, text string, test boolean, block long")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, text string, test boolean, block long")
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +246,11 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
+def unmet_words(known: int, ones: int, twos: int, d: float) -> float:
+    """How many words share the mass of unknown ones: Chao's estimate, or as many as leave none of them likelier than a known word."""
+    return max(1.0, ones * ones / (2 * max(1, twos)), d * known / (1 - d))
+
+
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", test: Column | None = None, frequent: float = 0, block_bytes: int = 16 << 20) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     sc = docs.sparkSession.sparkContext
@@ -248,13 +259,14 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", test: Colum
     words = written(_totals(_counts(rows, block_bytes), _WORD_BITS, frequent > 0), "words")
     size, known, ones, twos = stats(words)
     d, least = _discount(ones, twos), max(1, frequent * size)
+    unmet = unmet_words(known, ones, twos, d)
     names = sc.broadcast(_frequent(words, least)) if frequent > 0 else None  # at most 1 / frequent
     pairs = written(_totals(_counts(rows, block_bytes, True, names), _PAIR_BITS, False), "pairs")
     _, _, ones, twos = stats(pairs)
     big = _discount(ones, twos)
     told = lambda df, pair: df.filter("block is not null").select("block", "bucket", "check", "code", "large", F.lit(pair).alias("pair"))
     asked = told(words, False).unionAll(told(pairs, True))
-    out_schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("block", pa.int64()), ("row", pa.int64()), ("u", pa.int64()), ("times", pa.int64()), ("count", pa.int64()), ("mass", pa.float64()), ("p", pa.float64())])
+    out_schema = pa.schema([("id", to_arrow_type(rows.schema["id"].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("block", pa.int64()), ("row", pa.int64()), ("u", pa.int64()), ("times", pa.int64()), ("count", pa.int64()), ("mass", pa.float64()), ("p", pa.float64())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()
@@ -278,7 +290,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", test: Colum
 
         word, at = np.unique(h, return_inverse=True)
         count, far, _ = counted(word, np.ones(len(word), bool), False)
-        p = np.where(count > 0, count - d, d * known) / size if size else (count + 1) / (size + known + 1)
+        p = np.where(count > 0, count - d, d * known / unmet) / size if size else (count + 1) / (size + known + 1)
         on = _inner(first)
         pair, one, which = np.unique(_pair(h[on - 1], h[on]), return_index=True, return_inverse=True)
         u, v = at[on[one] - 1], at[on[one]]
@@ -304,7 +316,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", test: Colum
         return pa.concat_tables([out_schema.empty_table(), *map(pa.table, (scores, failures, shares))], promote_options="default")
 
     texts = _named(rows, block_bytes)
-    sql_type = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
+    sql_type = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double", out_schema[0].type: rows.schema["id"].dataType.simpleString()}
     done = written(texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, ", ".join(f"{x.name} {sql_type[x.type]}" for x in out_schema)), "scores")
     left = F.log10(F.greatest(F.lit(1e-12), 1 - F.sum("mass") / F.max("count")) / F.greatest(F.lit(1e-12), 1 - F.sum("p")))
     backs = done.filter("mass is not null").groupBy("u").agg(left.alias("back"), (F.max("count") >= _HOT * size).alias("hot"))

@@ -65,7 +65,7 @@ def test_bpe_is_the_librarys(spark):
     assert bpe.tokenized(docs.limit(0)).count() == 0
 
 
-def test_bpe_automaton_accepts_what_merging_makes():
+def test_bpe_automaton_accepts_what_merging_makes(monkeypatch):
     rng = random.Random(6)
     for _ in range(30):
         tokens, merges = ["a", "b", "c"], []
@@ -86,6 +86,16 @@ def test_bpe_automaton_accepts_what_merging_makes():
                         parts[i : i + 2] = [a + b]
                     i += 1
             assert [automaton.arcs[i].decode() for i in automaton.path(word.encode())] == parts
+        # one state per name, one target per state and byte, and the same path when the table is emptied on the way
+        assert len(automaton.named) == len(automaton.tails) == len(automaton.lasts) == len(automaton.last)
+        for key, there in list(automaton.table.items()):
+            assert automaton._step(key >> 8, key & 255) == there
+        word = bytes(rng.choice(b"abc") for _ in range(400))
+        want = automaton.path(word)
+        monkeypatch.setattr(bpe, "KEPT_STATES", 7)
+        automaton._restart()
+        assert automaton.path(word) == want and len(automaton.tails) <= 8
+        monkeypatch.undo()
 
 
 def test_urls(spark):
@@ -147,7 +157,8 @@ def test_language_model(spark):
     pairs = Counter({p: c for p, c in pairs.items() if p[0] in frequent and p[1] in frequent})
     discount = lambda c: (lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5)(*(sum(x == k for x in c.values()) for k in (1, 2)))
     d, big = discount(count), discount(pairs)
-    unigram = lambda w: (count[w] - d) / size if count[w] else d * known / size
+    unmet = max(1, *(a * a / (2 * max(1, b)) for a, b in [(sum(x == k for x in count.values()) for k in (1, 2))]), d * known / (1 - d))
+    unigram = lambda w: (count[w] - d) / size if count[w] else d * known / unmet / size
     back = {}
     for u in frequent:
         seen = [(v, c) for (a, v), c in pairs.items() if a == u]
@@ -180,7 +191,8 @@ def test_language_model_keeps_rare_pairs(spark, block_bytes):
     assert max(count[f"rare{k}"] for k in range(80)) < 1e-4 * size
     discount = lambda c: (lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5)(*(sum(x == k for x in c.values()) for k in (1, 2)))
     d, big = discount(count), discount(pairs)
-    unigram = lambda w: (count[w] - d) / size if count[w] else d * known / size
+    unmet = max(1, *(a * a / (2 * max(1, b)) for a, b in [(sum(x == k for x in count.values()) for k in (1, 2))]), d * known / (1 - d))
+    unigram = lambda w: (count[w] - d) / size if count[w] else d * known / unmet / size
     seen = {}
     for (u, v), c in pairs.items():
         seen.setdefault(u, []).append((v, c))
@@ -195,6 +207,21 @@ def test_language_model_keeps_rare_pairs(spark, block_bytes):
         assert r.train_tokens == size and r.score == pytest.approx(total)
 
 
+def test_language_model_prices_unknown_words(spark):
+    """The empty history's probabilities add up to one, and junk is less likely than natural text that wasn't trained on."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    text = lambda: " ".join(rng.choices(words, [1 / (k + 1) for k in range(3000)], k=60))
+    rows = [(i, text()) for i in range(400)] + [(1000 + i, text()) for i in range(40)]
+    rows += [(2000 + i, " ".join("".join(rng.choice("qxzjkv") for _ in range(9)) for _ in range(60))) for i in range(40)]
+    got = backoff.scored(frame(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), test=F.substring("doc_id", 2, 9).cast("int") >= 1000).collect()
+    bits = {r.doc_id: -r.score / r.n_tokens * math.log2(10) for r in got}
+    assert max(bits[f"d{i}"] for i in range(1000, 1040)) < min(bits[f"d{i}"] for i in range(2000, 2040))
+    for known, ones, twos in ((10, 0, 0), (500, 300, 90), (500, 10, 200), (1, 1, 0)):
+        d = backoff._discount(ones, twos)
+        assert d * known / backoff.unmet_words(known, ones, twos, d) <= 1 - d + 1e-12
+
+
 def test_resharding(spark):
     rows = corpus(3, 30) + [(5, "again"), (None, "no id")]
     out = reshard.resharded(frame(spark, rows), 4, 6).collect()
