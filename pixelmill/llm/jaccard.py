@@ -4,8 +4,7 @@ A document's set holds the hashes of its distinct shingles. The sketch is a bit
 flips one bit; sketches of two sets therefore differ in at most |A xor B| bits, and a similarity of t leaves
 at most (1 - t) / (1 + t) * (|A| + |B|) of them. The vector is cut into k blocks, of which at most as many can
 differ; of the others, equal in both, one joins the pair (pigeonhole). Size bands fix k: sets of 64 * 4^i
-shingles or so share a band, a set near the lower edge also joins the band below, and in the band of small
-sets each possible bit is a block of its own. A block's value is represented by the xor of its flipped bits'
+shingles or so share a band, and a set near the lower edge also joins the band below. A block's value is represented by the xor of its flipped bits'
 fingerprints, so equal blocks always agree and the rest practically never do.
 
 A set sends the first d + 1 + s of its blocks in one global order (by hash, empty ones last), where d bounds
@@ -21,8 +20,12 @@ checked against one candidate first, the most common-place one (of a family, the
 then only candidates that lie in different components are checked, so a family of m near copies takes about
 m checks and yet no link is lost.
 
+near_duplicates() gives components, near_pairs() the links themselves, between one row of each class.
+
 Empty and null texts have an empty set and no link. Rows with a null id link nothing. Repeated rows fall into
-one class. Only the id and the text are read.
+one class; a row is known by its id and the digest of its text, so rows that share an id but not the text are judged
+each by its own text. A text is read whole, whatever its length. Other columns are not read, but those named in
+`carry` pass through. Ids may be of any type that has an order. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .text import NON_SPACE, chunks, hand_back, mapped, mix, read, word_hashes, written
+from .text import NON_SPACE, chunks, hand_back, hot_join, mapped, mix, read, word_hashes, written
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _EMPTY = np.uint64(0xE7037ED1A0B428DB)
@@ -110,20 +113,16 @@ class Sketch:
         for band in self.bands(n):
             salt = np.uint64((band + 1) * int(_K[3]) % (1 << 64))
             bits = mix(tokens ^ salt)
-            if band:
-                k = self.blocks(band)
-                block = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-                at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                sig = mix(np.bitwise_xor.reduceat(bits, at) + block[at] * _K[4] + salt)
-                if len(sig) < take:
-                    empty = np.setdiff1d(np.arange(k, dtype=np.uint64), block[at])
-                    sig = np.concatenate([sig, np.sort(mix(empty * _K[4] + salt + _EMPTY))[: take - len(sig)]])
-            else:
-                sig = bits
+            k = self.blocks(band)
+            block = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+            at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            sig = mix(np.bitwise_xor.reduceat(bits, at) + block[at] * _K[4] + salt)
+            if len(sig) < take:
+                empty = np.setdiff1d(np.arange(k, dtype=np.uint64), block[at])
+                sig = np.concatenate([sig, np.sort(mix(empty * _K[4] + salt + _EMPTY))[: take - len(sig)]])
             out.append(np.partition(sig, take - 1)[:take] if len(sig) > take else sig)
         return np.concatenate(out)
 
-
     def vector(self, tokens: np.ndarray) -> bytes:
         """The sketch as one vector of at least as many bits as tokens (a power of two), for a last look at a pair."""
         bits = max(64, 1 << max(0, len(tokens) - 1).bit_length())
@@ -152,13 +151,13 @@ def _i64(x) -> pa.Array:
 
 
 def document_sets(docs: DataFrame, size: int, sketch: Sketch) -> DataFrame:
-    """(id, n, key, vector) of docs (id, text)."""
+    """docs (id, text, row and others) with n, key and vector for text."""
 
     def step(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = [s for _, data, at in chunks(batch.column("text")) for s in shingle_sets(data, at, size)]
         return [pa.array([len(s) for s in sets], pa.int64()), _i64([set_key(s) for s in sets]), pa.array([sketch.vector(s) for s in sets], pa.binary())]
 
-    return mapped(docs, step, [T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("vector", T.BinaryType())]).select("id", "n", "key", "vector")
+    return mapped(docs, step, [T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("vector", T.BinaryType())]).drop("text")
 
 
 def _signatures(docs: DataFrame, size: int, sketch: Sketch) -> DataFrame:
@@ -282,13 +281,13 @@ def _rarest(texts: DataFrame, size: int, sketch: Sketch) -> DataFrame:
     return ranked.filter((F.col("nth") <= take) & (F.col("df") > 1)).select("sig", "key", "n", "nth", "score")
 
 
-def _labelled(rare: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _labelled(rare: DataFrame, roots: DataFrame | None, rows: int) -> DataFrame:
     """rare with root, without the blocks that lie in one component."""
     if roots is None:
         return rare.withColumn("root", F.col("key"))
     out = rare.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = out.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    return out.join(mixed, "sig")
+    mixed = out.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("sig", "size")
+    return hot_join(out, mixed, ["sig"], "size", rows).drop("size")
 
 
 def _enough(sketch: Sketch) -> Column:
@@ -296,30 +295,34 @@ def _enough(sketch: Sketch) -> Column:
     return (F.least(F.col("n") - F.col("nth"), F.col("m") - F.col("mth")) + 1) * (sketch.num + sketch.den) >= sketch.num * (F.col("n") + F.col("m"))
 
 
-def _to_hubs(rare: DataFrame, roots: DataFrame | None, sketch: Sketch) -> DataFrame:
+def _to_hubs(rare: DataFrame, roots: DataFrame | None, sketch: Sketch, number: int) -> DataFrame:
     """(a, b, score): each set with the most common-place set of its block, if that is of another component."""
-    rows = _labelled(rare, roots)
-    hub = rows.groupBy("sig").agg(F.max(F.struct("score", "key", "root", F.col("n").alias("m"), F.col("nth").alias("mth"))).alias("hub"))
-    hub = hub.select("sig", F.col("hub.score").alias("s"), F.col("hub.key").alias("a"), F.col("hub.root").alias("other"), "hub.m", "hub.mth")
-    met = rows.join(hub, "sig").filter((F.col("root") != F.col("other")) & _enough(sketch))
+    rows = _labelled(rare, roots, number)
+    hub = rows.groupBy("sig").agg(F.max(F.struct("score", "key", "root", F.col("n").alias("m"), F.col("nth").alias("mth"))).alias("hub"), F.count(F.lit(1)).alias("size"))
+    hub = hub.select("sig", F.col("hub.score").alias("s"), F.col("hub.key").alias("a"), F.col("hub.root").alias("other"), "hub.m", "hub.mth", "size")
+    met = hot_join(rows, hub, ["sig"], "size", number).filter((F.col("root") != F.col("other")) & _enough(sketch))
     return met.select("a", F.col("key").alias("b"), F.col("s").alias("score"))
 
 
-def _across(rare: DataFrame, roots: DataFrame, sketch: Sketch) -> DataFrame:
+def _across(rare: DataFrame, roots: DataFrame, sketch: Sketch, rows: int) -> DataFrame:
     """Pairs (a, b) of rare in one block but in different components."""
-    left = _labelled(rare, roots).drop("score")
+    left = _labelled(rare, roots, rows).drop("score")
     right = left.select("sig", F.col("key").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("nth").alias("mth"))
     fits = (F.col("n") * sketch.num <= F.col("m") * sketch.den) & (F.col("m") * sketch.num <= F.col("n") * sketch.den)
     met = left.join(right, "sig").filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & fits & _enough(sketch))
     return met.select(F.col("key").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """key, n_shingles and component_id of every row: the smallest key reachable by links."""
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sketch = Sketch(num, den)
+def _candidates(docs: DataFrame, words: int, sketch: Sketch) -> tuple[DataFrame, ...]:
+    """(sets, classes, found, texts, rare) of docs (id, text, others).
+
+    sets: docs with n, key and vector for text; classes (key, rep, row, n, vector): one row of each set; found (a, b): the
+    plausible pairs of blocks that few share; texts (key, text) of those in found and of the unsafe; rare: see _rarest()."""
+    num, den = sketch.num, sketch.den
+    docs = docs.withColumn("row", F.unhex(F.md5("text")))
     sets = written(document_sets(docs, words, sketch), "sets")
-    classes = written(sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")), "classes")
+    first = sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "row")).alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector"))
+    classes = written(first.select("key", F.col("rep.id").alias("rep"), F.col("rep.row").alias("row"), "n", "vector"), "classes")
     blocks = written(_signatures(docs.filter("id is not null"), words, sketch).repartition("sig").mapInArrow(_buckets, "hot boolean, x long, y long"), "blocks")
     found = blocks.filter("not hot").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     hot = blocks.filter("hot").groupBy(F.col("y").alias("key")).agg(F.count(F.lit(1)).alias("hot"))
@@ -329,11 +332,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     unsafe = written(unsafe, "unsafe")
     found = written(_plausible(found, classes, sketch), "found")
     needed = found.select(F.explode(F.array("a", "b")).alias("key")).unionAll(unsafe).distinct()
-    ids = needed.join(classes, "key").select("key", F.col("rep").alias("id"))
-    texts = written(docs.join(ids, "id").select("key", "text").dropDuplicates(["key"]), "texts")
+    ids = needed.join(classes, "key").select("key", F.col("rep").alias("id"), "row")
+    # repeated rows have one text
+    texts = written(docs.join(ids, ["id", "row"]).select("key", "text").dropDuplicates(["key"]), "texts")
     rare = written(_rarest(texts.join(unsafe, "key"), words, sketch), "rare")
+    return sets, classes, found, texts, rare
+
+
+def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, (a, b) with a < b, and the members of each set, (key, class): a and b are classes.
+
+    Every candidate is verified, so the work follows the number of links: a family of m different texts that are all
+    alike has m * (m - 1) / 2 of them. near_duplicates() doesn't need them."""
+    sketch = Sketch(num, den)
+    sets, classes, found, texts, rare = _candidates(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), words, sketch)
+    left = rare.drop("score")
+    right = left.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("nth").alias("mth"))
+    met = left.join(right, "sig").filter((F.col("key") < F.col("b")) & _enough(sketch)).select(F.col("key").alias("a"), "b").distinct()
+    pairs = _linked(found.unionAll(_plausible(met, classes, sketch)).distinct(), texts, words, num, den)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets.filter("n > 0 and id is not null").select(F.col("id").alias(key), F.col("key").alias("class"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_shingles and component_id (the smallest key reachable by links) of every row, and its columns named in carry."""
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)])
+    sketch = Sketch(num, den)
+    sets, classes, found, texts, rare = _candidates(docs, words, sketch)
+    number = rare.count()
     # one candidate for every set: the most common-place one, else the smallest
-    star = _to_hubs(rare, None, sketch).unionAll(found.withColumn("score", F.lit(-1.0)))
+    star = _to_hubs(rare, None, sketch, number).unionAll(found.withColumn("score", F.lit(-1.0)))
     links, roots, tried = None, None, None
     for _ in range(HUB_ROUNDS):
         best = star.groupBy("b").agg(F.max(F.struct("score", "a")).alias("x")).select("x.a", "b")
@@ -342,10 +369,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         new = written(_linked(best, texts, words, num, den), "verified")
         links = new if links is None else links.unionAll(new)
         roots = written(components(links), "roots")
-        star = _to_hubs(rare, roots, sketch)
+        star = _to_hubs(rare, roots, sketch, number)
     label = lambda of, name: roots.select(F.col("v").alias(of), F.col("root").alias(name))
     apart = found.join(label("a", "ra"), "a", "left").join(label("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    rest = apart.unionAll(_plausible(_across(rare, roots, sketch), classes, sketch)).distinct()
+    rest = apart.unionAll(_plausible(_across(rare, roots, sketch, number), classes, sketch)).distinct()
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = rest.join(tried, ["a", "b"], "left_anti")
     links = links.unionAll(written(_linked(rest, texts, words, num, den), "verified"))
@@ -353,8 +380,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     named = classes.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = named.join(lowest, "root").select("key", "component_id")
-    out = sets.join(labels, "key", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    return out
+    lowest_id = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    return sets.join(labels, "key", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), lowest_id.alias("component_id"), *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pixelmill.llm import components, exact, jaccard, lines, substrings
 
@@ -33,6 +34,29 @@ def test_near_duplicates(spark, monkeypatch, seed, families, size, hot):
     assert got == linked(rows)
 
 
+@pytest.mark.parametrize("hot", [8, 2])
+def test_near_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rows = corpus(5, 4, 12)
+    sets = {i: shingles(t) for i, t in rows}
+    want = {(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and a and a != b and 100 * len(a & b) >= 80 * len(a | b)}
+    pairs, members = jaccard.near_pairs(frame(spark, rows))
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["class"], []).append(r.doc_id)
+    got = [tuple(sorted((i, j))) for r in pairs.collect() for i in of[r.a] for j in of[r.b]]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_duplicates_of_one_id(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, "quite another text of its own here"), (2, base + " more"), (2, base), (0, "quite another text of its own here now")]
+    got = sorted((r.n_shingles, r.doc_id, r.component_id) for r in jaccard.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(3, 2, 2), (4, 0, 0), (56, 1, 1), (56, 2, 1), (57, 2, 1)]
+    text = {r.t: r.component_id for r in jaccard.near_duplicates(frame(spark, [(f"k{i}", t) for i, (_, t) in enumerate(rows)], extra=False).withColumn("t", F.col("doc_id")), carry=("t",)).collect()}
+    assert text == {"k0": "k0", "k1": "k1", "k2": "k0", "k3": "k0", "k4": "k4"}
+
+
 def test_near_duplicates_repeated_null_and_empty(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (7, None), (8, "")]
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.near_duplicates(frame(spark, rows)).collect())
