@@ -41,11 +41,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of repeated rows one."""
-    kept = jaccard.near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    # rows are together by id after the join, so repeated ones meet without another shuffle
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop(kept["kept_id"]).dropDuplicates()
-    return named.unionByName(docs.filter("doc_id is null"))
+    """Of each group of near duplicates the document with the smallest id; of rows with one id and one text one.
+
+    A row is known by its id and the digest of its text, so rows that share an id but not the text are judged apart."""
+    rows = docs.withColumn("__row", F.md5("text"))
+    kept = jaccard.near_duplicates(rows, carry=("__row",)).filter("doc_id = component_id")
+    kept = kept.groupBy(F.col("doc_id").alias("__id"), F.coalesce("__row", F.lit("")).alias("__digest")).agg(F.count(F.lit(1)).alias("__times"))
+    named = rows.join(kept, (rows["doc_id"] == kept["__id"]) & (F.coalesce(rows["__row"], F.lit("")) == kept["__digest"]))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # repeated rows are few as a rule, and combined before they are shuffled
+    again = named.filter("__times > 1").groupBy("__id", "__digest").agg(F.min_by(F.struct(*own), F.to_json(F.struct(*own))).alias("__first")).select("__first.*")
+    return named.filter("__times = 1").select(*own).unionAll(again).unionAll(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
