@@ -12,11 +12,12 @@ eight-byte symbols to a shallow depth, then a blind trie for every group that st
 lengths of the two orders then tell which strings around the anchor recur, and where. A gram with more different
 surroundings than a task should hold (HOT_GROUP) has its windows dealt out by digest instead.
 
-A text that occurs twice or more (128-bit digest) is repeated from end to end if it has `length` bytes; a task
-deals out its suffixes once. Anchors whose surroundings recur within a batch are settled before the shuffle, so a
-very common passage sends few rows. Null and empty texts, and those under `length` bytes, keep everything. Ids name
-texts and must be unique (an exact repetition of a row is a copy of its text); rows with a null id are
-ignored as sources and keep everything but copies. Only the id and the text are read.
+A text that occurs twice or more is repeated from end to end if it has `length` bytes; a task deals out its suffixes
+once. Anchors whose surroundings recur within a batch are settled before the shuffle, so a very common passage sends
+few rows. Texts are named by a 64-bit digest of their own, not by their ids: rows with null ids, repeated ids and
+repeated rows are judged like all others, each by its text. Null and empty texts, and those under `length` bytes, keep
+everything. A text is read whole, whatever its length. Ids may be of any type; other columns are not read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import chunks, mapped, mix, prefix_hash, read, span_hash, written
+from .text import chunks, hand_back, hot_join, mapped, mix, prefix_hash, read, span_hash, written
 
 GRAM = 48
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 24
 #: Different surroundings of one gram that one task sorts; beyond, windows are dealt out by their digests.
 HOT_GROUP = 100_000
+#: Anchors of whole groups that are settled together.
+HELD = 1 << 20
 #: Up to so many suffixes at one anchor are compared in pairs of their sorted orders.
 PAIRS = 32
 _RAW = np.arange(1, 257, dtype=np.uint64)
@@ -120,10 +123,27 @@ ALIKE, SORT, CROWDED = 0, 1, 2
 
 
 def _groups(batches, crowd: int):
-    """(todo, gram, id, pos) of the anchors whose gram recurs."""
-    held = [tuple(np.asarray(c) for c in b.columns) for b in batches if b.num_rows]
-    if not held:
-        return
+    """(todo, gram, id, pos) of the anchors whose gram recurs; batches are in the order of grams."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = tuple(np.asarray(c) for c in b.columns)
+        gram = rows[0]
+        last = int(np.searchsorted(gram, gram[-1]))  # where the last gram, which may go on, begins
+        if size + last >= HELD and (last or gram[0] != held[-1][0][-1]):
+            yield from _settled([*held, tuple(x[:last] for x in rows)], crowd)
+            held, size = [], 0
+            rows = tuple(x[last:] for x in rows)
+        held.append(rows)
+        size += len(rows[0])
+    if held:
+        yield from _settled(held, crowd)
+
+
+def _settled(held: list[tuple[np.ndarray, ...]], crowd: int):
+    """The rows of _groups() for anchors (gram, around, id, pos, kind), with all of each gram."""
     gram, around, doc, pos, kind = (np.concatenate(x) for x in zip(*held, strict=True))
     settled = kind == SETTLED
     out = [(ALIKE, gram[settled], doc[settled], pos[settled])]
@@ -269,21 +289,32 @@ def repeats(lefts: list[bytes], rights: list[bytes], length: int) -> list[list[t
 
 
 def _sorted(batches, length: int):
-    """(id, lo, hi): repeated stretches around the anchors in batches (gram, id, pos, before, after)."""
-    groups: dict[int, list[tuple[int, int, bytes, bytes]]] = {}
+    """(id, lo, hi): repeated stretches around the anchors in batches (gram, id, pos, before, after), in the order of grams."""
+
+    def told(group: list[tuple[int, int, bytes, bytes]]) -> Iterator[tuple[int, int, int]]:
+        for (doc, pos, _, _), found in zip(group, repeats([g[2] for g in group], [g[3] for g in group], length), strict=True):
+            for a, b in found:
+                yield doc, pos - a, pos + b
+
+    def packed(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["id", "lo", "hi"])
+
+    rows: list[tuple[int, int, int]] = []
+    group: list[tuple[int, int, bytes, bytes]] = []
+    now = None
     for b in batches:
         for gram, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            groups.setdefault(gram, []).append(tuple(rest))
-    ids, los, his = [], [], []
-    for group in groups.values():
-        if len(group) > 1:
-            for (doc, pos, _, _), found in zip(group, repeats([g[2] for g in group], [g[3] for g in group], length), strict=True):
-                for a, b in found:
-                    ids.append(doc)
-                    los.append(pos - a)
-                    his.append(pos + b)
-    if ids:
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(los, pa.int64()), pa.array(his, pa.int64())], names=["id", "lo", "hi"])
+            if gram != now:
+                rows += told(group) if len(group) > 1 else ()
+                now, group = gram, []
+                if len(rows) >= 1 << 16:
+                    yield packed(rows)
+                    rows = []
+            group.append(tuple(rest))
+    rows += told(group) if len(group) > 1 else ()
+    if rows:
+        yield packed(rows)
+    hand_back()
 
 
 def _contexts(batches, length: int):
@@ -314,48 +345,62 @@ def _windows(batches, length: int):
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(los, pa.int64())], names=["digest", "id", "lo"])
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """docs (id, text) with each text at most once a task, so that copies of one text are as many as tasks at most."""
+
+    def run(batches):
+        done: set[int] = set()
+        for batch in batches:
+            keep = []
+            for x in batch.column("id").to_pylist():
+                keep.append(x not in done)
+                done.add(x)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(id, spans: [(lo, hi)]) of docs (id, text): stretches of bytes that recur; they may overlap."""
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    known = docs.filter(F.col("id").isNotNull() & (size >= length))
-    found = written(_anchor_rows(known, length).repartition("gram").mapInArrow(lambda b, crowd=HOT_GROUP: _groups(b, crowd), "todo byte, gram long, id long, pos long"), "anchors")
+    """(id, spans: [(lo, hi)]) of docs (id: the text's name, text): stretches of bytes that recur; they may overlap."""
+    known = docs.filter(F.octet_length("text") >= length)
+    dealt = _anchor_rows(known, length).repartition("gram").sortWithinPartitions("gram")
+    found = written(dealt.mapInArrow(lambda b, crowd=HOT_GROUP: _groups(b, crowd), "todo byte, gram long, id long, pos long"), "anchors")
     alike = found.filter(F.col("todo") == ALIKE).select("id", F.greatest(F.lit(0), F.col("pos") - (length - GRAM)).alias("lo"), (F.col("pos") + length).alias("hi"))
     # both uses of this join stand in one plan and share its shuffles
-    places = found.filter(F.col("todo") != ALIKE).groupBy("id").agg(F.collect_list(F.struct("todo", "gram", "pos")).alias("places"))
-    met = known.join(places, "id").select("id", "text", "places")
+    places = found.filter(F.col("todo") != ALIKE).groupBy("id").agg(F.collect_set(F.struct("todo", "gram", "pos")).alias("places"))
+    met = _once(known).join(places, "id").select("id", "text", "places")
     around = met.mapInArrow(lambda b: _contexts(b, length), "gram long, id long, pos long, before binary, after binary")
-    spans = alike.unionAll(around.repartition("gram").mapInArrow(lambda b: _sorted(b, length), "id long, lo long, hi long"))
+    around = around.repartition("gram").sortWithinPartitions("gram")
+    spans = alike.unionAll(around.mapInArrow(lambda b: _sorted(b, length), "id long, lo long, hi long"))
     if not found.filter(F.col("todo") == CROWDED).isEmpty():
         windows = met.mapInArrow(lambda b: _windows(b, length), "digest binary, id long, lo long").distinct()
-        many = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-        spans = spans.unionAll(windows.join(many, "digest").select("id", "lo", (F.col("lo") + length).alias("hi")))
-    return spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        many = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        spans = spans.unionAll(hot_join(windows, many, ["digest"], "n", windows.count()).select("id", "lo", (F.col("lo") + length).alias("hi")))
+    return spans.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def copies(docs: DataFrame, length: int) -> DataFrame:
-    """(id) of texts of `length` bytes or more that occur more than once."""
-
-    def step(batch: pa.RecordBatch) -> list[pa.Array]:
-        digests = [xxhash.xxh3_128_digest((x.as_py() or "").encode()) for x in batch.column("text")]
-        return [pa.array(digests, pa.binary())]
-
-    long = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) >= length)
-    named = written(mapped(long, step, [T.StructField("digest", T.BinaryType())]).select("id", "digest"), "digests")
-    many = named.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    return named.join(many, "digest").select("id").distinct()
+    """(id, n) of texts of `length` bytes or more that occur more than once; docs (id: the text's name, text)."""
+    size = F.octet_length("text")
+    named = docs.filter(size >= length).groupBy("id", F.xxhash64("text", F.lit(1)).alias("second"), size.alias("size"))
+    return named.agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """key, n_bytes, removed (maximal runs of bytes as (lo, hi)) and kept (binary: the bytes that are left)."""
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    whole = copies(docs, length).withColumn("copied", F.lit(True))
-    spans = written(repeated_spans(docs, length).join(whole, "id", "full"), "spans")
+    docs = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    docs = docs.withColumn("id", F.xxhash64("text"))
+    whole = written(copies(docs, length), "copies")
+    spans = repeated_spans(docs.select("id", "text"), length).join(whole.select("id"), "id", "left_anti")
+    table = spans.select("id", "spans", F.lit(1).cast("long").alias("n")).unionByName(whole, allowMissingColumns=True)
+    table = written(table, "spans")
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))), T.StructField("kept", T.BinaryType())]
 
     def step(batch: pa.RecordBatch) -> list[pa.Array]:
         sizes, removed, kept = [], [], []
-        for text, spans, copied in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "copied")), strict=True):
-            data = (text or "").encode()
+        for text, spans, n in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "n")), strict=True):
+            data = text.encode()
+            copied = n is not None and n > 1
             runs: list[list[int]] = [[0, len(data)]] if copied else []
             if not copied:
                 for lo, hi in sorted((s["lo"], min(s["hi"], len(data))) for s in spans or []):
@@ -369,8 +414,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         return [pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary())]
 
-    out = mapped(docs.join(spans, "id", "left").select("id", "text", "spans", "copied"), step, fields)
-    return out.select(F.col("id").alias(key), "n_bytes", "removed", "kept")
+    out = mapped(hot_join(docs, table, ["id"], "n", docs.count(), "left").select("key", "text", "spans", "n"), step, fields)
+    return out.select(F.col("key").alias(key), "n_bytes", "removed", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def corpus(seed: int = 1, families: int = 8, size: int = 6) -> list[tuple[int, s
 
 def frame(spark, rows, extra: bool = True):
     """rows as documents; extra columns have names that operators use themselves."""
-    kind = "string" if rows and isinstance(rows[0][0], str) else "long"
+    kind = "string" if any(isinstance(i, str) for i, _ in rows) else "long"
     df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
     return df.selectExpr("*", "cast(hash(doc_id) % 3 as int) as n", "'z' as key", "0 as score", "doc_id as id") if extra else df
 

@@ -146,6 +146,7 @@ def covered(rows, length):
 def test_repeated_substrings(spark, monkeypatch, seed, pairs, crowd):
     monkeypatch.setattr(substrings, "PAIRS", pairs)
     monkeypatch.setattr(substrings, "HOT_GROUP", crowd)
+    monkeypatch.setattr(substrings, "HELD", 50)
     rows = corpus(seed, 5, 4)
     out = substrings.without_repeats(frame(spark, rows)).collect()
     got = {r.doc_id: (r.n_bytes, sum(x.hi - x.lo for x in r.removed), len(r.removed), bytes(r.kept)) for r in out}
@@ -153,6 +154,17 @@ def test_repeated_substrings(spark, monkeypatch, seed, pairs, crowd):
     assert substrings.without_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_substrings_of_any_rows(spark, monkeypatch):
+    """Null ids, repeated ids with different texts, repeated rows, ids that are strings; grams settled in small groups."""
+    monkeypatch.setattr(substrings, "HELD", 5)
+    rows = corpus(2, 4, 3)
+    texts = [t for _, t in rows] + [rows[20][1], "é" * 230, "q" * 450]
+    for ids in ([None if i % 3 else 7 for i in range(len(texts))], [f"k{i % 4}" for i in range(len(texts))]):
+        out = substrings.without_repeats(frame(spark, list(zip(ids, texts)), extra=False)).collect()
+        got = sorted((str(r.doc_id), r.n_bytes, sum(x.hi - x.lo for x in r.removed), len(r.removed), bytes(r.kept)) for r in out)
+        assert got == sorted((str(ids[i]), *x) for i, x in covered(list(enumerate(texts)), 200).items())
+
+
 def test_deep_shallow_order():
     import random
 
