@@ -7,9 +7,11 @@ patterns with that last block form a bucket, and a direct comparison of the word
 
 All windows of one length form one table, so that a short item does not shorten the shifts of the others.
 Benchmark items are the stated query set: they are read in blocks of at most `block_words` words, one pass
-over the batch per block, so no broadcast grows beyond that bound.
+over the documents per block, so no broadcast grows beyond that bound (a block of a million words takes about 100 MB:
+windows are places in one buffer of words).
 
-Nulls and texts without words have no words and no hits. A document may be of any length. Equal windows of
+Nulls and texts without words have no words and no hits. A document may be of any length. Empty tables of either kind
+give no hits. Equal windows of
 several items count for each of them. Items with a null id can be hit but are not listed. Repeated rows are
 judged row by row. Other columns pass through; columns of the names added here are replaced.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ALNUM, LOWER, chunks, mapped, mix, read, word_hashes
+from .text import ALNUM, LOWER, chunks, mapped, mix, read, word_hashes, written
 
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 SHIFT_BITS = 18
@@ -33,24 +35,60 @@ def _block_hash(h: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
     return mix(h[last] * _K2 + (h[last - 1] * _K1 if size == 2 else np.uint64(0)))
 
 
+class Words:
+    """The words of a block of items as one buffer, in which a space follows each word, and the hashes of the words."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]]):
+        self.ids = [name for name, _ in items]
+        parts: list[bytes] = []
+        hashes, sizes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for _, text in items:
+            data = np.frombuffer((text or "").encode(), np.uint8)
+            start, stop, _, h = word_hashes(data, np.array([0, len(data)]), ALNUM)
+            low = LOWER[data].tobytes()
+            parts.append(b"".join(low[a:b] + b" " for a, b in zip(start.tolist(), stop.tolist(), strict=True)))
+            hashes.append(h)
+            sizes.append(stop - start)
+            counts.append(len(h))
+        self.buffer = b"".join(parts)
+        self.h, size = np.concatenate(hashes), np.concatenate(sizes)
+        self.start = np.concatenate([[0], np.cumsum(size + 1)])
+        self.counts = np.array(counts, np.int64)
+
+    def window(self, first: int, length: int) -> bytes:
+        return self.buffer[self.start[first] : self.start[first + length] - 1]
+
+
 class Table:
-    """Shift table and buckets of the patterns of one length."""
-
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[int]]):
-        self.length, self.block = length, min(2, length)
-        self.patterns = list(patterns)
-        self.items = [sorted(set(patterns[p])) for p in self.patterns]
-        text = b"\n".join(b" ".join(p) for p in self.patterns)
-        data = np.frombuffer(text, np.uint8)
-        at = np.concatenate([[0], np.flatnonzero(data == 10) + 1, [len(data)]]).astype(np.int64)
-        h = word_hashes(data, at, ALNUM)[3].reshape(len(self.patterns), length)
+    """Shift table and buckets of the patterns of one length: `length` words of `words` from each of `first` on.
+
+    Equal windows are one pattern. items[item_at[p]:item_at[p + 1]] are the numbers of the items that have pattern p."""
+
+    def __init__(self, length: int, words: Words, first: np.ndarray, item: np.ndarray):
+        self.length, self.block, self.words = length, min(2, length), words
+        name = np.zeros(len(first), np.uint64)
+        for j in range(length):
+            name = mix(name * _K1 + words.h[first + j])
+        order = np.lexsort((item, name))
+        first, item, name = first[order], item[order], name[order]
+        new = np.concatenate([[True], name[1:] != name[:-1]])
+        begins = np.flatnonzero(new)
+        of = first[begins][np.cumsum(new) - 1]
+        for i in np.flatnonzero(~new).tolist():  # windows that hash alike are compared
+            if words.window(int(first[i]), length) != words.window(int(of[i]), length):
+                raise ValueError("two windows of the benchmark hash alike")
+        self.first = first[begins].astype(np.int32)
+        self.items, self.item_at = item.astype(np.int32), np.append(begins, len(item)).astype(np.int32)
         self.shift = np.full(1 << SHIFT_BITS, length - self.block + 1, np.uint8 if length < 256 else np.int64)
         for j in range(self.block - 1, length):
-            keys = _block_hash(h.ravel(), np.arange(len(h)) * length + j, self.block)
+            keys = _block_hash(words.h, self.first.astype(np.int64) + j, self.block)
             np.minimum.at(self.shift, (keys >> np.uint64(64 - SHIFT_BITS)).astype(np.int64), length - 1 - j)
-        last = _block_hash(h.ravel(), np.arange(len(h)) * length + length - 1, self.block)
+        last = _block_hash(words.h, self.first.astype(np.int64) + length - 1, self.block)
         order = np.argsort(last, kind="stable")
-        self.bucket_key, self.bucket = last[order], order
+        self.bucket_key, self.bucket = last[order], order.astype(np.int32)
+
+    def names(self, pattern: int) -> set[int]:
+        return set(self.items[self.item_at[pattern] : self.item_at[pattern + 1]].tolist())
 
     def find(self, h: np.ndarray, first: np.ndarray, word) -> list[tuple[int, int]]:
         """(first word, pattern) of every occurrence. word(i): the bytes of word i."""
@@ -77,8 +115,8 @@ class Table:
             for a, j, k in zip(ats.tolist(), i.tolist(), keys.tolist(), strict=True):
                 seen = None
                 while j < len(self.bucket_key) and int(self.bucket_key[j]) == k:
-                    seen = seen or tuple(word(x) for x in range(a - m + 1, a + 1))
-                    if self.patterns[p := int(self.bucket[j])] == seen:
+                    seen = seen or b" ".join(word(x) for x in range(a - m + 1, a + 1))
+                    if self.words.window(int(self.first[p := int(self.bucket[j])]), m) == seen:
                         found.append((a - m + 1, p))
                         break
                     j += 1
@@ -87,22 +125,17 @@ class Table:
 
 def compiled(items: list[tuple[str | None, str | None]], window: int) -> tuple[list[Table], list[str | None]]:
     """The tables of a block of (id, text), and the ids by number."""
-    by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
-    ids: list[str | None] = []
-    for name, text in items:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        start, stop, _, _ = word_hashes(data, np.array([0, len(data)]), ALNUM)
-        low = LOWER[data].tobytes()
-        got = [low[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-        ids.append(name)
-        if got:
-            size = min(window, len(got))
-            for i in range(len(got) - size + 1):
-                by_length.setdefault(size, {}).setdefault(tuple(got[i : i + size]), []).append(len(ids) - 1)
-    return [Table(n, p) for n, p in sorted(by_length.items())], ids
-
-
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", item: tuple[str, str] = ("item_id", "text"), block_words: int = 2_000_000) -> DataFrame:
+    words = Words(items)
+    size = np.minimum(words.counts, window)
+    windows = np.maximum(0, words.counts - size + 1) * (size > 0)
+    item = np.repeat(np.arange(len(items)), windows)
+    nth = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+    first = np.repeat(np.cumsum(words.counts) - words.counts, windows) + nth
+    of = size[item]
+    return [Table(int(n), words, first[of == n], item[of == n]) for n in np.unique(of)], words.ids
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", item: tuple[str, str] = ("item_id", "text"), block_words: int = 1_000_000) -> DataFrame:
     """docs with n_words, hit_spans (runs [start, stop) of hit words) and hit_items (sorted ids)."""
     spark = docs.sparkSession
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("hit_items", T.ArrayType(T.StringType()))]
@@ -121,6 +154,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: s
     for k, block in enumerate(blocks):
         tables = spark.sparkContext.broadcast(compiled(block, window))
         out = mapped(out, _search(tables, text), [T.StructField(f"__{f.name}{k}", f.dataType) for f in fields])
+        if k + 1 < len(blocks):
+            out = written(out, "block")  # so that a worker holds the tables of one block only
     if len(blocks) == 1:
         made = {f.name: F.col(f"__{f.name}0") for f in fields}
     else:  # spans of several blocks: merge the sorted union with one fold
@@ -144,7 +179,7 @@ def _search(shared, text: str):
                 for a, p in table.find(h, first, lambda i: low[start[i] : stop[i]]):
                     row = int(np.searchsorted(first, a, "right")) - 1
                     hits.setdefault(row, []).append((a - int(first[row]), a - int(first[row]) + table.length))
-                    names.setdefault(row, set()).update(table.items[p])
+                    names.setdefault(row, set()).update(table.names(p))
             counts.append(np.diff(first))
             for row in range(len(at) - 1):
                 if row not in hits:
