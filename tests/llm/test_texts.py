@@ -118,9 +118,19 @@ def test_urls(spark):
 def test_cascade_is_exact_on_its_universe(spark):
     keys = [f"k{i}" for i in range(3000)]
     df = spark.createDataFrame([(k,) for k in keys], "key string")
-    listed = keys[::60] + ["never seen"]
-    levels = urls.cascade(df, listed)
-    assert {r[0] for r in df.filter(urls.member(levels, F.col("key"))).collect()} == set(keys[::60])
+    made = urls.cascades(df, {"a": [*keys[::60], "never seen"], "b": keys[1::700], "c": []})
+    for name, step in (("a", slice(0, None, 60)), ("b", slice(1, None, 700)), ("c", slice(0, 0))):
+        assert {r[0] for r in df.filter(urls.member(made[name], F.col("key"))).collect()} == set(keys[step])
+
+
+def test_urls_with_a_million_rules(spark):
+    rules = [(f"h{i}.example.net", f"/{i % 7}/" if i % 3 else "/", "block" if i % 2 else "allow") for i in range(1_000_000)]
+    made = [f"http://w.h{i}.example.net/{(i + k) % 7}/x" for i in range(0, 1_400_000, 2900) for k in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    for r in urls.judged(df, rules=rules).collect():
+        i = int(re.search(r"h(\d+)", r.url)[1])
+        fits = i < len(rules) and r.path.startswith(rules[i][1])
+        assert (r.rule, r.verdict) == ((rules[i][0] + rules[i][1], rules[i][2]) if fits else (None, "allow"))
 
 
 def test_toxicity_learns_sentences(spark):
