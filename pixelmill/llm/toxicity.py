@@ -1,15 +1,17 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of its words and of their first
-four and five bytes, which inflected forms share (hashed to 2^18 weights); a document's is the noisy-or of its sentences: 1 - prod(1 - score). Only document labels are needed
-to fit the weights, by gradient ascent on the likelihood of the noisy-or; afterwards the sentence scores tell
+four and five bytes, which inflected forms share (hashed to 2^18 weights); a document's is the noisy-or of its
+sentences: 1 - prod(1 - score). Only document labels are needed to fit the weights, by gradient ascent on the likelihood of the noisy-or; afterwards the sentence scores tell
 which sentences offend (offending()).
 
-Fitting uses at most `most_rows` labelled rows of each class (parameter, default 2000), chosen by a hash of
-the id, of at most `most_bytes` bytes (default 1 MB) each; scoring covers every document and its whole text.
-Labels: null labels and ids are left out, of repeated ones the largest counts. Empty and null texts get the score of no evidence (0 sentences:
-0.0). Without labels of both classes every weight is 0 and every
-score next to 0 (below 1e-9 for a text of ordinary length). Repeated rows score alike.
+Fitting uses at most `most_rows` labelled documents of each class (parameter, default 2000), chosen by a hash of the id,
+of at most `most_bytes` bytes (default 1 MB) each and `most_total` bytes (default 32 MB) a class; scoring covers every
+document and its whole text. Labels: null labels and ids are left out, of repeated ones the largest counts. Of
+documents with one labelled id one text is fitted on (the one with the least digest). Empty and null texts get the score of no evidence (0 sentences: 0.0). Without labels
+of both classes every weight is 0 and every score next to 0 (below 1e-9 for a text of ordinary length). Repeated rows
+score alike. Other columns pass through; those with the names added here are replaced. An empty table gives an empty
+table with the same columns.
 """
 
 from __future__ import annotations
@@ -94,12 +96,20 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300, rate:
     return w[:-1], float(w[-1])
 
 
-def trained(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = 2000, most_bytes: int = 1 << 20) -> tuple[np.ndarray, float]:
+def trained(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = 2000, most_bytes: int = 1 << 20, most_total: int = 32 << 20) -> tuple[np.ndarray, float]:
     """Fit on labelled documents for which usable (an expression over doc_id) holds."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    parts = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
+    parts = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).withColumn("nth", F.xxhash64("doc_id")) for y in (0, 1)]
     chosen = parts[0].unionAll(parts[1])  # 2 * most_rows rows at most: small enough to send to every task
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= most_bytes)
+    sizes = texts.groupBy("toxic", "nth", "doc_id").agg(F.min(F.struct(F.md5("text").alias("digest"), F.octet_length("text").alias("size"))).alias("x")).select("toxic", "nth", "doc_id", "x.*").collect()
+    held, total = [], [0, 0]
+    for r in sorted(sizes):
+        if total[r.toxic] + r["size"] <= most_total:
+            total[r.toxic] += r["size"]
+            held.append((r.doc_id, r.toxic, r.digest))
+    names = docs.sparkSession.createDataFrame(held, docs.select("doc_id").schema.add("toxic", T.IntegerType()).add("digest", T.StringType()))
+    texts = docs.select("doc_id", "text", F.md5("text").alias("digest")).join(F.broadcast(names), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
 
     def step(batch: pa.RecordBatch) -> list[pa.Array]:
         slots, begins = [], []

@@ -150,6 +150,8 @@ def test_toxicity_learns_sentences(spark):
     held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(got[i].predicted == labels[i][1] for i in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 for r in got.values()) and got[1000].score == got[1001].score == 0
+    few = toxicity.trained(docs, marks, ~toxicity.held_out(F.col("doc_id")), most_total=2000)
+    assert few[0].any() and (few[0] != 0).sum() < 2000  # a bounded sample is learnt from
     model = toxicity.trained(docs, marks, ~toxicity.held_out(F.col("doc_id")))
     for r in toxicity.offending(docs.filter("doc_id % 8 = 0 and doc_id < 400"), model).collect():
         assert [s.sentence for s in r.offending_sentences if not any(b in s.sentence for b in bad)] == []
