@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .text import NON_SPACE, chunks, mix, read, word_hashes, written
+from .text import NON_SPACE, chunks, hand_back, mix, read, word_hashes, written
 
 END = np.uint64(0x1B873593CC9E2D51)
 #: Counts of words and of pairs are dealt out by this many leading bits of their hashes.
@@ -40,6 +40,8 @@ _WORD_BITS, _PAIR_BITS = 10, 12
 #: Histories with this share of training tokens go to the failure arcs by broadcast (so at most 10,000 do).
 _HOT = 1e-4
 _LARGE = (1 << 14) - 1
+#: Counts of whole buckets that are summed together.
+HELD = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -175,8 +177,9 @@ def _counts(docs: DataFrame, size: int, pairs: bool = False, frequent=None) -> D
                 held.append(_summed(h, weight))
         if (out := flush()) is not None:
             yield out
+        hand_back()
 
-    return docs.mapInArrow(run, "block long, bucket int, h binary, n binary").repartition("bucket")
+    return docs.mapInArrow(run, "block long, bucket int, h binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
 
 
 def _totals(counts: DataFrame, bits: int, named: bool) -> DataFrame:
@@ -187,16 +190,29 @@ def _totals(counts: DataFrame, bits: int, named: bool) -> DataFrame:
     that were counted in training, and the numbers of ones and twos."""
 
     def run(batches):
-        held = []
+        held: list[tuple[np.ndarray, ...]] = []
+        size, last = 0, None
         for b in batches:
-            if b.num_rows:
-                lengths = np.asarray(pa.compute.binary_length(b.column("n"))) // 4
+            # buckets come in order: those that are whole are summed once there are enough of them
+            buckets = np.asarray(b.column("bucket"))
+            cuts = _cuts(buckets) if b.num_rows else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if size >= HELD and buckets[lo] != last:
+                    yield from told(held)
+                    held, size = [], 0
+                last = buckets[lo]
+                part = b.slice(lo, hi - lo)
+                lengths = np.asarray(pa.compute.binary_length(part.column("n"))) // 4
                 h = np.zeros((int(lengths.sum()), 8), np.uint8)
-                h[:, :7] = _unpacked(b.column("h"), np.uint8).reshape(-1, 7)
-                h[:, 7] = np.repeat(np.asarray(b.column("bucket")) >> (bits - 8), lengths)
-                held.append((h.view(np.uint64).ravel(), np.repeat(np.asarray(b.column("block")), lengths), _unpacked(b.column("n"), np.int32)))
-        if not held:
-            return
+                h[:, :7] = _unpacked(part.column("h"), np.uint8).reshape(-1, 7)
+                h[:, 7] = last >> (bits - 8)
+                held.append((h.view(np.uint64).ravel(), np.repeat(np.asarray(part.column("block")), lengths), _unpacked(part.column("n"), np.int32)))
+                size += len(h)
+        if held:
+            yield from told(held)
+        hand_back()
+
+    def told(held: list[tuple[np.ndarray, ...]]):
         h, block, n = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order = np.lexsort((block, h))
@@ -215,10 +231,10 @@ def _totals(counts: DataFrame, bits: int, named: bool) -> DataFrame:
         cuts = _cuts(block, bucket)
         at = cuts[:-1]
         large = total >= _LARGE
-        told = {"block": block[at], "bucket": bucket[at], "check": np.bitwise_xor.reduceat(h, at).view(np.int64) if len(h) else h.view(np.int64), "code": _packed(code, cuts), "large": _packed(total[large], np.concatenate([[0], np.cumsum(large)])[cuts])}
+        rows = {"block": block[at], "bucket": bucket[at], "check": np.bitwise_xor.reduceat(h, at).view(np.int64) if len(h) else h.view(np.int64), "code": _packed(code, cuts), "large": _packed(total[large], np.concatenate([[0], np.cumsum(large)])[cuts])}
         if named:
-            told["h"] = _packed(h, cuts)
-        yield from pa.concat_tables([schema.empty_table(), pa.table(told), pa.table({k: pa.array([x], pa.int64()) for k, x in zip(("size", "known", "ones", "twos"), stats, strict=True)})], promote_options="default").to_batches()
+            rows["h"] = _packed(h, cuts)
+        yield from pa.concat_tables([schema.empty_table(), pa.table(rows), pa.table({k: pa.array([x], pa.int64()) for k, x in zip(("size", "known", "ones", "twos"), stats, strict=True)})], promote_options="default").to_batches()
 
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("check", pa.int64()), ("code", pa.binary()), ("large", pa.binary()), ("h", pa.binary()), *((k, pa.int64()) for k in ("size", "known", "ones", "twos"))])
     return counts.mapInArrow(run, "block long, bucket int, check long, code binary, large binary, h binary, size long, known long, ones long, twos long")
@@ -251,7 +267,7 @@ def unmet_words(known: int, ones: int, twos: int, d: float) -> float:
     return max(1.0, ones * ones / (2 * max(1, twos)), d * known / (1 - d))
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", test: Column | None = None, frequent: float = 0, block_bytes: int = 16 << 20) -> DataFrame:
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", test: Column | None = None, frequent: float = 0, block_bytes: int = 8 << 20) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     sc = docs.sparkSession.sparkContext
     rows = _placed(docs, key, text, held_out(F.col(key)) if test is None else test)
@@ -313,6 +329,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", test: Colum
         scores = {"id": left["id"], "held_out": pa.array(test), "n_tokens": np.diff(first), "n_known": np.add.reduceat((c > 0).astype(np.int64), ends), "train_tokens": np.full(len(test), size), "base_score": np.add.reduceat(base, ends), "score": np.add.reduceat(weight, ends), "block": np.full(len(test), block), "row": np.arange(len(test))}
         failures = {"block": np.full(len(open_), block), "row": open_ // len(word), "u": word[open_ % len(word)].view(np.int64), "times": times}
         shares = {"u": word[shared].view(np.int64), "count": count[shared].astype(np.int64), "mass": mass[shared], "p": left_p[shared]}
+        hand_back()
         return pa.concat_tables([out_schema.empty_table(), *map(pa.table, (scores, failures, shares))], promote_options="default")
 
     texts = _named(rows, block_bytes)
