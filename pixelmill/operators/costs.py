@@ -103,11 +103,11 @@ def gamma_bits(n: Column) -> Column:
 
 
 def rans_frequencies(hist: DataFrame, by: Sequence[str], scale: int = 1 << 14) -> DataFrame:
-    """by, sym, cnt, freq and cum: frequencies that sum to scale; what rounding leaves goes to the first largest symbol."""
+    """by, sym, cnt, freq and cum: frequencies that sum to scale; what rounding leaves goes to the first symbol of the largest count."""
     w, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("sym").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("cnt").over(w)
     df = hist.withColumn("f", F.greatest(F.lit(1).cast("long"), F.expr("0L") + F.floor((F.col("cnt") * scale + F.floor(total / 2)) / total)))
-    first = F.row_number().over(w.orderBy(F.desc("f"), "sym"))
+    first = F.row_number().over(w.orderBy(F.desc("cnt"), "sym"))
     df = df.withColumn("rest", F.lit(scale) - F.sum("f").over(w)).withColumn("nth", first)
     df = df.withColumn("freq", F.col("f") + F.when(F.col("nth") == 1, F.col("rest")).otherwise(0))
     return df.select(*by, "sym", "cnt", "freq", F.coalesce(F.sum("freq").over(order), F.lit(0)).cast("long").alias("cum"))

@@ -214,10 +214,15 @@ def arithmetic_decode(bits: list[int], raw: list[int], act: np.ndarray) -> np.nd
     return np.array(out).reshape(act.shape)
 
 
+def _five_taps(plane: np.ndarray) -> np.ndarray:
+    """Left, top and corners with copied borders, and the median whose corner is 0 outside, of every sample."""
+    n = around(plane)
+    return np.stack([n["a"], n["b"], n["c"], n["d"], med(*corners_zero(plane))], -1).reshape(-1, 5)
+
+
 def sign_lms(plane: np.ndarray, least_error: int) -> np.ndarray:
     """Predictions of five taps (left, top, corners, median) whose weights follow the signs of errors and always sum to 16."""
-    n = around(plane)
-    taps = np.stack([n["a"], n["b"], n["c"], n["d"], med(n["a"], n["b"], n["c"])], -1).reshape(-1, 5)
+    taps = _five_taps(plane)
     weights, out = [3, 3, 3, 3, 4], np.empty(len(taps), np.int64)
     for k, (x, y) in enumerate(zip(taps.tolist(), plane.ravel().tolist(), strict=True)):
         out[k] = p = (sum(w * v for w, v in zip(weights, x, strict=True)) + 8) // 16
@@ -232,8 +237,7 @@ def sign_lms(plane: np.ndarray, least_error: int) -> np.ndarray:
 
 def magnitude_lms(plane: np.ndarray, shift: int = 3) -> np.ndarray:
     """Residuals of five taps whose weights move by a normalised step."""
-    n = around(plane)
-    taps = np.stack([n["a"], n["b"], n["c"], n["d"], med(n["a"], n["b"], n["c"])], -1).reshape(-1, 5)
+    taps = _five_taps(plane)
     weights, out = [0, 0, 0, 0, 16], np.empty(len(taps), np.int64)
     for k, (x, y) in enumerate(zip(taps.tolist(), plane.ravel().tolist(), strict=True)):
         out[k] = e = y - (sum(w * v for w, v in zip(weights, x, strict=True)) >> 4)
@@ -276,6 +280,8 @@ def closed_loop(plane: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _LEVELS = (1, 3, 8, 22)
+#: The most that a context's bias correction can be (a fixed value).
+MOST_CORRECTION = 4
 
 
 def _signed_level(g: np.ndarray) -> np.ndarray:
@@ -320,13 +326,13 @@ def loco(plane: np.ndarray, reset: int = 64) -> dict:
                 e = s * (row[j] - p0)
                 out[name] += rate.price(2 * e if e >= 0 else -2 * e - 1, abs(e))
             state[1] += s * (row[j] - corrected)
-            if state[2] == reset:
-                state[1], state[2] = state[1] >> 1, state[2] >> 1
             state[2] += 1
             if state[1] <= -state[2]:
-                state[0], state[1] = max(-128, state[0] - 1), max(1 - state[2], state[1] + state[2])
+                state[0], state[1] = max(-MOST_CORRECTION, state[0] - 1), max(1 - state[2], state[1] + state[2])
             elif state[1] > 0:
-                state[0], state[1] = min(127, state[0] + 1), min(0, state[1] - state[2])
+                state[0], state[1] = min(MOST_CORRECTION, state[0] + 1), min(0, state[1] - state[2])
+            if state[2] == reset:
+                state[1], state[2] = -(-state[1] // 2), state[2] >> 1  # the sum is never above 0 here: halved towards 0
             j += 1
     return out
 

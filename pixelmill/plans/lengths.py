@@ -99,7 +99,7 @@ def golomb_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FREQ = """fr0 AS (SELECT *, greatest(1, CAST((cnt * 16384 + sum(cnt) OVER w // 2) // sum(cnt) OVER w AS BIGINT)) AS f FROM hist WINDOW w AS (PARTITION BY img, ch)),
-fr1 AS (SELECT *, 16384 - sum(f) OVER (PARTITION BY img, ch) AS rest, row_number() OVER (PARTITION BY img, ch ORDER BY f DESC, sym) AS nth FROM fr0),
+fr1 AS (SELECT *, 16384 - sum(f) OVER (PARTITION BY img, ch) AS rest, row_number() OVER (PARTITION BY img, ch ORDER BY cnt DESC, sym) AS nth FROM fr0),
 fr AS (SELECT img, ch, sym, cnt, CAST(f + CASE WHEN nth = 1 THEN rest ELSE 0 END AS BIGINT) AS freq FROM fr1)"""
 
 

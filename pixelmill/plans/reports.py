@@ -43,7 +43,7 @@ def rate_distortion_sweep(spark: SparkSession, d: str) -> DataFrame:
     return bits.join(errors, ["img", "tau"]).select("img", "tau", F.col("stream").alias("bits"), F.round(F.col("stream") / F.col("n"), 6).alias("bpp"), "max_error", "se")
 
 
-_TWO = f"l1 AS (SELECT img % 8 AS img, CAST(sum(abs(v - {sql.med()})) AS BIGINT) AS x, CAST(sum(abs(v - ((a + b) >> 1))) AS BIGINT) AS y FROM b4 WHERE img < 8 GROUP BY ALL), df AS (SELECT img, x - y AS d FROM l1 WHERE x <> y), rk AS (SELECT d, avg(o) OVER (PARTITION BY abs(d)) AS r FROM (SELECT d, row_number() OVER (ORDER BY abs(d)) AS o FROM df))"
+_TWO = f"l1 AS (SELECT img, CAST(sum(abs(v - {sql.med()})) AS BIGINT) AS x, CAST(sum(abs(v - ((a + b) >> 1))) AS BIGINT) AS y FROM b4 GROUP BY ALL), df AS (SELECT img, x - y AS d FROM l1 WHERE x <> y), rk AS (SELECT d, avg(o) OVER (PARTITION BY abs(d)) AS r FROM (SELECT d, row_number() OVER (ORDER BY abs(d)) AS o FROM df))"
 
 
 def _two_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,13 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, "n int, w double, p double")
 
 
-@R.add(sql.q(*E_TP, _TWO, "ri AS (SELECT d, r, row_number() OVER (ORDER BY abs(d), d) - 1 AS k FROM rk), tt AS (SELECT count(*) AS n, sum(r) AS t, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM ri), pt AS (SELECT m, sum(CASE WHEN (m >> CAST(k AS INTEGER)) & 1 = 1 THEN r ELSE 0 END) AS s FROM range(256) x(m), ri, tt WHERE m < (1 << CAST(n AS INTEGER)) GROUP BY m)", "SELECT CAST(n AS INTEGER) AS n, least(w, t - w) AS w, least(1.0, sum((least(s, t - s) <= least(w, t - w))::INT) / CAST(1 << CAST(n AS INTEGER) AS DOUBLE)) AS p FROM pt, tt GROUP BY n, w, t"))
+_RANKS = """ri AS (SELECT CAST(2 * r AS BIGINT) AS r2, d, row_number() OVER (ORDER BY abs(d), d) AS k FROM rk),
+tt AS (SELECT count(*) AS n, CAST(sum(r2) AS BIGINT) AS t, CAST(sum(CASE WHEN d > 0 THEN r2 ELSE 0 END) AS BIGINT) AS w FROM ri),
+pt AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(range(t + 1), lambda s: CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c FROM tt
+  UNION ALL SELECT ri.k, list_transform(range(len(c)), lambda s: c[s + 1] / 2 + CASE WHEN s >= r2 THEN c[s - r2 + 1] / 2 ELSE 0 END) FROM pt JOIN ri ON ri.k = pt.k + 1)"""
+
+
+@R.add(sql.q(*E_TP, _TWO, _RANKS, "SELECT CAST(n AS INTEGER) AS n, least(w, t - w) / 2.0::DOUBLE AS w, least(1.0, 2 * list_sum(c[1:least(w, t - w) + 1])) AS p FROM pt, tt WHERE k = n AND n > 0"))
 def wilcoxon_signed_rank(spark: SparkSession, d: str) -> DataFrame:
     return wilcoxon(_two_scores(spark, d))
 
@@ -120,8 +126,10 @@ def run_machine(spark: SparkSession, d: str) -> DataFrame:
     is coded, and then one regular sample without a new test. Rows are independent folds."""
     df = base.taps(spark, d, "evt")
     a, b, c, dd = map(F.col, "abcd")
-    flat = (a == b) & (b == c) & (c == dd) & ~((F.col("i") == 0) & (F.col("j") == 0)) & (F.col("j") + 1 < 64)
+    flat = (a == b) & (b == c) & (c == dd) & ~((F.col("i") == 0) & (F.col("j") == 0))
     rows = df.groupBy(*BY, "i").agg(F.array_sort(F.collect_list(F.struct("j", flat.alias("flat"), (F.col("v") == a).alias("same")))).alias("p"))
+    # no run begins at the last sample of a row
+    rows = rows.withColumn("p", F.transform("p", lambda x, k: x.withField("flat", x["flat"] & (k + 1 < F.size("p")))))
     start = F.struct(F.lit(False).alias("inrun"), F.lit(0).alias("runs"), F.lit(0).alias("covered"), F.lit(0).alias("regular"))
 
     def step(s, x):

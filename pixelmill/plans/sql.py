@@ -12,8 +12,9 @@ def _level(k: int) -> str:
 EMB = f"emb AS (SELECT vec_id // 64 AS img, CAST(vec_id % 64 AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {_level(1)} AS r, {_level(2)} AS g, {_level(3)} AS b FROM embeddings, range(21) AS t(j))"
 EVT = """evt0 AS (SELECT event_id // 4096 AS img, CAST((event_id % 4096) // 64 AS INTEGER) AS i, CAST(event_id % 64 AS INTEGER) AS j, CAST(CAST(floor(value) AS BIGINT) % 256 AS INTEGER) AS r, CAST(hour(ts) * 10 AS INTEGER) AS g,
   CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 50 WHEN 'purchase' THEN 100 WHEN 'signup' THEN 150 ELSE 200 END AS b FROM events),
-evt AS (SELECT img, i, j, r, g, b FROM (SELECT *, count(*) OVER (PARTITION BY img, i) AS k FROM evt0) WHERE k = 64)"""
-DOC = "doc AS (SELECT doc_id AS img, 0 AS ch, CAST(p // 64 AS INTEGER) AS i, CAST(p % 64 AS INTEGER) AS j, CAST(unicode(substr(text, p + 1, 1)) % 256 AS INTEGER) AS v FROM (SELECT doc_id, text, unnest(range(length(text) // 64 * 64)) AS p FROM documents WHERE doc_id < 200))"
+evt AS (SELECT img, i, j, r, g, b FROM evt0 UNION ALL SELECT img, i, CAST(j + k AS INTEGER), r, g, b FROM (SELECT *, max(j) OVER (PARTITION BY img, i) AS last FROM evt0), range(1, 64) t(k) WHERE j = last AND j + k < 64)"""
+DOC = """doc0 AS (SELECT doc_id AS img, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS p, length(text) AS n FROM documents WHERE length(text) > 0),
+doc AS (SELECT img, 0 AS ch, CAST(p // 64 AS INTEGER) AS i, CAST(p % 64 AS INTEGER) AS j, CAST(unicode(c) % 256 AS INTEGER) AS v FROM (SELECT img, p, c FROM doc0 UNION ALL SELECT img, p + k, c FROM doc0, range(1, 64) t(k) WHERE p = n - 1 AND p + k < (n + 63) // 64 * 64))"""
 
 
 def ycocg(source: str = "emb") -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import codecs, costs, fits, folds
 from ..sources import rasters
-from . import base, lengths, sql
+from . import base, foldsql, lengths, sql
 
 R = base.Registry()
 PLANES = (sql.EVT, sql.ycocg("evt"))
@@ -20,14 +20,14 @@ def planes(spark: SparkSession, d: str) -> DataFrame:
     return base.planes(spark, d, "evt")
 
 
-@R.add()
+@R.add(foldsql.GOLOMB_ACTIVITY)
 def adaptive_golomb_activity(spark: SparkSession, d: str) -> DataFrame:
     """Adaptive Golomb bits with one state an activity bin, and with a single state."""
     fn = lambda p: {"bits": folds.adaptive_golomb(codecs.residuals(p), folds.activity(p)), "single": folds.adaptive_golomb(codecs.residuals(p), np.zeros_like(p))}
     return folds.per_plane(planes(spark, d), fn, "bits long, single long")
 
 
-@R.add()
+@R.add(foldsql.GOLOMB_GROUPS)
 def adaptive_golomb_groups(spark: SparkSession, d: str) -> DataFrame:
     """Adaptive Golomb by energy group, and by group and activity together."""
 
@@ -38,7 +38,7 @@ def adaptive_golomb_groups(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), fn, "by_group long, joint long")
 
 
-@R.add()
+@R.add(foldsql.RUNS)
 def adaptive_runs(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), lambda p: {"bits": folds.gated_runs(codecs.residuals(p), folds.activity(p))}, "bits long")
 
@@ -71,18 +71,18 @@ def complete_loco(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), folds.loco, "regular long, unbiased long, run_bits long, runs long, interruptions long")
 
 
-@R.add()
+@R.add(foldsql.SIGN_LMS)
 def sign_lms_error(spark: SparkSession, d: str) -> DataFrame:
     fn = lambda p: {f"l1_{t}": int(np.abs(p - folds.sign_lms(p, t)).sum()) for t in (0, 3)}
     return folds.per_plane(planes(spark, d), fn, "l1_0 long, l1_3 long")
 
 
-@R.add()
+@R.add(foldsql.MAGNITUDE_LMS)
 def magnitude_lms_error(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), lambda p: {"l1": int(np.abs(folds.magnitude_lms(p)).sum())}, "l1 long")
 
 
-@R.add()
+@R.add(foldsql.MIXED)
 def mixed_predictors(spark: SparkSession, d: str) -> DataFrame:
     """The median predictor and the plain average, whichever did better lately."""
 
@@ -100,7 +100,7 @@ def near_lossless_closed_loop(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), fn, "tau int, bounded boolean")
 
 
-@R.add()
+@R.add(foldsql.GAP_BIAS)
 def gap_with_bias(spark: SparkSession, d: str) -> DataFrame:
     """Gradient-adjusted prediction corrected by the running mean error of nine energy classes."""
 
@@ -123,7 +123,7 @@ def gap_with_bias(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), fn, "l1 long, plain long")
 
 
-@R.add("SELECT doc_id, strlen(text) AS n_bytes, true AS equal FROM documents WHERE doc_id < 200 AND strlen(text) > 0")
+@R.add("SELECT doc_id, strlen(text) AS n_bytes, true AS equal FROM documents WHERE strlen(text) > 0")
 def lz_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Texts through the windowed matcher and back."""
     docs = rasters.table(spark, d, "documents").filter("octet_length(text) > 0").select("doc_id", "text")
@@ -167,7 +167,7 @@ def huffman_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), fn, "payload_bits long, alphabet long, mismatches long")
 
 
-@R.add()
+@R.add(foldsql.CODES)
 def canonical_code_tables(spark: SparkSession, d: str) -> DataFrame:
     """Canonical codes; lengths from a fold over counts, codes from running sums of Kraft shares."""
     hist = costs.histogram(base.med_residuals(spark, d, "evt"), ["img", "ch"]).groupBy("img", "ch").agg(F.collect_list(F.struct("sym", "cnt")).alias("h"))
@@ -206,7 +206,7 @@ def golomb_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return best.join(folds.per_plane(planes(spark, d), fn, "mismatches long"), ["img", "ch"])
 
 
-@R.add()
+@R.add(foldsql.RANGE)
 def range_coder_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of the range coder, its cost with tables, and mismatches after decoding (0)."""
 
@@ -228,12 +228,10 @@ def codec_order0(spark: SparkSession, d: str) -> DataFrame:
     coded = folds.per_plane(base.planes(spark, d, "evt"), codecs.encode_plane, "height int, width int, table binary, payload binary, payload_bits long")
     plane = coded.mapInArrow(codecs.decode_planes, "img long, ch int, i int, row array<int>")
     wide = plane.groupBy("img", "i").agg(*[F.max(F.when(F.col("ch") == k, F.col("row"))).alias(n) for k, n in enumerate(("y", "co", "cg"))])
-    px = wide.select("img", F.col("i").alias("line"), F.inline(F.arrays_zip("y", "co", "cg")))
-    back = px.select("img", *[x.alias(c) for c, x in zip("rgb", color.ycocg_inverse(*map(F.col, ("y", "co", "cg"))), strict=True)])
-    # decoded and original pixels in one multiset: every colour must occur as often in both
-    both = back.withColumn("s", F.lit(1)).unionByName(rasters.pixels(rgb).select("img", "r", "g", "b").withColumn("s", F.lit(-1)))
-    per = both.groupBy("img", "r", "g", "b").agg(F.sum("s").alias("s"), F.count_if(F.col("s") < 0).alias("n"))
-    return per.groupBy("img").agg(F.sum("n").alias("pixels"), F.sum(F.abs("s")).alias("mismatches"))
+    px = wide.select("img", "i", F.posexplode(F.arrays_zip("y", "co", "cg")).alias("j", "p")).select("img", "i", "j", "p.*")
+    back = px.select("img", "i", "j", F.struct(*[x.alias(c) for c, x in zip("rgb", color.ycocg_inverse(*map(F.col, ("y", "co", "cg"))), strict=True)]).alias("back"))
+    both = rasters.pixels(rgb).select("img", "i", "j", F.struct("r", "g", "b").alias("rgb")).join(back, ["img", "i", "j"], "full")
+    return both.groupBy("img").agg(F.count("rgb").alias("pixels"), F.count_if(~F.col("rgb").eqNullSafe(F.col("back"))).alias("mismatches"))
 
 
 @R.add()
@@ -265,7 +263,7 @@ def fitted_small_nets(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), fits.small_net, "bin int, n long, scale int, params int, l1_med long, l1_net long, kept boolean")
 
 
-@R.add()
+@R.add(foldsql.SIMILARITY)
 def structural_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of planes to themselves rounded to multiples of 5: Gaussian windows of deviation 1.5, mirrored borders."""
     kernel = np.exp(-(np.arange(-6, 7) ** 2) / (2 * 1.5**2))

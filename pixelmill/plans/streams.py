@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import codecs, costs, fits, folds
-from . import base, sql
+from . import base, foldsql, sql
 
 R = base.Registry()
 BY = ["img", "ch"]
@@ -187,7 +187,7 @@ def lifted_and_deflated(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), fn, "n_bytes long")
 
 
-@R.add()
+@R.add(foldsql.MIXTURES)
 def mixture_tables(spark: SparkSession, d: str) -> DataFrame:
     """The parametric table (scale, weight, ratio) whose ideal code lengths cost a plane's residuals least."""
     tables = [(s, w, ratio) for s in (0.5, 1, 2, 4, 8, 16, 32) for w in (0.5, 0.75, 0.9) for ratio in (3, 6)]

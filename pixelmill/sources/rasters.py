@@ -23,20 +23,25 @@ def embedding_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 x 64 RGB images from events in id order: value, hour and type. Only whole rows are kept."""
+    """64 x 64 RGB images from events in id order: value, hour and type. A short last row is filled up with its last pixel."""
     code = F.array_position(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), F.col("event_type"))
     px = F.struct(F.expr("cast(event_id % 64 as int)").alias("j"), F.expr("cast(floor(value) % 256 as int)").alias("r"), (F.hour("ts") * 10).alias("g"), ((code - 1) * 50).cast("int").alias("b"))
     df = table(spark, sf_dir, "events").select(F.expr("event_id div 4096").alias("img"), F.expr("cast((event_id % 4096) div 64 as int)").alias("i"), px.alias("px"))
-    rows = df.groupBy("img", "i").agg(F.array_sort(F.collect_list("px")).alias("p")).filter(F.size("p") == 64)
+    rows = df.groupBy("img", "i").agg(F.array_sort(F.collect_list("px")).alias("p")).withColumn("p", _filled("p", 64))
     return rows.select("img", "i", "p.r", "p.g", "p.b")
 
 
+def _filled(row: str, width: int) -> Column:
+    """The array with its last element repeated up to a width."""
+    return F.concat(row, F.array_repeat(F.element_at(row, -1), width - F.size(row)))
+
+
 def document_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, ch, i, row): code points modulo 256 of all documents in rows of 64; only whole rows are kept."""
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("img"), "text", F.expr("length(text) div 64").alias("rows"))
+    """(img, ch, i, row): code points modulo 256 of all documents in rows of 64; a short last row is filled up with its last value."""
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("img"), "text", F.expr("(length(text) + 63) div 64").alias("rows"))
     df = df.filter("rows > 0").select("img", "text", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
     chars = F.split(F.substr("text", F.col("i") * 64 + 1, F.lit(64)), "")
-    return df.select("img", F.lit(0).alias("ch"), F.col("i").cast("int").alias("i"), F.transform(F.slice(chars, 1, 64), lambda c: F.ascii(c) % 256).alias("row"))
+    return df.select("img", F.lit(0).alias("ch"), F.col("i").cast("int").alias("i"), F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.ascii(c) % 256).alias("row")).withColumn("row", _filled("row", 64))
 
 
 def gradient_raster(spark: SparkSession, size: int = 64) -> DataFrame:
