@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Numbers of groups that are tried (fixed values).
 GROUP_COUNTS = (2, 3, 4, 6, 9, 12, 18, 27, 36)
+WIDE_COUNTS = (*GROUP_COUNTS, 48, 64)
 
 
 def quantile_groups(cube: DataFrame, by: Sequence[str], counts: Sequence[int]) -> DataFrame:

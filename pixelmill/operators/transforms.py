@@ -17,9 +17,9 @@ def lift_rows(planes: DataFrame) -> DataFrame:
     odd = F.floor(n / 2)
     even = n - odd
     at = lambda k: F.get("row", k)
-    detail = F.transform(F.sequence(F.lit(0), odd - 1), lambda k: at(2 * k + 1) - half(at(2 * k) + at(F.least(2 * k + 2, 2 * (even - 1)))))
+    detail = F.transform(F.slice(F.sequence(F.lit(0), odd), 1, odd.cast("int")), lambda k: at(2 * k + 1) - half(at(2 * k) + at(F.least(2 * k + 2, 2 * (even - 1)))))
     df = planes.withColumn("d", detail)
-    high = lambda k: F.get("d", F.greatest(F.lit(0), F.least(k, odd - 1)))
+    high = lambda k: F.coalesce(F.get("d", F.greatest(F.lit(0), F.least(k, odd - 1))), F.lit(0))
     smooth = F.transform(F.sequence(F.lit(0), even - 1), lambda k: at(2 * k) + floor_div(high(k - 1) + high(k) + 2, 4))
     return df.select("img", "ch", "i", smooth.alias("s"), "d")
 
@@ -27,7 +27,7 @@ def lift_rows(planes: DataFrame) -> DataFrame:
 def unlift_rows(lifted: DataFrame) -> DataFrame:
     """The rows that lift_rows() came from."""
     odd, even = F.size("d"), F.size("s")
-    high = lambda k: F.get("d", F.greatest(F.lit(0), F.least(k, odd - 1)))
+    high = lambda k: F.coalesce(F.get("d", F.greatest(F.lit(0), F.least(k, odd - 1))), F.lit(0))
     df = lifted.withColumn("e", F.transform("s", lambda x, k: x - floor_div(high(k - 1) + high(k) + 2, 4)))
     back = F.transform("d", lambda x, k: x + half(F.get("e", k) + F.get("e", F.least(k + 1, even - 1))))
     df = df.withColumn("o", back)
@@ -66,8 +66,3 @@ def dct4_inverse(y: str = "y") -> Column:
             total = sum((F.get(y, F.lit(4 * u + v)).cast("long") * (DCT4[u][i] * DCT4[v][j] * weight[u] * weight[v]) for u in range(4) for v in range(4)), F.lit(0).cast("long"))
             out.append((total / (400 * 400)).cast("int"))
     return F.array(*out)
-
-
-def previous_rows(planes: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("img", "ch").orderBy("i")
-    return planes.select("*", *[F.lag("row", k).over(w).alias(f"u{k}") for k in range(1, n + 1)])

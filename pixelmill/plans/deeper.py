@@ -65,12 +65,12 @@ def low_frequency_ramps(spark: SparkSession, d: str) -> DataFrame:
     return costs.huffman_bits(costs.histogram(flat, BY), BY).select(*BY, "n", F.col("stream").alias("bits"))
 
 
-@R.add(sql.q(*spatial._TWO_D, "hh AS (SELECT img, ch, i // 2 AS y, j // 2 AS x, max(CASE WHEN i % 2 = 0 AND j % 2 = 0 THEN v END) AS ll, max(CASE WHEN i % 2 = 1 AND j % 2 = 1 THEN v END) AS h FROM lv GROUP BY ALL), lp AS (SELECT *, lag(ll) OVER (PARTITION BY img, ch, y ORDER BY x) AS pl_ FROM hh), hist AS (SELECT img, ch, CASE WHEN abs(ll - coalesce(pl_, ll)) < 4 THEN 0 WHEN abs(ll - coalesce(pl_, ll)) < 16 THEN 1 ELSE 2 END AS act, h AS sym, count(*) AS cnt FROM lp GROUP BY ALL)", sql.huffman("img, ch, act"), "SELECT img, ch, CAST(sum(huff + 16 + 24 * alphabet) AS BIGINT) AS bits, count(*) AS tables FROM hf GROUP BY ALL"))
+@R.add(sql.q(*spatial._TWO_D, "hh AS (SELECT img, ch, i // 2 AS y, j // 2 AS x, max(CASE WHEN i % 2 = 0 AND j % 2 = 0 THEN v END) AS ll, max(CASE WHEN i % 2 = 1 AND j % 2 = 1 THEN v END) AS h FROM lv GROUP BY ALL), lp AS (SELECT *, lag(ll) OVER (PARTITION BY img, ch, y ORDER BY x) AS pl_ FROM hh), hist AS (SELECT img, ch, CASE WHEN abs(ll - coalesce(pl_, ll)) < 4 THEN 0 WHEN abs(ll - coalesce(pl_, ll)) < 16 THEN 1 ELSE 2 END AS act, h AS sym, count(*) AS cnt FROM lp WHERE h IS NOT NULL GROUP BY ALL)", sql.huffman("img, ch, act"), "SELECT img, ch, CAST(sum(huff + 16 + 24 * alphabet) AS BIGINT) AS bits, count(*) AS tables FROM hf GROUP BY ALL"))
 def wavelet_conditioned(spark: SparkSession, d: str) -> DataFrame:
     """The diagonal subband with a table for each of three activities of the low subband beside it."""
     low = _band(spark, d, "L")
     high = _band(spark, d, "H")
-    cells = low.join(high, ["img", "ch", "x"]).select("img", "ch", "x", F.inline(F.arrays_zip(F.col("s").alias("ll"), F.col("d").alias("h"), F.sequence(F.lit(0), F.size("s") - 1).alias("y"))))
+    cells = low.join(high, ["img", "ch", "x"]).select("img", "ch", "x", F.inline(F.arrays_zip(F.col("s").alias("ll"), F.col("d").alias("h"), F.sequence(F.lit(0), F.size("s") - 1).alias("y")))).filter("h is not null")
     before = F.lag("ll").over(Window.partitionBy(*BY, "y").orderBy("x"))
     step = F.abs(F.col("ll") - F.coalesce(before, F.col("ll")))
     df = cells.select(*BY, F.when(step < 4, 0).when(step < 16, 1).otherwise(2).alias("act"), F.col("h").alias("r"))
@@ -78,10 +78,8 @@ def wavelet_conditioned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _band(spark: SparkSession, d: str, side: str) -> DataFrame:
-    """img, ch, x and the vertical halves (s for L, d for H) of the low or high horizontal half of whole images."""
-    planes = base.planes(spark, d, "evt")
-    whole = planes.groupBy(*BY).agg(F.count(F.lit(1)).alias("h")).filter("h = 64").select(*BY)
-    rows = transforms.lift_rows(planes.join(whole, BY)).select(*BY, "i", F.col("s" if side == "L" else "d").alias("row"))
+    """img, ch, x and the vertical halves (s for L, d for H) of the low or high horizontal half of every image."""
+    rows = transforms.lift_rows(base.planes(spark, d, "evt")).select(*BY, "i", F.col("s" if side == "L" else "d").alias("row"))
     down = transforms.lift_rows(transforms.transposed(rows))
     return down.select(*BY, F.col("i").alias("x"), "s" if side == "L" else "d")
 
@@ -96,16 +94,25 @@ def entropy_sorted_groups(spark: SparkSession, d: str, k: int = 6) -> DataFrame:
     return en.select(*BY, "key", F.least(F.lit(k - 1), F.floor(before * k / F.sum("c").over(w))).cast("int").alias("grp"))
 
 
-@R.add(sql.q(*E_TP, sql.LOCO, search.CUBE, search.groups_sql((2, 6, 12, 36)), "hist AS (SELECT img, ch, k, grp, sym, sum(cnt) AS cnt FROM cube JOIN qg USING (img, ch, key) GROUP BY ALL)", sql.golomb("img, ch, k, grp", name="gz").replace("CAST(k AS INTEGER) AS k", "CAST(kx AS INTEGER) AS kk").replace("kk(k)", "kq(kx)").replace(">> k) + 1 + k", ">> kx) + 1 + kx"), "ch1 AS (SELECT img, ch, k, CAST(sum(b) AS BIGINT) AS golomb FROM (SELECT img, ch, k, grp, min(bits) AS b FROM gz GROUP BY ALL) GROUP BY ALL), short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY img, ch ORDER BY golomb, k) AS nth FROM ch1) WHERE nth <= 2)", sql.huffman("img, ch, k, grp"), "ex2 AS (SELECT hf.img, hf.ch, k, CAST(sum(huff + 16 + 24 * alphabet) AS BIGINT) AS bits FROM hf JOIN short USING (img, ch, k) GROUP BY ALL)", sql.first("ex2", "img, ch", "bits, k", "best"), "SELECT img, ch, k, bits FROM best"))
+_GOLOMB_OF = sql.golomb("img, ch, k, grp", name="gz").replace("CAST(k AS INTEGER) AS k", "CAST(kx AS INTEGER) AS kk").replace("kk(k)", "kq(kx)").replace(">> k) + 1 + k", ">> kx) + 1 + kx")
+
+
+@R.add(sql.q(*E_TP, sql.LOCO, search.CUBE, search.groups_sql(grouping.WIDE_COUNTS), "hist AS (SELECT img, ch, k, grp, sym, sum(cnt) AS cnt FROM cube JOIN qg USING (img, ch, key) GROUP BY ALL)", _GOLOMB_OF, "act AS (SELECT img, ch, count(DISTINCT key) AS active FROM cube GROUP BY ALL), gm AS (SELECT img, ch, k, grp, min(bits) AS g FROM gz GROUP BY ALL), ch1 AS (SELECT img, ch, k, CAST(sum(g) AS BIGINT) + count(*) * 6 + 752 + any_value(active) * CAST(ceil(log2(k)) AS INTEGER) AS golomb FROM gm JOIN act USING (img, ch) GROUP BY img, ch, k), short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY img, ch ORDER BY golomb, k) AS nth FROM ch1) WHERE nth <= 3)", sql.huffman("img, ch, k, grp"), "ex2 AS (SELECT img, ch, k, CAST(sum(least(huff + 16 + 24 * alphabet, g + 4) + 6) + 752 + any_value(active) * CAST(ceil(log2(k)) AS INTEGER) AS BIGINT) AS bits FROM hf JOIN short USING (img, ch, k) JOIN gm USING (img, ch, k, grp) JOIN act USING (img, ch) GROUP BY img, ch, k)", sql.first("ex2", "img, ch", "bits, k", "best"), "SELECT img, ch, k, bits FROM best"))
 def shortlisted_group_count(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of groups ranked by a cheap cost; the two best are costed exactly."""
+    """All numbers of groups ranked by a cheap cost; the three best are costed exactly, with the cheaper coder in each group.
+
+    Both costs have the map of the active keys and six bits a group."""
     cube = search.key_cube(spark, d)
-    groups = grouping.quantile_groups(cube, BY, (2, 6, 12, 36))
+    groups = grouping.quantile_groups(cube, BY, grouping.WIDE_COUNTS)
     hist = cube.join(groups, [*BY, "key"]).groupBy(*BY, "k", "grp", "sym").agg(F.sum("cnt").alias("cnt"))
-    cheap = costs.golomb_best(hist.withColumnRenamed("k", "of"), [*BY, "of", "grp"]).groupBy(*BY, F.col("of").alias("k")).agg(F.sum("bits").alias("golomb"))
+    active = cube.groupBy(*BY).agg(F.count_distinct("key").alias("active"))
+    side = 6 * F.count(F.lit(1)) + 752 + F.max("active") * grouping.bits_for(F.col("k"))
+    golomb = costs.golomb_best(hist.withColumnRenamed("k", "of"), [*BY, "of", "grp"]).select(*BY, F.col("of").alias("k"), "grp", F.col("bits").alias("g")).join(F.broadcast(active), BY)
+    cheap = golomb.groupBy(*BY, "k").agg((F.sum("g") + side).alias("golomb"))
     nth = F.row_number().over(Window.partitionBy(*BY).orderBy("golomb", "k"))
-    short = cheap.withColumn("nth", nth).filter("nth <= 2").select(*BY, "k")
-    exact = costs.huffman_bits(hist.join(short, [*BY, "k"]), [*BY, "k", "grp"]).groupBy(*BY, "k").agg(F.sum("stream").alias("bits"))
+    short = cheap.withColumn("nth", nth).filter("nth <= 3").select(*BY, "k")
+    bits = costs.huffman_bits(hist.join(short, [*BY, "k"]), [*BY, "k", "grp"]).join(golomb, [*BY, "k", "grp"])
+    exact = bits.groupBy(*BY, "k").agg((F.sum(F.least("stream", F.col("g") + 4)) + side).alias("bits"))
     return grouping.cheapest(exact, BY, ("bits", "k")).select(*BY, "k", "bits")
 
 
@@ -157,14 +164,14 @@ def zero_run_gamma(spark: SparkSession, d: str) -> DataFrame:
     return runs.groupBy(*BY).agg(F.count(F.lit(1)).alias("runs"), F.sum("len").alias("covered"), F.sum(costs.gamma_bits(F.col("len") + 1)).cast("long").alias("gamma_bits"), F.max("len").cast("long").alias("longest"))
 
 
-@R.add(sql.q(*V_TP, RES, "ft AS (SELECT b4.img, b4.ch, count(*) AS n, CAST(sum(a * a) AS BIGINT) AS saa, CAST(sum(a * b) AS BIGINT) AS sab, CAST(sum(b * b) AS BIGINT) AS sbb, CAST(sum(a * v) AS BIGINT) AS sav, CAST(sum(b * v) AS BIGINT) AS sbv FROM b4 GROUP BY ALL)", "SELECT img, ch, CASE WHEN saa * sbb - sab * sab = 0 THEN NULL ELSE round((sav * sbb - sbv * sab) / CAST(saa * sbb - sab * sab AS DOUBLE), 6) END AS wa, CASE WHEN saa * sbb - sab * sab = 0 THEN NULL ELSE round((sbv * saa - sav * sab) / CAST(saa * sbb - sab * sab AS DOUBLE), 6) END AS wb FROM ft"))
+@R.add(sql.q(*V_TP, RES, "ft AS (SELECT b4.img, b4.ch, count(*) AS n, CAST(sum(a * a) AS HUGEINT) AS saa, CAST(sum(a * b) AS HUGEINT) AS sab, CAST(sum(b * b) AS HUGEINT) AS sbb, CAST(sum(a * v) AS HUGEINT) AS sav, CAST(sum(b * v) AS HUGEINT) AS sbv FROM b4 GROUP BY ALL)", "SELECT img, ch, CASE WHEN saa * sbb - sab * sab = 0 THEN NULL ELSE round(CAST(sav * sbb - sbv * sab AS DOUBLE) / CAST(saa * sbb - sab * sab AS DOUBLE), 6) END AS wa, CASE WHEN saa * sbb - sab * sab = 0 THEN NULL ELSE round(CAST(sbv * saa - sav * sab AS DOUBLE) / CAST(saa * sbb - sab * sab AS DOUBLE), 6) END AS wb FROM ft"))
 def normal_equations(spark: SparkSession, d: str) -> DataFrame:
-    """Least-squares weights of left and top from sums of products and Cramer's rule."""
+    """Least-squares weights of left and top from sums of products and Cramer's rule, in decimals of 38 digits."""
     a, b, v = (F.col(x).cast("long") for x in ("a", "b", "v"))
-    s = base.taps(spark, d, "evt").groupBy(*BY).agg(*[F.sum(x).alias(n) for n, x in {"saa": a * a, "sab": a * b, "sbb": b * b, "sav": a * v, "sbv": b * v}.items()])
+    s = base.taps(spark, d, "evt").groupBy(*BY).agg(*[F.sum(x).cast("decimal(19,0)").alias(n) for n, x in {"saa": a * a, "sab": a * b, "sbb": b * b, "sav": a * v, "sbv": b * v}.items()])
     det = (F.col("saa") * F.col("sbb") - F.col("sab") * F.col("sab")).alias("det")
     s = s.select("*", det)
-    weight = lambda x: F.when(F.col("det") != 0, F.round(x / F.col("det"), 6))
+    weight = lambda x: F.when(F.col("det") != 0, F.round(x.cast("double") / F.col("det").cast("double"), 6))
     return s.select(*BY, weight(F.col("sav") * F.col("sbb") - F.col("sbv") * F.col("sab")).alias("wa"), weight(F.col("sbv") * F.col("saa") - F.col("sav") * F.col("sab")).alias("wb"))
 
 

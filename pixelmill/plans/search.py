@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
@@ -36,7 +36,7 @@ def quantile_groups(spark: SparkSession, d: str) -> DataFrame:
     return grouping.quantile_groups(key_cube(spark, d), BY, (6, 36))
 
 
-_KS = (2, 4, 6, 12)
+_KS = grouping.GROUP_COUNTS
 
 
 @R.add(sql.q(*E_TP, sql.LOCO, CUBE, groups_sql(_KS), "hist AS (SELECT img, ch, k, grp, sym, sum(cnt) AS cnt FROM cube JOIN qg USING (img, ch, key) GROUP BY ALL)", sql.huffman("img, ch, k, grp"), "act AS (SELECT img, ch, count(DISTINCT key) AS active FROM cube GROUP BY ALL)", sql.first("(SELECT hf.img, hf.ch, k, CAST(sum(huff + 16 + 24 * alphabet) + 12 + any_value(active) * CAST(ceil(log2(k)) AS INTEGER) AS BIGINT) AS bits FROM hf JOIN act USING (img, ch) GROUP BY hf.img, hf.ch, k)", "img, ch", "bits, k", "best"), "SELECT img, ch, k, bits FROM best"))
@@ -52,32 +52,43 @@ def auto_group_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 _E9 = "least((abs(a - c) + abs(b - c)) >> 4, 8)"
-_EXH = "hist AS (SELECT img, ch, e, ord, expert, v - p AS sym, count(*) AS cnt FROM ex GROUP BY ALL)"
-_B4E = f"be AS (SELECT *, {_E9} AS e FROM b4)"
-_FOUR = ("MED", "TOP", "LEFT", "GRAD")
+#: Groups of keys for the choice of experts.
+_GROUPS = 6
 
 
-def expert_cube(spark: SparkSession, d: str, names=_FOUR) -> DataFrame:
+def expert_cube(spark: SparkSession, d: str, names) -> DataFrame:
+    """img, ch, grp, ord, expert, sym, cnt: sign-flipped residuals of the named experts by quantile group of keys."""
     bank = predictors.bank()
-    df = base.taps(spark, d).withColumn("e", contexts.energy9(F.col("a"), F.col("b"), F.col("c")))
-    ex = predictors.unpivoted(df, {n: bank[n] for n in names}, ["img", "ch", "e", "v"]).withColumn("r", F.col("v") - F.col("p"))
-    return costs.histogram(ex, [*BY, "e", "ord", "expert"])
+    df = contexts.loco(base.taps(spark, d))
+    ex = predictors.unpivoted(df, {n: bank[n] for n in names}, ["img", "ch", "key", "sgn", "v"]).withColumn("r", F.col("sgn") * (F.col("v") - F.col("p")))
+    cube = costs.histogram(ex, [*BY, "key", "ord", "expert"])
+    # the first expert's histogram is the cube of keys; a channel has some hundred keys
+    groups = grouping.quantile_groups(cube.filter("ord = 0"), BY, (_GROUPS,)).drop("k")
+    return cube.join(groups, [*BY, "key"]).groupBy(*BY, "grp", "ord", "expert", "sym").agg(F.sum("cnt").alias("cnt"))
 
 
-@R.add(sql.q(*E_TP, _B4E, sql.experts(_FOUR, "be", "img, ch, i, j, v, e"), _EXH, sql.huffman("img, ch, e, ord, expert"), sql.first("hf", "img, ch, e", "huff, ord", "best"), "SELECT img, ch, e, expert, huff FROM best"))
+def _chosen(names) -> tuple[str, ...]:
+    grouped = "lg AS (SELECT lk.*, grp FROM lk JOIN qg ON qg.img = lk.img AND qg.ch = lk.ch AND qg.key = lk.key)"
+    hist = "hist AS (SELECT img, ch, grp, ord, expert, sgn * (v - p) AS sym, count(*) AS cnt FROM ex GROUP BY ALL)"
+    return (*E_TP, sql.LOCO, CUBE, groups_sql((_GROUPS,)), grouped, sql.experts(names, "lg", "img, ch, i, j, v, grp, sgn"), hist, sql.huffman("img, ch, grp, ord, expert"))
+
+
+@R.add(sql.q(*_chosen(predictors.SMALL_BANK), sql.first("hf", "img, ch, grp", "huff, ord", "best"), "SELECT img, ch, grp, expert, huff FROM best"))
 def best_expert_by_group(spark: SparkSession, d: str) -> DataFrame:
-    bits = costs.huffman_bits(expert_cube(spark, d), [*BY, "e", "ord", "expert"])
-    return grouping.cheapest(bits, [*BY, "e"], ("huff", "ord", "expert")).drop("ord").select(*BY, "e", "expert", "huff")
+    """Of the small bank the expert of least data bits in each quantile group."""
+    bits = costs.huffman_bits(expert_cube(spark, d, predictors.SMALL_BANK), [*BY, "grp", "ord", "expert"])
+    return grouping.cheapest(bits, [*BY, "grp"], ("huff", "ord", "expert")).drop("ord").select(*BY, "grp", "expert", "huff")
 
 
-@R.add(sql.q(*E_TP, _B4E, sql.experts(_FOUR, "be", "img, ch, i, j, v, e"), _EXH, sql.huffman("img, ch, e, ord, expert"), sql.golomb("img, ch, e, ord, expert"), sql.first("gk", "img, ch, e, ord, expert", "bits, k", "gb"), sql.first("(SELECT img, ch, e, ord, expert, 0 AS b, huff + 16 + 24 * alphabet AS bits FROM hf UNION ALL SELECT img, ch, e, ord, expert, 1, bits + 4 FROM gb)", "img, ch, e", "bits, ord, b", "best"), "SELECT img, ch, e, expert, CASE b WHEN 0 THEN 'H' ELSE 'G' END AS coder, bits FROM best"))
+@R.add(sql.q(*_chosen(tuple(sql.BANK)), sql.golomb("img, ch, grp, ord, expert"), sql.first("gk", "img, ch, grp, ord, expert", "bits, k", "gb"), sql.first("(SELECT img, ch, grp, ord, expert, 0 AS b, huff + 16 + 24 * alphabet AS bits FROM hf UNION ALL SELECT img, ch, grp, ord, expert, 1, bits + 4 FROM gb)", "img, ch, grp", "bits, ord, b", "best"), "SELECT img, ch, grp, expert, CASE b WHEN 0 THEN 'H' ELSE 'G' END AS coder, bits FROM best"))
 def best_expert_and_coder(spark: SparkSession, d: str) -> DataFrame:
-    cube = expert_cube(spark, d)
-    by = [*BY, "e", "ord", "expert"]
+    """Of the whole bank the expert, and of Huffman and Golomb codes the coder, of least bits in each quantile group."""
+    cube = expert_cube(spark, d, tuple(predictors.bank()))
+    by = [*BY, "grp", "ord", "expert"]
     both = F.array(F.struct(F.col("stream").alias("bits"), F.col("ord"), F.lit(0).alias("b"), F.col("expert")), F.struct((F.col("golomb") + 4).alias("bits"), F.col("ord"), F.lit(1).alias("b"), F.col("expert")))
-    each = costs.three_costs(cube, by).select(*BY, "e", F.array_min(both).alias("x")).select(*BY, "e", "x.*")
-    best = grouping.cheapest(each, [*BY, "e"], ("bits", "ord", "b", "expert"))
-    return best.select(*BY, "e", "expert", F.when(F.col("b") == 0, "H").otherwise("G").alias("coder"), "bits")
+    each = costs.three_costs(cube, by).select(*BY, "grp", F.array_min(both).alias("x")).select(*BY, "grp", "x.*")
+    best = grouping.cheapest(each, [*BY, "grp"], ("bits", "ord", "b", "expert"))
+    return best.select(*BY, "grp", "expert", F.when(F.col("b") == 0, "H").otherwise("G").alias("coder"), "bits")
 
 
 _GRIDS = ", ".join(f"({k}, [{', '.join(map(str, g))}])" for k, g in enumerate(contexts.ENERGY_GRIDS))
@@ -175,8 +186,6 @@ def best_merge(spark: SparkSession, d: str) -> DataFrame:
 @R.add(sql.q(*E_TP, _EH, "p AS (SELECT img, e, sym, cnt / CAST(sum(cnt) OVER (PARTITION BY img, e) AS DOUBLE) AS p FROM eh), es AS (SELECT DISTINCT img, e FROM p), pr AS (SELECT x.img, x.e AS e1, y.e AS e2 FROM es x JOIN es y ON x.img = y.img AND x.e < y.e), al AS (SELECT pr.img, e1, e2, sym, sum(CASE WHEN p.e = e1 THEN p ELSE 0 END) AS p1, sum(CASE WHEN p.e = e2 THEN p ELSE 0 END) AS p2 FROM pr JOIN p ON p.img = pr.img AND (p.e = e1 OR p.e = e2) GROUP BY ALL)", "SELECT img, e1, e2, round(sum(CASE WHEN p1 > 0 THEN p1 * log2(2 * p1 / (p1 + p2)) ELSE 0 END + CASE WHEN p2 > 0 THEN p2 * log2(2 * p2 / (p1 + p2)) ELSE 0 END) / 2, 6) AS js FROM al GROUP BY ALL"))
 def histogram_divergence(spark: SparkSession, d: str) -> DataFrame:
     """Jensen-Shannon divergence of every two energy classes of a luma plane."""
-    from pyspark.sql import Window
-
     df = base.med_residuals(spark, d).filter("ch = 0").withColumn("e", contexts.energy9(F.col("a"), F.col("b"), F.col("c")))
     hist = costs.histogram(df, ["img", "e"]).withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("img", "e")))
     there = hist.groupBy("img").agg(F.collect_set("e").alias("es"))
@@ -215,14 +224,19 @@ def pareto_front(spark: SparkSession, d: str) -> DataFrame:
 _BLOCKS = "bk AS (SELECT img, ch, i, j, v FROM pl WHERE ch = 0)"
 
 
-@R.add(sql.q(sql.EVT, sql.ycocg("evt"), _BLOCKS, "t AS (SELECT img, i // 8 * 8 AS y0, j // 8 * 8 AS x0, i % 8 AS di, j % 8 AS dj, v FROM bk), o AS (SELECT DISTINCT img, y0, x0 FROM t), c AS (SELECT o.img, o.y0, o.x0, cy, cx FROM o, range(0, 57, 8) a(cy), range(0, 57, 8) b(cx) WHERE cy + 8 <= y0 OR (cy >= y0 - 7 AND cx + 8 <= x0)), s AS (SELECT c.img, c.y0, c.x0, cy, cx, CAST(sum(abs(t.v - bk.v)) AS BIGINT) AS sad, count(*) AS n FROM c JOIN t ON t.img = c.img AND t.y0 = c.y0 AND t.x0 = c.x0 JOIN bk ON bk.img = c.img AND bk.i = cy + di AND bk.j = cx + dj GROUP BY ALL)", sql.first("(SELECT * FROM s WHERE n = 64)", "img, y0, x0", "sad, cy, cx", "best"), "SELECT img, CAST(y0 AS BIGINT) AS block_i, CAST(x0 AS BIGINT) AS block_j, cy AS from_i, cx AS from_j, sad FROM best"))
+@R.add(sql.q(sql.EVT, sql.ycocg("evt"), _BLOCKS, "t AS (SELECT img, i // 8 * 8 AS y0, j // 8 * 8 AS x0, i % 8 AS di, j % 8 AS dj, v FROM bk), o AS (SELECT DISTINCT img, y0, x0 FROM t), c AS (SELECT o.img, o.y0, o.x0, cy, cx FROM o, range(0, 57, 2) a(cy), range(0, 57, 2) b(cx) WHERE cy + 8 <= y0 OR (cy >= y0 - 7 AND cx + 8 <= x0)), s AS (SELECT c.img, c.y0, c.x0, cy, cx, CAST(sum(abs(t.v - bk.v)) AS BIGINT) AS sad, count(*) AS n FROM c JOIN t ON t.img = c.img AND t.y0 = c.y0 AND t.x0 = c.x0 JOIN bk ON bk.img = c.img AND bk.i = cy + di AND bk.j = cx + dj GROUP BY ALL)", sql.first("(SELECT * FROM s WHERE n = 64)", "img, y0, x0", "sad, cy, cx", "best"), "SELECT img, CAST(y0 AS BIGINT) AS block_i, CAST(x0 AS BIGINT) AS block_j, cy AS from_i, cx AS from_j, sad FROM best"))
 def patch_search(spark: SparkSession, d: str) -> DataFrame:
-    """The causal 8 x 8 patch (on an 8-grid) nearest to each luma block, by the sum of absolute differences.
+    """The causal 8 x 8 patch at an even place nearest to each luma block, by the sum of absolute differences.
 
     A block meets the candidates of its own image only, as arrays of 64: an image has a fixed number of blocks."""
-    planes = base.planes(spark, d, "evt").filter("ch = 0").select("img", "i", F.posexplode("row").alias("j", "v"))
-    blocks = planes.groupBy("img", (F.floor(F.col("i") / 8) * 8).alias("block_i"), (F.floor(F.col("j") / 8) * 8).alias("block_j")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "v"))), lambda x: x["v"]).alias("s")).filter(F.size("s") == 64)
-    other = blocks.select("img", F.col("block_i").alias("from_i"), F.col("block_j").alias("from_j"), F.col("s").alias("o"))
+    planes = base.planes(spark, d, "evt").filter("ch = 0")
+    band = F.collect_list("row").over(Window.partitionBy("img").orderBy("i").rowsBetween(0, 7))
+    bands = planes.select("img", "i", band.alias("rows")).filter((F.size("rows") == 8) & (F.col("i") % 2 == 0) & (F.size(F.get("rows", F.lit(0))) >= 8))
+    starts = F.sequence(F.lit(0), F.size(F.get("rows", F.lit(0))) - 8, F.lit(2))
+    cells = F.transform(starts, lambda j: F.struct(j.alias("j"), F.flatten(F.transform("rows", lambda r: F.slice(r, j + 1, 8))).alias("s")))
+    patches = bands.select("img", "i", F.inline(cells))
+    blocks = patches.filter("i % 8 = 0 AND j % 8 = 0").select("img", F.col("i").cast("long").alias("block_i"), F.col("j").cast("long").alias("block_j"), "s")
+    other = patches.select("img", F.col("i").cast("long").alias("from_i"), F.col("j").cast("long").alias("from_j"), F.col("s").alias("o"))
     earlier = (F.col("from_i") + 8 <= F.col("block_i")) | ((F.col("from_i") >= F.col("block_i") - 7) & (F.col("from_j") + 8 <= F.col("block_j")))
     pairs = blocks.join(other, "img").filter(earlier)
     sad = F.aggregate(F.zip_with("s", "o", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)

@@ -122,7 +122,7 @@ def _lift_sql(source: str, key: str, pos: str, name: str) -> str:
     return f"""{name}a AS (SELECT *, max({pos}) OVER (PARTITION BY {key}) AS z, lag(v) OVER w AS pv, lead(v) OVER w AS nv FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY {pos})),
 {name}b AS (SELECT *, CASE WHEN {pos} % 2 = 1 THEN v - ((pv + coalesce(nv, pv)) >> 1) END AS hi FROM {name}a),
 {name}c AS (SELECT *, lag(hi) OVER w AS ph, lead(hi) OVER w AS nh FROM {name}b WINDOW w AS (PARTITION BY {key} ORDER BY {pos})),
-{name} AS (SELECT * EXCLUDE (v, pv, nv, ph, nh, z, hi), CASE WHEN {pos} % 2 = 1 THEN hi ELSE v + ((coalesce(ph, nh) + coalesce(nh, ph) + 2) >> 2) END AS v, hi FROM {name}c)"""
+{name} AS (SELECT * EXCLUDE (v, pv, nv, ph, nh, z, hi), CASE WHEN {pos} % 2 = 1 THEN hi ELSE v + ((coalesce(ph, nh, 0) + coalesce(nh, ph, 0) + 2) >> 2) END AS v, hi FROM {name}c)"""
 
 
 @R.add(sql.q(sql.EVT, sql.ycocg("evt"), _lift_sql("pl", "img, ch, i", "j", "lf"), "SELECT img, ch, CASE WHEN j % 2 = 1 THEN 'high' ELSE 'low' END AS band, count(*) AS n, CAST(sum(v) AS BIGINT) AS s, CAST(sum(abs(v)) AS BIGINT) AS l1 FROM lf GROUP BY ALL"))
@@ -133,15 +133,14 @@ def wavelet_rows(spark: SparkSession, d: str) -> DataFrame:
     return lifted.select(*BY, F.inline(cells)).groupBy(*BY, "band").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.abs("v")).alias("l1"))
 
 
-_TWO_D = (sql.EVT, "even AS (SELECT img FROM evt GROUP BY img HAVING count(*) = 4096), ev AS (SELECT evt.* FROM evt JOIN even USING (img))", sql.ycocg("ev"), _lift_sql("pl", "img, ch, i", "j", "lh"), _lift_sql("(SELECT img, ch, i, j, v FROM lh)", "img, ch, j", "i", "lv"), "sb AS (SELECT img, ch, (CASE WHEN i % 2 = 1 THEN 'H' ELSE 'L' END) || (CASE WHEN j % 2 = 1 THEN 'H' ELSE 'L' END) AS band, v AS sym FROM lv)")
+_TWO_D = (sql.EVT, sql.ycocg("evt"), _lift_sql("pl", "img, ch, i", "j", "lh"), _lift_sql("(SELECT img, ch, i, j, v FROM lh)", "img, ch, j", "i", "lv"), "sb AS (SELECT img, ch, (CASE WHEN i % 2 = 1 THEN 'H' ELSE 'L' END) || (CASE WHEN j % 2 = 1 THEN 'H' ELSE 'L' END) AS band, v AS sym FROM lv)")
 
 
 def _two_d(spark: SparkSession, d: str) -> DataFrame:
-    """img, ch, band, v of one two-dimensional level, for whole images."""
-    planes = base.planes(spark, d, "evt")
-    whole = planes.groupBy("img", "ch").agg(F.count(F.lit(1)).alias("h")).filter("h = 64").select("img", "ch")
-    lifted = transforms.lift_rows(planes.join(whole, BY))
-    halves = lifted.select("img", (F.col("ch") * 2).alias("ch"), "i", F.col("s").alias("row")).unionAll(lifted.select("img", (F.col("ch") * 2 + 1).alias("ch"), "i", F.col("d").alias("row")))
+    """img, ch, band, v of one two-dimensional level."""
+    lifted = transforms.lift_rows(base.planes(spark, d, "evt"))
+    cells = F.array(*[F.struct((F.col("ch") * 2 + k).alias("c"), F.col(x).alias("row")) for k, x in enumerate("sd")])
+    halves = lifted.select("img", "i", F.inline(cells)).select("img", F.col("c").alias("ch"), "i", "row")
     down = transforms.lift_rows(transforms.transposed(halves))
     side = F.when(F.col("ch") % 2 == 0, "L").otherwise("H")
     cells = F.concat(F.transform("s", lambda x: F.struct(F.concat(F.lit("L"), side).alias("band"), x.alias("v"))), F.transform("d", lambda x: F.struct(F.concat(F.lit("H"), side).alias("band"), x.alias("v"))))
