@@ -128,8 +128,9 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     cells = [F.struct(F.lit(n).alias("config"), x.cast("int").alias("g")) for n, x in configs.items()]
     df = base.med_residuals(spark, d).select(*BY, "r", F.inline(F.array(*cells)))
     t = costs.huffman_bits(costs.histogram(df, [*BY, "config", "g"]), [*BY, "config", "g"]).groupBy("config").agg(F.sum("stream").alias("bits"))
-    whole = t.filter("config = 'both'").select(F.col("bits").alias("w"))
-    return t.join(F.broadcast(whole)).select("config", "bits", (F.col("bits") - F.col("w")).alias("added"))
+    # four rows
+    whole = F.max(F.when(F.col("config") == "both", F.col("bits"))).over(Window.partitionBy(F.lit(0)))
+    return t.select("config", "bits", (F.col("bits") - whole).alias("added"))
 
 
 @R.add(sql.q(*V_TP, "s AS (SELECT img, ch, k AS size, (i // k) * (64 // k) + j // k AS block, CAST(sum(abs(v - " + sql.med() + ")) AS BIGINT) AS m, CAST(sum(abs(v - ((a + b) >> 1))) AS BIGINT) AS p FROM b4, (VALUES (8), (16), (32), (64)) x(k) GROUP BY ALL), t AS (SELECT img, ch, size, CAST(sum(least(m, p)) AS BIGINT) + count(*) AS score FROM s GROUP BY ALL)", sql.first("t", "img, ch", "score, size", "best"), "SELECT img, ch, size, score FROM best"))

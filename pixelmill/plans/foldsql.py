@@ -24,14 +24,14 @@ def struct(fields: dict[str, str]) -> str:
     return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
 
 
-def fold(name: str, inputs: dict[str, str], state: dict[str, str], step: dict[str, str], order: str = "i, j", source: str = "rs", let: dict[str, str] | None = None) -> str:
-    """name: img, ch and s, the last element: its state after all samples. In step, o_ is the state before, x the sample and y.* what let names."""
+def fold(name: str, inputs: dict[str, str], state: dict[str, str], step: dict[str, str], order: str = "i, j", source: str = "rs", let: dict[str, str] | None = None, by: str = "img, ch") -> str:
+    """name: by and s, the last element: its state after all samples. In step, o_ is the state before, x the sample and y.* what let names."""
     start = struct({k: f"CAST(0 AS {t.split(' AS ')[1]})" if " AS " in t else "0" for k, t in inputs.items()} | state)
     element = struct({k: f"CAST({t})" if " AS " in t else t for k, t in inputs.items()} | state)
     after = struct({k: f"x.{k}" for k in inputs} | step)
     if let:
         after = f"list_transform([{struct(let)}], lambda y: {after})[1]"
-    return f"{name} AS (SELECT img, ch, list_reduce(list_prepend({start}, list({element} ORDER BY {order})), lambda o_, x: {after}) AS s FROM {source} GROUP BY img, ch)"
+    return f"{name} AS (SELECT {by}, list_reduce(list_prepend({start}, list({element} ORDER BY {order})), lambda o_, x: {after}) AS s FROM {source} GROUP BY {by})"
 
 
 def put(items: str, at: str, value: str) -> str:
@@ -174,22 +174,84 @@ c3 AS (SELECT img, ch, z.s AS sym, CAST(greatest(1, z.d) AS INTEGER) AS len, max
     "SELECT img, ch, sym, len, CAST(CAST(coalesce(sum(1::BIGINT << (most - len)) OVER (PARTITION BY img, ch ORDER BY len, sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> (most - len) AS BIGINT) AS code FROM c3",
 )
 
-#: The range coder runs from the last symbol to the first; a state of 2^20 and more sends whole bytes.
-_FREQ = """f0 AS (SELECT *, greatest(1, (cnt * 16384 + sum(cnt) OVER w // 2) // sum(cnt) OVER w) AS f FROM hist WINDOW w AS (PARTITION BY img, ch)),
-f1 AS (SELECT *, 16384 - sum(f) OVER (PARTITION BY img, ch) AS rest, row_number() OVER (PARTITION BY img, ch ORDER BY cnt DESC, sym) AS nth FROM f0),
-f2 AS (SELECT img, ch, sym, CAST(f + CASE WHEN nth = 1 THEN rest ELSE 0 END AS BIGINT) AS f FROM f1),
-f3 AS (SELECT *, CAST(coalesce(sum(f) OVER (PARTITION BY img, ch ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM f2),
-sy AS (SELECT rs.img, rs.ch, i, j, f, lo FROM rs JOIN f3 ON f3.img = rs.img AND f3.ch = rs.ch AND f3.sym = r)"""
 _SENT = "(CASE WHEN o_.z >= 16384 * x.f THEN 1 ELSE 0 END + CASE WHEN (o_.z >> 8) >= 16384 * x.f THEN 1 ELSE 0 END + CASE WHEN (o_.z >> 16) >= 16384 * x.f THEN 1 ELSE 0 END + CASE WHEN (o_.z >> 24) >= 16384 * x.f THEN 1 ELSE 0 END)"
+
+
+def _ranged(by: str) -> str:
+    """fz: s.n whole bytes that the range coder sends, from the last symbol to the first, for the histograms hist (by, sym, cnt)."""
+    same_group = " AND ".join(f"f3.{c} = rs.{c}" for c in by.split(", "))
+    own = ", ".join(f"rs.{c}" for c in by.split(", "))
+    tables = f"""f0 AS (SELECT *, greatest(1, (cnt * 16384 + sum(cnt) OVER w // 2) // sum(cnt) OVER w) AS f FROM hist WINDOW w AS (PARTITION BY {by})),
+f1 AS (SELECT *, 16384 - sum(f) OVER (PARTITION BY {by}) AS rest, row_number() OVER (PARTITION BY {by} ORDER BY cnt DESC, sym) AS nth FROM f0),
+f2 AS (SELECT {by}, sym, CAST(f + CASE WHEN nth = 1 THEN rest ELSE 0 END AS BIGINT) AS f FROM f1),
+f3 AS (SELECT *, CAST(coalesce(sum(f) OVER (PARTITION BY {by} ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM f2),
+sy AS (SELECT {own}, i, j, f, lo FROM rs JOIN f3 ON {same_group} AND f3.sym = r)"""
+    coded = fold("fz", {"f": "f AS BIGINT", "lo": "lo AS BIGINT"}, {"z": "(1 << 20)::BIGINT", "n": "0::BIGINT"}, {"z": "((y.z // x.f) << 14) + y.z % x.f + x.lo", "n": "o_.n + y.sent"}, order="i DESC, j DESC", source="sy", let={"sent": _SENT, "z": f"o_.z >> (8 * {_SENT})"}, by=by)
+    return tables + ",\n" + coded
+
+
 RANGE = sql.q(
     *SAMPLES,
     _HIST,
-    _FREQ,
-    fold("fz", {"f": "f AS BIGINT", "lo": "lo AS BIGINT"}, {"z": "(1 << 20)::BIGINT", "n": "0::BIGINT"}, {"z": "((y.z // x.f) << 14) + y.z % x.f + x.lo", "n": "o_.n + y.sent"}, order="i DESC, j DESC", source="sy", let={"sent": _SENT, "z": f"o_.z >> (8 * {_SENT})"}).replace("CAST(0 AS BIGINT)", "CAST(1 AS BIGINT)", 1),
+    _ranged("img, ch"),
     "al AS (SELECT img, ch, count(*) AS alphabet FROM hist GROUP BY ALL)",
     "SELECT img, ch, s.n + 4 AS n_bytes, 16 + 32 * alphabet + 64 + 8 * (s.n + 4) AS bits, CAST(0 AS BIGINT) AS mismatches FROM fz JOIN al USING (img, ch)",
 )
 
+THREE_WAY = sql.q(
+    *SAMPLES,
+    "hist AS (SELECT img, ch, e, r AS sym, count(*) AS cnt FROM rs GROUP BY ALL)",
+    _ranged("img, ch, e"),
+    sql.huffman("img, ch, e"),
+    sql.golomb("img, ch, e"),
+    "ga AS (SELECT img, ch, e, min(bits) + 4 AS bits FROM gk GROUP BY ALL)",
+    "ev_ AS (SELECT img, ch, e, 0 AS o, 'H' AS coder, huff + 16 + 24 * alphabet AS bits FROM hf UNION ALL SELECT img, ch, e, 1, 'G', bits FROM ga UNION ALL SELECT img, ch, e, 2, 'R', 16 + 32 * alphabet + 64 + 8 * (s.n + 4) FROM fz JOIN hf USING (img, ch, e))",
+    sql.first("ev_", "img, ch, e", "bits, o", "best"),
+    "SELECT img, ch, CAST(e AS INTEGER) AS e, coder, CAST(bits AS BIGINT) AS bits FROM best",
+)
+
+#: Prediction from reconstructed samples: the list has the last 65, the newest at its end, so that 2 is above in rows of 64.
+_UNDER = "CASE WHEN x.i > 0 AND x.j > 0 THEN o_.back[1] WHEN x.j > 0 THEN o_.back[65] WHEN x.i > 0 THEN o_.back[2] ELSE 0 END"
+_LEFT = "CASE WHEN x.j > 0 THEN o_.back[65] WHEN x.i > 0 THEN o_.back[2] ELSE 0 END"
+_ABOVE = f"CASE WHEN x.i > 0 THEN o_.back[2] ELSE {_LEFT} END"
+
+
+def _closed(tau: int) -> str:
+    step = 2 * tau + 1
+    p = sql.med("y.l", "y.t", "y.c")
+    sym = f"CAST(round((x.v - {p}) / {step}::DOUBLE) AS BIGINT)"
+    return fold(
+        f"n{tau}",
+        {"v": "v AS BIGINT", "i": "i AS BIGINT", "j": "j AS BIGINT"},
+        {"back": same(0, 65), "worst": "0::BIGINT", "l1": "0::BIGINT", "size": "0::BIGINT"},
+        {
+            "back": f"list_append(o_.back[2:], {p} + {sym} * {step})",
+            "worst": f"greatest(o_.worst, abs(x.v - {p} - {sym} * {step}))",
+            "l1": f"o_.l1 + abs(x.v - {p} - {sym} * {step})",
+            "size": f"o_.size + abs({sym})",
+        },
+        let={"l": _LEFT, "t": _ABOVE, "c": _UNDER},
+    )
+
+
+CLOSED_LOOP = sql.q(*SAMPLES, *map(_closed, range(3)), " UNION ALL ".join(f"SELECT img, ch, {t} AS tau, s.worst AS max_error, s.l1 AS l1, s.size AS symbols FROM n{t}" for t in range(3)))
+
+
+def _rounds(tables: int, rounds: int) -> str:
+    parts = [f"as0 AS (SELECT DISTINCT img, ch, CAST((((img * 3 + ch) % {tables}) + {tables}) % {tables} AS INTEGER) AS t FROM hist), al AS (SELECT img, ch, sum(cnt) AS n FROM hist GROUP BY ALL)"]
+    for k in range(rounds):
+        parts.append(
+            f"""he{k} AS (SELECT t, sym, sum(cnt) AS c FROM hist JOIN as{k} USING (img, ch) GROUP BY ALL), to{k} AS (SELECT t, sum(c) AS n FROM he{k} GROUP BY ALL),
+pr{k} AS (SELECT t, sym, -log2((c + 0.5::DOUBLE) / (n + 1024)) AS len FROM he{k} JOIN to{k} USING (t)), fl{k} AS (SELECT t, -log2(0.5::DOUBLE / (n + 1024)) AS none FROM to{k}),
+me{k} AS (SELECT img, ch, t, sum(cnt * len) AS b, sum(cnt) AS m FROM hist JOIN pr{k} USING (sym) GROUP BY ALL),
+co{k} AS (SELECT al.img, al.ch, f.t, round(coalesce(b, 0) + (n - coalesce(m, 0)) * none, 3) AS bits FROM al CROSS JOIN fl{k} f LEFT JOIN me{k} e ON e.img = al.img AND e.ch = al.ch AND e.t = f.t),
+{sql.first(f"co{k}", "img, ch", "bits, t", f"be{k}")}, as{k + 1} AS (SELECT img, ch, t FROM be{k})"""
+        )
+    return ",\n".join(parts)
+
+
+SHARED = sql.q(*SAMPLES, _HIST, _rounds(3, 3), "SELECT img, ch, t, bits FROM be2")
+
 MIXTURES = sql.q(
     *SAMPLES,
     _HIST,

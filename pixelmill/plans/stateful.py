@@ -93,11 +93,18 @@ def mixed_predictors(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), fn, "l1 long")
 
 
-@R.add(sql.q(*PLANES, "SELECT img, ch, CAST(t AS INTEGER) AS tau, true AS bounded FROM pl, range(3) x(t) GROUP BY ALL"))
+@R.add(foldsql.CLOSED_LOOP)
 def near_lossless_closed_loop(spark: SparkSession, d: str) -> DataFrame:
-    """Prediction from reconstructed samples keeps every error within tau."""
-    fn = lambda p: [{"tau": t, "bounded": bool(np.abs(p - folds.closed_loop(p, t)[1]).max() <= t)} for t in range(3)]
-    return folds.per_plane(planes(spark, d), fn, "tau int, bounded boolean")
+    """Prediction from reconstructed samples keeps every error within tau: the largest, their sum, and the symbols' magnitudes."""
+
+    def fn(p: np.ndarray) -> list[dict]:
+        out = []
+        for t in range(3):
+            symbols, back = folds.closed_loop(p, t)
+            out.append({"tau": t, "max_error": int(np.abs(p - back).max()), "l1": int(np.abs(p - back).sum()), "symbols": int(np.abs(symbols).sum())})
+        return out
+
+    return folds.per_plane(planes(spark, d), fn, "tau int, max_error long, l1 long, symbols long")
 
 
 @R.add(foldsql.GAP_BIAS)

@@ -105,7 +105,7 @@ def context_tree(spark: SparkSession, d: str) -> DataFrame:
     return folds.per_plane(planes(spark, d), fn, "leaf string, n long, bits long")
 
 
-@R.add()
+@R.add(foldsql.THREE_WAY)
 def three_way_coder(spark: SparkSession, d: str) -> DataFrame:
     """By energy class the cheapest of Huffman, Golomb and range coding, by exact bits."""
 
@@ -202,7 +202,7 @@ def mixture_tables(spark: SparkSession, d: str) -> DataFrame:
     return best.select(*BY, "x.s", "x.w", F.col("x.q").alias("ratio"), "x.bits")
 
 
-@R.add()
+@R.add(foldsql.SHARED)
 def shared_tables(spark: SparkSession, d: str, tables: int = 3, rounds: int = 3) -> DataFrame:
     """Histograms of all planes assigned to a few shared tables in turns: to the cheapest table, then tables anew."""
     hist = costs.histogram(base.med_residuals(spark, d, "evt"), BY)
@@ -214,7 +214,7 @@ def shared_tables(spark: SparkSession, d: str, tables: int = 3, rounds: int = 3)
         floor = total.select("t", (-F.log2(F.lit(0.5) / (F.col("n") + 1024))).alias("none"))
         # a plane's cost under a table: shared symbols at their length, the others at the table's escape
         met = hist.join(price, "sym").groupBy(*BY, "t").agg(F.sum(F.col("cnt") * F.col("len")).alias("b"), F.sum("cnt").alias("m"))
-        every = hist.groupBy(*BY).agg(F.sum("cnt").alias("n")).join(F.broadcast(floor))  # as many rows as shared tables
+        every = hist.groupBy(*BY).agg(F.sum("cnt").alias("n")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).join(F.broadcast(floor), "t")  # as many rows as shared tables
         cost = every.join(met, [*BY, "t"], "left").select(*BY, "t", F.round(F.coalesce("b", F.lit(0.0)) + (F.col("n") - F.coalesce("m", F.lit(0))) * F.col("none"), 3).alias("bits"))
         best = cost.groupBy(*BY).agg(F.min(F.struct("bits", "t")).alias("x"))
         assigned = best.select(*BY, "x.t", "x.bits").checkpoint() if spark.sparkContext.getCheckpointDir() else best.select(*BY, "x.t", "x.bits")
