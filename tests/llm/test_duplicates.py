@@ -201,3 +201,34 @@ def test_repeated_lines(spark, least):
         assert sum(x["size"] for x in r.removed_runs) == len(gone[r.doc_id]), r.doc_id
         assert (r.kept_text or "") == kept[r.doc_id]
     assert lines.deduplicated(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_suffixes_of_lines_are_sorted(spark):
+    """At every level ranks are the places of first suffixes in the order of their first 2^k lines."""
+    import random
+
+    rng = random.Random(3)
+    seqs = {k: [bytes([rng.choice(b"abc")]) for _ in range(rng.randint(1, 14))] for k in range(30)}
+    rows = [(k, i, x) for k, s in seqs.items() for i, x in enumerate(s)]
+    ranks = lines.ordered(spark.createDataFrame(rows, "name long, line long, key binary"), ["key"], len(rows))
+    for width in (1, 2, 4, 8):
+        got = {(r.name, r.line): r["rank"] for r in ranks.collect()}
+        first = {(k, i): tuple(s[i : i + width]) for k, s in seqs.items() for i in range(len(s) - width + 1)}
+        count = Counter(first.values())
+        tied = sorted((x, p) for p, x in first.items() if count[x] > 1)
+        want = {}
+        for place, (x, p) in enumerate(tied):
+            want[p] = want[tied[place - 1][1]] if place and tied[place - 1][0] == x else place
+        assert got == want
+        ranks = lines.ordered(lines.doubled(ranks, width), ["rank", "rank2"], len(rows))
+
+
+def test_repeated_lines_of_any_ids(spark):
+    long = "\n".join(" ".join(f"w{i}_{k}" for k in range(12)) for i in range(6))
+    rows = [(5, long), (5, long), (None, long), (None, "x\n" + long), (2, "a b\n" + long), (2, "c d"), (2, "c d"), (7, long), (None, "only " * 30), (None, "only " * 30), (9, None), (9, "")]
+    got = sorted((str(r.doc_id), r.n_lines, r.kept_text or "") for r in lines.deduplicated(frame(spark, rows, extra=False)).collect())
+    # the text with id 2 is first; equal rows count as one
+    want = [("2", 7, "a b\n" + long), ("2", 1, "c d"), ("2", 1, "c d"), ("5", 6, ""), ("5", 6, ""), ("7", 6, ""), ("None", 6, ""), ("None", 7, "x"), ("None", 1, "only " * 30), ("None", 1, "only " * 30), ("9", 1, ""), ("9", 1, "")]
+    assert got == sorted(want)
+    texts = [(f"k{i}", t) for i, (_, t) in enumerate(rows)]
+    assert lines.deduplicated(frame(spark, texts)).count() == len(rows)
