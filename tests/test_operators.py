@@ -85,3 +85,73 @@ def test_adaptive_rate_is_least_sufficient():
 def test_weight_scale():
     assert fits.weight_scale(np.array([1.0])) == 4096
     assert fits.weight_scale(np.array([100.0])) == 256
+
+
+def low_complexity_bits(plane):
+    """The complete low-complexity coder in plain loops, without what the operator shares."""
+    h, w = len(plane), len(plane[0])
+    at = lambda i, j: plane[max(0, i)][min(w - 1, max(0, j))]
+    level = lambda g: (g > 0) - (g < 0) if abs(g) < 3 else (2 if abs(g) < 8 else 3 if abs(g) < 22 else 4) * (1 if g > 0 else -1)
+
+    def price(state, e):
+        k = 0
+        while state["N"] << k < state["A"]:
+            k += 1
+        m = 2 * e if e >= 0 else -2 * e - 1
+        state["A"] += abs(e)
+        state["N"] += 1
+        if state["N"] == 64:
+            state["A"], state["N"] = state["A"] // 2, 32
+        return (m >> k) + 1 + k
+
+    fresh = lambda: {"A": 4, "N": 1}
+    rates, plain, bias, run = {}, {}, {}, fresh()
+    out = {"regular": 0, "unbiased": 0, "run_bits": 0, "runs": 0, "interruptions": 0}
+    lo, hi = min(map(min, plane)), max(map(max, plane))
+    for i in range(h):
+        j = 0
+        while j < w:
+            a = plane[i][j - 1] if j else plane[i][0]
+            b, c, d = at(i - 1, j), at(i - 1, j - 1) if i else (plane[0][max(0, j - 1)]), at(i - 1, j + 1)
+            if a == b == c == d:
+                n = 0
+                while j + n < w and plane[i][j + n] == a:
+                    n += 1
+                out["runs"] += 1
+                out["run_bits"] += 2 * ((n + 1).bit_length() - 1) + 1
+                if j + n < w:
+                    out["run_bits"] += price(run, plane[i][j + n] - a)
+                    out["interruptions"] += 1
+                j += n + 1
+                continue
+            q = [level(b - c), level(c - a), level(d - b)]
+            sign = -1 if next((x for x in q if x), 1) < 0 else 1
+            key = tuple(sign * x for x in q)
+            guess = sorted((a, b, a + b - c))[1]
+            state = bias.setdefault(key, {"B": 0, "C": 0, "N": 1})
+            better = min(hi, max(lo, guess + sign * state["C"]))
+            e = sign * (plane[i][j] - better)
+            out["regular"] += price(rates.setdefault(key, fresh()), e)
+            out["unbiased"] += price(plain.setdefault(key, fresh()), sign * (plane[i][j] - guess))
+            state["B"], state["N"] = state["B"] + e, state["N"] + 1
+            if state["B"] <= -state["N"]:
+                state["B"] += state["N"]
+                state["C"] -= state["C"] > -4
+                state["B"] = max(state["B"], 1 - state["N"])
+            elif state["B"] > 0:
+                state["B"] -= state["N"]
+                state["C"] += state["C"] < 4
+                state["B"] = min(state["B"], 0)
+            if state["N"] == 64:
+                state["B"], state["N"] = int(state["B"] / 2), 32
+            j += 1
+    return out
+
+
+def test_complete_low_complexity_coder():
+    rng = np.random.default_rng(4)
+    noise = rng.integers(-40, 200, (40, 33))
+    drift = np.cumsum(rng.integers(-2, 4, (48, 48)), 1) // 2
+    flat = np.kron(rng.integers(0, 5, (8, 8)) * 30, np.ones((6, 6), np.int64)) + (rng.random((48, 48)) < 0.02) * 9
+    for plane in (noise, drift, flat, np.zeros((3, 5), np.int64)):
+        assert folds.loco(plane) == low_complexity_bits(plane.tolist())
