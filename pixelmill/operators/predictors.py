@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import floor_div, half
+from .neighbors import stacked
 
 
 def _c(name: str) -> Column:
@@ -64,3 +65,14 @@ def unpivoted(taps: DataFrame, experts: dict[str, Column], keep: Sequence[str] =
     """keep, expert, ord (its place in the order) and p (its prediction): one row per sample and expert."""
     cells = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(n).alias("expert"), x.cast("int").alias("p")) for k, (n, x) in enumerate(experts.items())])
     return taps.select(*keep, F.inline(cells))
+
+
+def med_rows(planes: DataFrame) -> DataFrame:
+    """Median-edge residuals (copied borders) of planes (img, ch, i, row), made within the row arrays: samples are never rows."""
+    df = stacked(planes, 1)
+
+    def residual(v: Column, j: Column) -> Column:
+        left, top = F.get("row", j - 1), F.get("u1", j)
+        return v - med(F.coalesce(left, top, F.lit(0)), F.coalesce(top, left, F.lit(0)), F.coalesce(F.get("u1", j - 1), left, top, F.lit(0)))
+
+    return df.select("img", "ch", "i", F.transform("row", residual).alias("row"))

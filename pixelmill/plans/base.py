@@ -52,3 +52,8 @@ def expert_residuals(spark: SparkSession, sf_dir: str, source: str = "emb", keep
     """img, ch, i, j, v, keep, ord, expert, p and r = v - p for the sixteen experts."""
     df = taps(spark, sf_dir, source)
     return predictors.unpivoted(df, predictors.bank(), ["img", "ch", "i", "j", "v", *keep]).withColumn("r", F.col("v") - F.col("p"))
+
+
+def residual_rows(spark: SparkSession, sf_dir: str, source: str = "emb") -> DataFrame:
+    """Median-edge residuals as planes (img, ch, i, row)."""
+    return predictors.med_rows(planes(spark, sf_dir, source))

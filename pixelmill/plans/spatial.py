@@ -17,9 +17,7 @@ BY = ["img", "ch"]
 
 
 def residual_rows(spark: SparkSession, d: str, source: str = "evt") -> DataFrame:
-    """Median-edge residuals as planes (img, ch, i, row)."""
-    df = base.med_residuals(spark, d, source)
-    return df.groupBy("img", "ch", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "r"))), lambda x: x["r"]).alias("row"))
+    return base.residual_rows(spark, d, source)
 
 
 _PAIR = "pr AS (SELECT img, ch, i, j // 2 AS p, abs(max(CASE WHEN j % 2 = 0 THEN r END)) AS m0, abs(max(CASE WHEN j % 2 = 1 THEN r END)) AS m1 FROM rs GROUP BY ALL)"
