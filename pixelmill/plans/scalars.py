@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
@@ -40,6 +40,26 @@ def gen_bars(spark: SparkSession, d: str) -> DataFrame:
     return rasters.pixels(rasters.bars_raster(spark))
 
 
+def _drawn(channels: tuple[str, str, str]) -> str:
+    cells = ", ".join(f"{x} AS {c}" for c, x in zip("rgb", channels, strict=True))
+    return f"SELECT CAST(0 AS BIGINT) AS img, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {cells} FROM range(64) a(i), range(64) c(j)"
+
+
+@R.add(_drawn(rasters.NOISE))
+def gen_noise(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.pixels(rasters.synthetic(spark, rasters.NOISE))
+
+
+@R.add(_drawn(rasters.BLURRED))
+def gen_blurred(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.pixels(rasters.synthetic(spark, rasters.BLURRED))
+
+
+@R.add(_drawn(rasters.BANDED))
+def gen_bands(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.pixels(rasters.synthetic(spark, rasters.BANDED))
+
+
 @R.add("SELECT doc_id, md5(text) AS md5, strlen(text) AS n_bytes FROM documents")
 def input_md5(spark: SparkSession, d: str) -> DataFrame:
     return rasters.table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").cast("long").alias("n_bytes"))
@@ -196,6 +216,36 @@ def far_lags(spark: SparkSession, d: str) -> DataFrame:
     return sums.select("img", "ch", F.inline(F.array(*[F.struct(F.lit(n).alias("expert"), F.col(n).alias("l1")) for n in _FAR])))
 
 
+def _lag(k: int, way: str) -> str:
+    """The sample k back, or the farthest there is; at the very edge the one across (copied borders)."""
+    chain = [f"lag(v, {n}) OVER {way}" for n in range(k, 0, -1)]
+    return f"coalesce({', '.join(chain)}, lag(v, 1) OVER {'wc' if way == 'wr' else 'wr'}, 0)"
+
+
+_LINES = ", ".join([f"{_lag(k, 'wr')} AS l{k}" for k in (1, 2, 3, 4, 8)] + [f"{_lag(k, 'wc')} AS t{k}" for k in (1, 2, 3, 4)])
+_FAR_BANK = {"WL2": "l2", "WL4": "l4", "WL8": "l8", "WN2": "t2", "WN4": "t4", "HAVG4": "(l1 + l2 + l3 + l4) >> 2", "VAVG4": "(t1 + t2 + t3 + t4) >> 2", "XH": "2 * l1 - l2", "XV": "2 * t1 - t2", "XH4": "2 * l1 - l4", "NW2": "coalesce(nw, CASE WHEN i < 2 THEN t1 ELSE l1 END)", "NE2": "coalesce(ne, t1)"}
+
+
+@R.add(sql.q(*E_YC, "f0 AS (SELECT *, lag(v, 2) OVER (PARTITION BY img, ch, j ORDER BY i) AS up2 FROM pl)", f"f AS (SELECT img, ch, i, j, v, {_LINES}, lag(up2, 2) OVER wr AS nw, lead(up2, 2) OVER wr AS ne FROM f0 WINDOW wr AS (PARTITION BY img, ch, i ORDER BY j), wc AS (PARTITION BY img, ch, j ORDER BY i))", " UNION ALL ".join(f"SELECT img, ch, '{n}' AS expert, CAST(sum(abs(v - ({x}))) AS BIGINT) AS l1 FROM f GROUP BY ALL" for n, x in _FAR_BANK.items())))
+def far_bank(spark: SparkSession, d: str) -> DataFrame:
+    """Averages and extrapolations along rows and columns and far diagonals, with copied borders."""
+    rows = neighbors.stacked(base.planes(spark, d), 4)
+
+    def cell(v: Column, j: Column) -> Column:
+        left, top = F.get("row", j - 1), F.get("u1", j)
+        far = {f"l{k}": F.coalesce(*[F.get("row", j - n) for n in range(k, 0, -1)], top, F.lit(0)) for k in (1, 2, 3, 4, 8)}
+        far |= {f"t{k}": F.coalesce(*[F.get(f"u{n}", j) for n in range(k, 0, -1)], left, F.lit(0)) for k in (1, 2, 3, 4)}
+        far |= {"nw": F.get("u2", j - 2), "ne": F.get("u2", j + 2)}
+        return F.struct(v.alias("v"), *[x.alias(n) for n, x in far.items()])
+
+    df = rows.select("img", "ch", "i", F.inline(F.transform("row", cell)))
+    line = lambda x: sum((F.col(f"{x}{k}") for k in (2, 3, 4)), F.col(f"{x}1"))
+    guess = {"WL2": F.col("l2"), "WL4": F.col("l4"), "WL8": F.col("l8"), "WN2": F.col("t2"), "WN4": F.col("t4"), "HAVG4": color.floor_div(line("l"), 4), "VAVG4": color.floor_div(line("t"), 4)}
+    guess |= {"XH": 2 * F.col("l1") - F.col("l2"), "XV": 2 * F.col("t1") - F.col("t2"), "XH4": 2 * F.col("l1") - F.col("l4"), "NW2": F.coalesce("nw", F.when(F.col("i") < 2, F.col("t1")).otherwise(F.col("l1"))), "NE2": F.coalesce("ne", "t1")}
+    sums = df.groupBy("img", "ch").agg(*[F.sum(F.abs(F.col("v") - x)).alias(n) for n, x in guess.items()])
+    return sums.select("img", "ch", F.inline(F.array(*[F.struct(F.lit(n).alias("expert"), F.col(n).alias("l1")) for n in guess])))
+
+
 _FOUR = "list_sort([a, b, c, d])"
 
 

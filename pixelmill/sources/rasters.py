@@ -57,6 +57,44 @@ def bars_raster(spark: SparkSession, size: int = 64, width: int = 8) -> DataFram
     return spark.range(size).select(F.lit(0).cast("long").alias("img"), F.col("id").cast("int").alias("i"), F.transform(j, bar).alias("r"), F.transform(j, lambda x: F.lit(255) - bar(x)).alias("g"), F.transform(j, lambda x: bar(F.col("id").cast("int"))).alias("b"))
 
 
+def noise_at(i: str, j: str, channel: int) -> str:
+    """An expression (for either engine) of a scrambled value 0..255 of a place."""
+    return f"CAST(floor((({i}) * 7919 + ({j}) * 104729 + {channel} * 1299709) * CAST(2654435761 AS BIGINT) % 4294967296 / 16777216) AS INTEGER)"
+
+
+def blurred_at(i: str, j: str, channel: int, size: int = 64, rounds: int = 3) -> str:
+    """noise_at() after rounds of averages of a place and its four neighbours, across the edges; rounded down at the end."""
+    kernel = {(0, 0): 1}
+    for _ in range(rounds):
+        wider: dict[tuple[int, int], int] = {}
+        for (y, x), w in kernel.items():
+            for dy, dx in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)):
+                wider[y + dy, x + dx] = wider.get((y + dy, x + dx), 0) + w
+        kernel = wider
+    terms = [f"{w} * {noise_at(f'(({i}) + {y + size}) % {size}', f'(({j}) + {x + size}) % {size}', channel)}" for (y, x), w in sorted(kernel.items())]
+    return f"CAST(floor(({' + '.join(terms)}) / CAST({5**rounds} AS DOUBLE)) AS INTEGER)"
+
+
+def banded_at(i: str, j: str, size: int = 64) -> str:
+    """A ramp from left to right with a little noise."""
+    return f"greatest(0, least(255, CAST(floor(({j}) * 255 / CAST({size - 1} AS DOUBLE)) AS INTEGER) + {noise_at(i, j, 3)} % 17 - 8))"
+
+
+def synthetic(spark: SparkSession, channels: tuple[str, str, str], size: int = 64) -> DataFrame:
+    """One image from an expression of i and j for each channel."""
+    px = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: j)
+    cells = spark.range(size).select(F.col("id").cast("int").alias("i"), F.posexplode(px).alias("j", "at"))
+    cells = cells.select("i", F.struct("j", *[F.expr(x).alias(c) for c, x in zip("rgb", channels, strict=True)]).alias("p"))
+    rows = cells.groupBy("i").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return rows.select(F.lit(0).cast("long").alias("img"), "i", "p.r", "p.g", "p.b")
+
+
+NOISE = tuple(noise_at("i", "j", k) for k in range(3))
+BLURRED = tuple(blurred_at("i", "j", k) for k in range(3))
+#: The ramp, the same 40 rows and the same 16 columns on.
+BANDED = (banded_at("i", "j"), banded_at("(i + 24) % 64", "j"), banded_at("i", "(j + 48) % 64"))
+
+
 def pixels(rgb: DataFrame) -> DataFrame:
     """(img, i, j, r, g, b) of an RGB row table."""
     zipped = F.arrays_zip("r", "g", "b")
