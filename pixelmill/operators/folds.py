@@ -32,6 +32,19 @@ def per_plane(planes: DataFrame, fn: Callable[[np.ndarray], dict | list[dict]],
     return planes.groupBy("img", "ch").applyInArrow(run, whole)
 
 
+def per_image(planes: DataFrame, fn: Callable[[dict[int, np.ndarray]], list[dict]], schema: str) -> DataFrame:
+    """img and the fields of schema: fn({ch: plane}) for every image of planes (img, ch, i, row)."""
+    whole = f"img long, {schema}"
+    arrow = to_arrow_schema(_parse_datatype_string(whole))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["ch"].to_pylist(), table["i"].to_pylist(), table["row"].to_pylist(), strict=True))
+        got = fn({ch: np.array([r for c, _, r in rows if c == ch], dtype=np.int64) for ch in {c for c, _, _ in rows}})
+        return pa.Table.from_pylist([{"img": table["img"][0].as_py()} | x for x in got], arrow)
+
+    return planes.groupBy("img").applyInArrow(run, whole)
+
+
 def around(plane: np.ndarray) -> dict[str, np.ndarray]:
     """Copied-border neighbours of every sample of a plane (the same as neighbors.edge_copied)."""
     h, w = plane.shape

@@ -267,7 +267,22 @@ def fitted_linear_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def fitted_small_nets(spark: SparkSession, d: str) -> DataFrame:
-    return folds.per_plane(planes(spark, d), fits.small_net, "bin int, n long, scale int, params int, l1_med long, l1_net long, kept boolean")
+    return folds.per_plane(planes(spark, d), fits.small_net, "bin int, n long, scale int, params int, med_bits double, net_bits double, kept boolean, channel boolean")
+
+
+@R.add()
+def late_averaged_nets(spark: SparkSession, d: str) -> DataFrame:
+    return folds.per_plane(planes(spark, d), fits.late_averages, "bin int, final_bits double, averaged_bits double, averaged boolean")
+
+
+@R.add()
+def global_nets(spark: SparkSession, d: str) -> DataFrame:
+    return folds.per_plane(planes(spark, d), fits.global_net, "scale int, params int, med_bits double, net_bits double, kept boolean")
+
+
+@R.add()
+def cross_channel_fits(spark: SparkSession, d: str) -> DataFrame:
+    return folds.per_image(planes(spark, d), fits.cross_channel, "ch int, med_bits double, alone_bits double, joint_bits double")
 
 
 @R.add(foldsql.SIMILARITY)

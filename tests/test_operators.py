@@ -155,3 +155,28 @@ def test_complete_low_complexity_coder():
     flat = np.kron(rng.integers(0, 5, (8, 8)) * 30, np.ones((6, 6), np.int64)) + (rng.random((48, 48)) < 0.02) * 9
     for plane in (noise, drift, flat, np.zeros((3, 5), np.int64)):
         assert folds.loco(plane) == low_complexity_bits(plane.tolist())
+
+
+def test_nets():
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 0.3, (900, 5))
+    y = x @ np.array([0.5, -0.2, 0.1, 0, 0.3]) + 0.1
+    start = fits.net_start(x, y, 8)
+    assert np.abs(fits.net_value(x, start) - y).mean() < 0.02  # near the linear fit
+    curved = np.tanh(3 * y)
+    net, mean = fits.trained_net(x, curved, rounds=300, rate=0.01, late=250)
+    assert np.abs(fits.net_value(x, net) - curved).mean() < 0.9 * np.abs(fits.net_value(x, fits.net_start(x, curved, 8)) - curved).mean()
+    assert np.abs(fits.net_value(x, mean) - fits.net_value(x, net)).max() < 0.05
+    u = np.tanh(x @ net[0] + net[1])
+    assert np.allclose(fits.net_value(x, net), u @ net[2] + net[3])
+    sent, scale = fits.sent_net(net)
+    assert all(np.array_equal(np.round(p * scale), p * scale) and np.abs(p * scale).max() <= 32767 for p in sent)
+    assert fits.entropy_bits(np.array([1, 1, 2, 2])) == 4 and fits.entropy_bits(np.array([7, 7])) == 0
+
+
+def test_cross_channel_fits():
+    rng = np.random.default_rng(6)
+    luma = np.cumsum(rng.integers(-9, 10, (40, 40)), 1)
+    chroma = luma // 2 + rng.integers(0, 2, (40, 40))
+    for r in fits.cross_channel({0: luma, 1: chroma, 2: rng.integers(0, 255, (40, 40))}):
+        assert r["joint_bits"] < 0.8 * r["alone_bits"] if r["ch"] == 1 else r["joint_bits"] > 0.9 * r["alone_bits"]
