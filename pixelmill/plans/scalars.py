@@ -340,7 +340,20 @@ def laplace_mixture(spark: SparkSession, d: str, most: int = 32, w0: float = 0.7
     return df.select("img", "ch", "sym", F.round(F.col("p") / F.sum("p").over(Window.partitionBy("img", "ch")), 6).alias("p"))
 
 
-@R.add("SELECT CAST(x AS INTEGER) AS idx, round(tanh(x / 16384.0), 9) AS value FROM range(0, 131073, 1024) t(x)")
+#: Steps of the table to one, and its last index (fixed values).
+_STEPS, _LAST = 1 << 14, 1 << 17
+
+
+@R.add(f"SELECT CAST(x AS INTEGER) AS idx, round(tanh(x / {_STEPS}.0), 9) AS value FROM range(0, {_LAST + 1}) t(x)")
 def tanh_table(spark: SparkSession, d: str) -> DataFrame:
-    """Every 1024th entry of the fixed table tanh(i / 2^14), i = 0..2^17."""
-    return spark.range(0, (1 << 17) + 1, 1024).select(F.col("id").cast("int").alias("idx"), F.round(F.tanh(F.col("id") / 16384), 9).alias("value"))
+    """The fixed table tanh(i / 2^14), i = 0..2^17."""
+    return spark.range(0, _LAST + 1).select(F.col("id").cast("int").alias("idx"), F.round(F.tanh(F.col("id") / _STEPS), 9).alias("value"))
+
+
+@R.add(sql.q(*E_TP, f"hist AS (SELECT img, ch, v - {sql.med()} AS r, count(*) AS cnt FROM b4 GROUP BY ALL)", f"SELECT img, ch, round(sum(cnt * sign(r) * round(tanh(least({_LAST}, floor(abs(r) / 128.0 * {_STEPS} + 0.5)) / {_STEPS}.0), 9)), 6) AS total FROM hist GROUP BY ALL"))
+def tanh_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of tanh(residual / 128) by look-up in the table, which saturates beyond its end."""
+    hist = base.residual_rows(spark, d).select("img", "ch", F.explode("row").alias("r")).groupBy("img", "ch", "r").agg(F.count(F.lit(1)).alias("cnt"))
+    at = F.least(F.lit(_LAST), F.floor(F.abs("r") / 128 * _STEPS + 0.5)).cast("int")
+    met = hist.withColumn("idx", at).join(F.broadcast(tanh_table(spark, d)), "idx")  # 131,073 rows
+    return met.groupBy("img", "ch").agg(F.round(F.sum(F.col("cnt") * F.signum("r") * F.col("value")), 6).alias("total"))

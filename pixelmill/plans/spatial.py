@@ -75,6 +75,16 @@ def quad_magnitudes(spark: SparkSession, d: str) -> DataFrame:
     return costs.huffman_bits(hist, BY).select(*BY, F.col("stream").alias("bits"), "alphabet")
 
 
+@R.add(sql.q(*V_TP, RES, _QUAD, "m AS (SELECT img, ch, list_transform(s, lambda x: abs(x)) AS m FROM qd), e AS (SELECT img, ch, 4 AS k, m AS x, count(*) AS cnt FROM m GROUP BY ALL UNION ALL SELECT img, ch, k, [m[k + 1]], count(*) FROM m, range(4) t(k) GROUP BY ALL), en AS (SELECT img, ch, k, log2(sum(cnt)) - sum(cnt * log2(cnt)) / sum(cnt) AS h FROM e GROUP BY ALL)", "SELECT img, ch, round(sum(CASE WHEN k = 4 THEN -h ELSE h END), 6) AS correlation FROM en GROUP BY ALL"))
+def quad_information(spark: SparkSession, d: str) -> DataFrame:
+    """Total correlation of the four magnitudes of a 2 x 2 block: their entropies less the joint one."""
+    m = transforms.blocks(residual_rows(spark, d), 2).select(*BY, F.transform("s", F.abs).alias("m")).groupBy(*BY, "m").agg(F.count(F.lit(1)).alias("cnt"))
+    cells = F.array(F.struct(F.lit(4).alias("k"), F.col("m").alias("x")), *[F.struct(F.lit(k).alias("k"), F.array(F.get("m", F.lit(k))).alias("x")) for k in range(4)])
+    each = m.select(*BY, "cnt", F.inline(cells)).groupBy(*BY, "k", "x").agg(F.sum("cnt").alias("cnt"))
+    en = each.groupBy(*BY, "k").agg((F.log2(F.sum("cnt")) - F.sum(F.col("cnt") * F.log2("cnt")) / F.sum("cnt")).alias("h"))
+    return en.groupBy(*BY).agg(F.round(F.sum(F.when(F.col("k") == 4, -F.col("h")).otherwise(F.col("h"))), 6).alias("correlation"))
+
+
 _SHELL = {0: 0, 1: 3, 2: 5, 3: 7}  # ceil(log2) of 1, 8, 32, 88 signed points of four integers with absolute sum 0..3
 
 
