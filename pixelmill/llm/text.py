@@ -192,16 +192,16 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster shares; a default is set only where none is named (tests)."""
+    """A fresh folder below the one the cluster shares. Only a local session, which has one machine, gets a default."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        base = held or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
