@@ -186,7 +186,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
             runs.append([{"first": a, "size": b - a} for a, b in gone])
         return [pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("size", pa.int64())])))]
 
-    joined = hot_join(own, table, ["__name"], "__n", docs.count(), "left")
+    joined = hot_join(own, table, ["__name"], "__n", docs.count(), "left", alike=True)
     joined = joined.withColumn("__copy", F.coalesce((F.col("__n") > 1) & ~F.col(f"`{key}`").eqNullSafe(F.col("__first.id")), F.lit(False)))
     out = mapped(joined.drop("__first", "__n"), step, [T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("removed_runs", kind)])
     return out.drop("__spans", "__copy", "__name")

@@ -175,11 +175,11 @@ def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], list[pa.Array]], fiel
 HOT_SHARE = 1e-4
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int, how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int, how: str = "inner", alike: bool = False) -> DataFrame:
     """left joined with right, which has one row per key and in n the number of left's rows with it.
 
     The hot keys' rows of right (1 / HOT_SHARE at most) go to left's rows by broadcast; the others meet by shuffle, where
-    a key has few rows. how: inner or left."""
+    a key has few rows. how: inner or left. alike: shuffle these even where right is small, so that the plan is one at every size."""
     from pyspark.sql import functions as F
 
     least = max(2, HOT_SHARE * rows)
@@ -188,7 +188,8 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int
     marked = left.join(hot, on, "left")
     met = marked.filter(F.col(f"__hot_{n}").isNotNull()).withColumnsRenamed({f"__hot_{c}": c for c in extra})
     rest = marked.filter(F.col(f"__hot_{n}").isNull()).drop(*[f"__hot_{c}" for c in extra])
-    return met.unionByName(rest.join(right.filter(F.col(n) < least), on, how))
+    cold = right.filter(F.col(n) < least)
+    return met.unionByName(rest.join(cold.hint("merge") if alike else cold, on, how))
 
 
 def shared_dir(spark: SparkSession) -> str:
