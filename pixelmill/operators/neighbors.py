@@ -21,16 +21,27 @@ def stacked(planes: DataFrame, up: int = 2) -> DataFrame:
     return planes.select("*", *[F.lag("row", k).over(w).alias(f"u{k}") for k in range(1, up + 1)])
 
 
+def shifted(row: Column, size: Column, right: int) -> Column:
+    """The array of the samples `right` columns to the right of each (null beyond the ends). row: an array, or null for none."""
+    none = F.array().cast("array<int>")
+    whole = F.coalesce(row, none)
+    if right >= 0:
+        return F.slice(whole, right + 1, size)
+    return F.slice(F.concat(F.array_repeat(F.lit(None).cast("int"), -right), whole), 1, size)
+
+
 def raw_taps(planes: DataFrame, names: Sequence[str] = ("l", "l2", "t", "t2", "tl", "tr"), extra: Sequence[str] = ()) -> DataFrame:
-    """(img, ch, i, j, v) and the named taps, null outside the raster. extra: array columns that go along, element by element."""
+    """(img, ch, i, j, v) and the named taps, null outside the raster. extra: array columns that go along, element by element.
+
+    Rows are shifted as arrays and taken apart together, so that no expression runs over elements inside a row."""
     up = max(TAPS[n][0] for n in names)
     df = stacked(planes, up) if up else planes
+    size = F.size("row")
     source = lambda n: F.col("row") if n == 0 else F.col(f"u{n}")
-
-    def cell(v: Column, j: Column) -> Column:
-        return F.struct(j.alias("j"), v.alias("v"), *[F.get(source(TAPS[n][0]), j + TAPS[n][1]).alias(n) for n in names], *[F.get(F.col(x), j).alias(x) for x in extra])
-
-    return df.select("img", "ch", "i", F.inline(F.transform("row", cell)))
+    columns = {"v": F.col("row")} | {n: shifted(source(TAPS[n][0]), size, TAPS[n][1]) for n in names} | {x: F.col(x) for x in extra}
+    df = df.select("img", "ch", "i", *[x.alias(n) for n, x in columns.items()])
+    cells = df.select("img", "ch", "i", F.posexplode(F.arrays_zip(*columns)).alias("j", "x"))
+    return cells.select("img", "ch", "i", "j", *[F.col(f"x.{n}").alias(n) for n in columns])
 
 
 def edge_copied(taps: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import floor_div, half
-from .neighbors import stacked
+from .neighbors import shifted, stacked
 
 
 def _c(name: str) -> Column:
@@ -76,3 +76,22 @@ def med_rows(planes: DataFrame) -> DataFrame:
         return v - med(F.coalesce(left, top, F.lit(0)), F.coalesce(top, left, F.lit(0)), F.coalesce(F.get("u1", j - 1), left, top, F.lit(0)))
 
     return df.select("img", "ch", "i", F.transform("row", residual).alias("row"))
+
+
+def med_samples(rgb: DataFrame, convert) -> DataFrame:
+    """(img, ch, r): median-edge residuals (copied borders) of the three channels of an RGB row table; convert(r, g, b) gives a
+    pixel's channels. A pixel and its three neighbours are converted after rows are taken apart, as scalars."""
+    w, size = Window.partitionBy("img").orderBy("i"), F.size("r")
+    above = rgb.select("img", "r", "g", "b", *[F.lag(c).over(w).alias(f"u{c}") for c in "rgb"])
+    shifts = {"v": ("", 0), "l": ("", -1), "t": ("u", 0), "tl": ("u", -1)}
+    columns = {f"{n}_{c}": shifted(F.col(f"{up}{c}"), size, right) for n, (up, right) in shifts.items() for c in "rgb"}
+    zipped = above.select("img", *[x.alias(n) for n, x in columns.items()]).select("img", F.explode(F.arrays_zip(*columns)).alias("p"))
+    # one projection a step, so that no expression is written out several times
+    df = zipped.select("img", *[F.col(f"p.{n}").alias(n) for n in columns])
+    df = df.select("img", *[x.cast("int").alias(f"{n}{k}") for n in shifts for k, x in enumerate(convert(*[F.col(f"{n}_{c}") for c in "rgb"]))])
+    left, top, corner = ([F.col(f"{n}{k}") for k in range(3)] for n in ("l", "t", "tl"))
+    zero = F.lit(0)
+    made = {"a": lambda k: F.coalesce(left[k], top[k], zero), "b": lambda k: F.coalesce(top[k], left[k], zero), "c": lambda k: F.coalesce(corner[k], left[k], top[k], zero)}
+    df = df.select("img", *[F.col(f"v{k}") for k in range(3)], *[f(k).alias(f"{n}{k}") for n, f in made.items() for k in range(3)])
+    df = df.select("img", *[(F.col(f"v{k}") - med(F.col(f"a{k}"), F.col(f"b{k}"), F.col(f"c{k}"))).alias(f"r{k}") for k in range(3)])
+    return df.select("img", F.posexplode(F.array("r0", "r1", "r2")).alias("ch", "r"))

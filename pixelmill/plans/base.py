@@ -57,3 +57,8 @@ def expert_residuals(spark: SparkSession, sf_dir: str, source: str = "emb", keep
 def residual_rows(spark: SparkSession, sf_dir: str, source: str = "emb") -> DataFrame:
     """Median-edge residuals as planes (img, ch, i, row)."""
     return predictors.med_rows(planes(spark, sf_dir, source))
+
+
+def residual_samples(spark: SparkSession, sf_dir: str, source: str = "emb") -> DataFrame:
+    """(img, ch, r): the median-edge residual of every YCoCg sample, in no order."""
+    return predictors.med_samples(SOURCES[source](spark, sf_dir), ycocg)

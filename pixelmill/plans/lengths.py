@@ -18,7 +18,7 @@ E_H = (*E_TP, RES, HIST)
 
 
 def med_histogram(spark: SparkSession, d: str, source: str = "emb") -> DataFrame:
-    return costs.histogram(base.residual_rows(spark, d, source).select("img", "ch", F.explode("row").alias("r")), ("img", "ch"))
+    return costs.histogram(base.residual_samples(spark, d, source), ("img", "ch"))
 
 
 _BEST_K = sql.first("gk", "img, ch", "bits, k", "gb")
