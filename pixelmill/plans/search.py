@@ -224,7 +224,13 @@ def pareto_front(spark: SparkSession, d: str) -> DataFrame:
 _BLOCKS = "bk AS (SELECT img, ch, i, j, v FROM pl WHERE ch = 0)"
 
 
-@R.add(sql.q(sql.EVT, sql.ycocg("evt"), _BLOCKS, "t AS (SELECT img, i // 8 * 8 AS y0, j // 8 * 8 AS x0, i % 8 AS di, j % 8 AS dj, v FROM bk), o AS (SELECT DISTINCT img, y0, x0 FROM t), c AS (SELECT o.img, o.y0, o.x0, cy, cx FROM o, range(0, 57, 2) a(cy), range(0, 57, 2) b(cx) WHERE cy + 8 <= y0 OR (cy >= y0 - 7 AND cx + 8 <= x0)), s AS (SELECT c.img, c.y0, c.x0, cy, cx, CAST(sum(abs(t.v - bk.v)) AS BIGINT) AS sad, count(*) AS n FROM c JOIN t ON t.img = c.img AND t.y0 = c.y0 AND t.x0 = c.x0 JOIN bk ON bk.img = c.img AND bk.i = cy + di AND bk.j = cx + dj GROUP BY ALL)", sql.first("(SELECT * FROM s WHERE n = 64)", "img, y0, x0", "sad, cy, cx", "best"), "SELECT img, CAST(y0 AS BIGINT) AS block_i, CAST(x0 AS BIGINT) AS block_j, cy AS from_i, cx AS from_j, sad FROM best"))
+_PATCHES = """st AS (SELECT DISTINCT img, CAST(cy AS INTEGER) AS cy, CAST(cx AS INTEGER) AS cx FROM (SELECT DISTINCT img FROM bk), range(0, 57, 2) a(cy), range(0, 57, 2) b(cx)),
+pa AS (SELECT st.img, cy, cx, list(v ORDER BY i, j) AS s FROM st JOIN bk ON bk.img = st.img AND i BETWEEN cy AND cy + 7 AND j BETWEEN cx AND cx + 7 GROUP BY st.img, cy, cx HAVING count(*) = 64),
+s AS (SELECT t.img, t.cy AS y0, t.cx AS x0, o.cy, o.cx, CAST(list_sum(list_transform(list_zip(t.s, o.s), lambda z: abs(z[1] - z[2]))) AS BIGINT) AS sad
+  FROM pa t JOIN pa o ON o.img = t.img AND (o.cy + 8 <= t.cy OR (o.cy >= t.cy - 7 AND o.cx + 8 <= t.cx)) WHERE t.cy % 8 = 0 AND t.cx % 8 = 0)"""
+
+
+@R.add(sql.q(sql.EVT, sql.ycocg("evt"), _BLOCKS, _PATCHES, sql.first("s", "img, y0, x0", "sad, cy, cx", "best"), "SELECT img, CAST(y0 AS BIGINT) AS block_i, CAST(x0 AS BIGINT) AS block_j, CAST(cy AS BIGINT) AS from_i, CAST(cx AS BIGINT) AS from_j, sad FROM best"))
 def patch_search(spark: SparkSession, d: str) -> DataFrame:
     """The causal 8 x 8 patch at an even place nearest to each luma block, by the sum of absolute differences.
 
