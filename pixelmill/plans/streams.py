@@ -205,7 +205,7 @@ def mixture_tables(spark: SparkSession, d: str) -> DataFrame:
 @R.add(foldsql.SHARED)
 def shared_tables(spark: SparkSession, d: str, tables: int = 3, rounds: int = 3) -> DataFrame:
     """Histograms of all planes assigned to a few shared tables in turns: to the cheapest table, then tables anew."""
-    hist = costs.histogram(base.med_residuals(spark, d, "evt"), BY)
+    hist = costs.histogram(base.residual_samples(spark, d, "evt"), BY).persist()  # read in every round
     assigned = hist.select(*BY).distinct().withColumn("t", (F.pmod(F.col("img") * 3 + F.col("ch"), F.lit(tables))).cast("int"))
     for _ in range(rounds):
         held = hist.join(assigned, BY).groupBy("t", "sym").agg(F.sum("cnt").alias("c"))
