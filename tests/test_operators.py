@@ -54,6 +54,16 @@ def test_symbol_coders_return(values):
             assert codecs.golomb_unpack(codecs.golomb_pack(up, k, ones), k, ones) == up
 
 
+@pytest.mark.parametrize("n", [694, 1000, 16384])
+def test_rare_symbols_rounded_up_leave_a_frequency_to_all(n):
+    values = list(range(n)) * (2 if n == 1000 else 1) + [5]
+    table = codecs.frequencies({s: values.count(s) for s in range(n)} if n < 2000 else dict.fromkeys(range(n), 1))
+    assert min(f for f, _ in table.values()) >= 1 and sum(f for f, _ in table.values()) == 1 << 14
+    assert codecs.range_decode(codecs.range_encode(values, table), len(values), table) == values
+    with pytest.raises(ValueError):
+        codecs.frequencies(dict.fromkeys(range((1 << 14) + 1), 1))
+
+
 @pytest.mark.parametrize("shape", [(1, 1), (1, 7), (6, 1), (9, 12)])
 def test_planes_return(shape):
     rng = np.random.default_rng(3)

@@ -5,11 +5,12 @@ import itertools
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
 from pixelmill.plans import base
 from pixelmill.plans.reports import wilcoxon
-from pixelmill.queries import QUERIES
+from pixelmill.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +90,13 @@ def test_scores_of_all_images(spark, tmp_path):
     got = QUERIES["wins_and_losses"](spark, str(tmp_path)).first()
     assert (got.wins, got.losses, got.ties) == tuple(sum(f(x, y) for x, y in score.values()) for f in (int.__lt__, int.__gt__, int.__eq__))
     assert tuple(QUERIES["wilcoxon_signed_rank"](spark, str(tmp_path)).first()) == pytest.approx(signed_ranks(score.values()))
+
+
+def test_three_coders_where_rounding_overruns_the_table(spark, tmp_path):
+    """Image 7 of sf0.1 has a class of 2755 samples with 579 symbols, whose rounded frequencies sum to 100 too many."""
+    events = duckdb.connect()
+    events.sql("create view events as select * from '/root/testdata/sf0.1/events.parquet' where event_id // 4096 = 7")
+    events.sql(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    columns = ["img", "ch", "e", "coder", "bits"]
+    got = {tuple(r[c] for c in columns) for r in QUERIES["three_way_coder"](spark, str(tmp_path)).collect()}
+    assert got == set(events.sql(f"select {', '.join(columns)} from ({ORACLES['three_way_coder']})").fetchall())
