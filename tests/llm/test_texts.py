@@ -249,6 +249,26 @@ def test_resharding(spark):
     assert reshard.resharded(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_resharding_keeps_equal_texts_together(spark):
+    rng = random.Random(12)
+    groups = [("".join(rng.choice("abcdef ") for _ in range(rng.randint(20, 200))), rng.randint(2, 6)) for _ in range(40)]
+    texts = [t for t, n in groups for _ in range(n)] + [f"text {i} " * rng.randint(1, 30) for i in range(600)] + ["large copy " * 20] * 300
+    rng.shuffle(texts)
+    rows = [(i if i % 50 else None, t) for i, t in enumerate(texts)]
+    out = reshard.resharded(frame(spark, rows), 4, 6).collect()
+    shards, sizes, slots = {}, Counter(), {}
+    for r in out:
+        shards.setdefault((r["size"], r.text_crc32), set()).add(r.shard)
+        sizes[r.shard] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(len(shards[len(t) + 8, zlib.crc32(t.encode())]) == 1 for t, _ in groups)
+    # a group larger than a shard can't stay whole where sizes are near equal
+    assert len(shards[228, zlib.crc32(b"large copy " * 20)]) > 1
+    share = sum(sizes.values()) / 6
+    assert len(out) == len(rows) and all(abs(sizes[j] - share) < share / 20 for j in range(6))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_cheapest_flow_moves_least():
     rng = random.Random(4)
     for _ in range(40):
